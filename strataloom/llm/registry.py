@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, packing
+from strataloom.llm import binary_ids, exact_dedup, mixing, packing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def queries() -> dict[str, Query]:
     """The ten operators by query name."""
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_binary_ids": binary_ids.op3_binary_ids,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op8_quality_rules": quality.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
-    return {}
+    return {
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
+    }
