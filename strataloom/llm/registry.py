@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, mixing, packing, quality, token_counts
+from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_binary_ids": binary_ids.op3_binary_ids,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
