@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, token_counts
+from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 

@@ -42,3 +42,19 @@ def partitions(spark: SparkSession) -> int:
 def text_or_empty(column: str = "text"):
     """The text column, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def sieve(frame: DataFrame, needed: DataFrame, keys: list[str], bits: int = 22) -> DataFrame:
+    """``frame`` without most of the rows whose keys are not in ``needed``, unshuffled.
+
+    A bitmap of 2**bits hashed keys is broadcast as 2**(bits - 6) words (1 MB
+    by default, whatever the input's size). Rows that it lets through wrongly
+    are left to the join that follows.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    bit = lambda: F.expr("shiftleft(1L, cast(_mark % 64 as int))")
+    words = needed.withColumn("_mark", mark).select(F.expr("shiftright(_mark, 6)").alias("_word"), bit().alias("_bits"))
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    marked = frame.withColumn("_mark", mark).withColumn("_word", F.expr("shiftright(_mark, 6)"))
+    kept = marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit()) != 0)
+    return kept.select(*frame.columns)
