@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
+from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality.OP8_SQL,
+        "op9_tool_calls": tool_calls.OP9_SQL,
     }
