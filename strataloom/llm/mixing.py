@@ -8,7 +8,8 @@ document is seen by any other task.
 
 Targets in closed form: with the sources in the order of cap by weight, those
 before some place are at their cap, and the others share what is left by
-weight; the place is the first where that share is within the cap.
+weight; the place is the first where that share is within the cap, and no later share is
+larger.
 
 Cases: a null text has size 0; a null source is a source of its own, after all
 others; equal rows get equal copies; a source without words has target 0;
@@ -51,7 +52,7 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[i
     left = F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double")
     rows = rows.withColumn("level", left / F.sum("weight").over(after))
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    rows = rows.withColumn("level", F.min(fits).over(everything))
+    rows = rows.withColumn("level", F.max(fits).over(everything))
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
@@ -99,7 +100,7 @@ l as (
              - cast(coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0) as double))
             / cast(sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following) as double) as level
   from w),
-m as (select min(level) filter (where level * weight <= cap) as level from l),
+m as (select max(level) filter (where level * weight <= cap) as level from l),
 t as (
   select source, source_size, least(cast(cap as double), coalesce(m.level * weight, cast(cap as double))) as target
   from w, m),
