@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls
+from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_binary_ids": binary_ids.op3_binary_ids,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "op9_tool_calls": tool_calls.OP9_SQL,
