@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ()
+MODULES = ("catalog", "clean", "splits")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
