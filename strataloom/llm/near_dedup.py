@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import components, tables, textkit
+from strataloom.llm import tables, textkit
+from strataloom.operators import graph
 from strataloom.llm.textkit import U64, mix
 
 WORDS = 5
@@ -219,7 +220,7 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     needed = nodes.join(shared.select("row").distinct(), "row").select("row", *one)
     sets = tables.staged(_sets(documents, needed, weighted), "sets")
     links = tables.staged(linked(star, sets, threshold), "links")
-    label = components.components(links)
+    label = graph.components(links)
     # Members of one bucket that no link has brought together yet are compared with one another.
     named = shared.join(label.withColumnRenamed("node", "row"), "row", "left").select(*key, "row", F.coalesce("label", "row").alias("label"))
     split = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select(*key)
@@ -227,7 +228,7 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     left, right = apart.select(*key, F.col("row").alias("a"), F.col("label").alias("la")), apart.select(*key, F.col("row").alias("b"), F.col("label").alias("lb"))
     cross = left.join(right, key).filter("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     more = tables.staged(linked(cross, sets, threshold), "links")
-    label = components.components(links.unionByName(more))
+    label = graph.components(links.unionByName(more))
     grouped = nodes.join(label.withColumnRenamed("node", "row"), "row", "left").select(*one, "row", "copies", F.coalesce("label", "row").alias("label"))
     members = signed.join(grouped.select(*one, "label"), one).select("doc_id", "row", "label")
     best = members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("class_size")).filter("class_size > 1")
