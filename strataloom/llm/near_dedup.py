@@ -13,8 +13,8 @@ similarity. A text with an empty coordinate throws on, with t doubled.
 Signatures of ``bands * rows`` coordinates are joined by bands. Texts with
 equal shingle sets are one node. In each bucket the node that meets most
 others leads, and all others are compared with it; then those that are still
-in different components of a bucket are compared with one another. A pair is
-linked where the exact similarity of the sets reaches the threshold.
+in different components of a bucket are compared with one another, block by
+block. A pair is linked where the exact similarity of the sets reaches the threshold.
 
 With 20 bands of 5, a pair at similarity 0.8 shares a bucket with probability
 0.9996, one at 0.9 with 0.99999.
@@ -204,6 +204,74 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def block_links(rows: list[list[int]], labels: list[list[int]], sets: list[list[bytes]], threshold: float) -> list[tuple[int, int]]:
+    """Links between members of two blocks (or within one) that join different labels; of each such tie one link.
+
+    Intersections come from products of incidence matrices, some thousands of
+    shared elements at a time.
+    """
+    row, label = sum(rows, []), sum(labels, [])
+    each = [np.frombuffer(x, U64) for x in sum(sets, [])]
+    size = np.array([len(x) for x in each], np.int64)
+    owner = np.repeat(np.arange(len(each)), size)
+    value, place, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    common = np.cumsum(count > 1) - 1
+    keep = (count > 1)[place]
+    owner, place, n_common = owner[keep], common[place[keep]], int((count > 1).sum())
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    first = len(rows[0])
+    left, right = slice(0, first), slice(0, first) if len(rows) == 1 else slice(first, None)
+    both = np.zeros((first, len(each) - right.start), np.float32)
+    for begin in range(0, n_common, 8192):
+        a, b = np.searchsorted(place, [begin, begin + 8192])
+        part = np.zeros((len(each), min(8192, n_common - begin)), np.float32)
+        part[owner[a:b], place[a:b] - begin] = 1
+        both += part[left] @ part[right].T
+    union = size[left, None] + size[None, right] - both
+    x, y = np.nonzero(both >= threshold * union - 1e-9)
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.get(v, v)) != v:
+            v = up
+        return v
+
+    found = []
+    for u, v in zip(x.tolist(), (y + right.start).tolist(), strict=True):
+        if (p := root(label[u])) != (q := root(label[v])):
+            parent[max(p, q)] = min(p, q)
+            found.append((row[u], row[v]))
+    return found
+
+
+def linked_blocks(members: DataFrame, key: list[str], sets: DataFrame, threshold: float, block: int = 96) -> DataFrame:
+    """Links (a, b) between members of a bucket that have different labels, compared block by block.
+
+    A bucket's members are dealt to blocks of about ``block``; every two blocks
+    of a bucket meet in one row, so that neither a bucket nor its pairs are
+    ever gathered, and only the links leave the task.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks = [[[m[k] for m in side] for side in ([x] if y is None else [x, y])] for k in ("row", "label", "set")]
+                found += block_links(*blocks, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    blocks = F.ceil(F.col("met") / block).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    held = dealt.join(sets, "row").groupBy(*key, "blocks", "own").agg(F.collect_list(F.struct("row", "label", "set")).alias("x"))
+    held = tables.staged(held, "blocks")
+    alone = held.select("x", F.lit(None).cast(held.schema["x"].dataType).alias("y"))
+    wide = held.filter("own + 1 < blocks").select(*key, "x", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)).alias("own"))
+    met = wide.join(held.filter("own > 0").select(*key, "own", F.col("x").alias("y")), [*key, "own"]).select("x", "y")
+    pairs = alone.unionByName(met).repartition(tables.partitions(members.sparkSession))
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
 def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, weighted: bool = False, row: str | None = None) -> DataFrame:
     """(doc_id, row, class_id, class_size, kept) of every row; class_id is the least doc_id."""
     signed = signed_texts(documents, bands, rows, weighted, row)
@@ -223,11 +291,8 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     label = graph.components(links)
     # Members of one bucket that no link has brought together yet are compared with one another.
     named = shared.join(label.withColumnRenamed("node", "row"), "row", "left").select(*key, "row", F.coalesce("label", "row").alias("label"))
-    split = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select(*key)
-    apart = tables.staged(named.join(split, key), "apart")
-    left, right = apart.select(*key, F.col("row").alias("a"), F.col("label").alias("la")), apart.select(*key, F.col("row").alias("b"), F.col("label").alias("lb"))
-    cross = left.join(right, key).filter("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = tables.staged(linked(cross, sets, threshold), "links")
+    split = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi")
+    more = tables.staged(linked_blocks(named.join(split.select(*key, "met"), key), key, sets, threshold), "links")
     label = graph.components(links.unionByName(more))
     grouped = nodes.join(label.withColumnRenamed("node", "row"), "row", "left").select(*one, "row", "copies", F.coalesce("label", "row").alias("label"))
     members = signed.join(grouped.select(*one, "label"), one).select("doc_id", "row", "label")
