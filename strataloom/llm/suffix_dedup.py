@@ -242,7 +242,8 @@ def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD) -> Dat
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_or_empty().alias("text"))
     text = text.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text")
     found = tables.staged(anchored(text, length, lead), "runs")
-    twice = found.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    # Staged, so that the join deals both of its sides anew and Spark can split a hot token.
+    twice = tables.staged(found.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens")
     listed = found.join(twice, "token").groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "anchor", "token")).alias("found"))
     listed = tables.staged(listed, "listed")
     near = tables.sieve(text, listed.select(*KEY), KEY)
