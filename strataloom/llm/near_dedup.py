@@ -297,6 +297,7 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     grouped = nodes.join(label.withColumnRenamed("node", "row"), "row", "left").select(*one, "row", "copies", F.coalesce("label", "row").alias("label"))
     members = signed.join(grouped.select(*one, "label"), one).select("doc_id", "row", "label")
     best = members.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("class_size")).filter("class_size > 1")
+    best = tables.staged(best, "best")  # the join then deals both of its sides anew, and Spark can split a hot class
     found = members.join(best, "label", "left")
     alone = F.col("class_size").isNull()
     return found.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (alone | (F.col("row") == F.col("best.row"))).alias("kept"))
