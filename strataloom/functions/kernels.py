@@ -112,24 +112,25 @@ def smooth(data: np.ndarray, sigma: float) -> np.ndarray:
         out = np.zeros(line.shape)
         for k, weight in enumerate(w):
             d = k - radius
-            if d >= 0:
-                out[: len(line) - d] += weight * line[d:]
-            elif -d < len(line):
-                out[-d:] += weight * line[: len(line) + d]
+            if abs(d) < len(line):
+                out[max(0, -d) : len(line) - max(0, d)] += weight * line[max(0, d) : len(line) - max(0, -d)]
         data = np.moveaxis(out, 0, axis)
     return data
 
 
-def shape_descriptor(mask: np.ndarray, sigma: float, step: int = 1) -> np.ndarray:
+def shape_descriptor(mask: np.ndarray, sigma: float, step: int = 1, start: tuple[int, ...] | None = None) -> np.ndarray:
     """Local shape statistics of one instance: (channels, *shape), 0 outside the mask.
 
     Channels: mean offsets, variances, Pearson coefficients of axis pairs, mass.
-    Sampled every ``step`` places from the frame's origin, then repeated.
+    Sampled every ``step`` places from the frame's origin, then repeated. A
+    frame that is a tile has its origin at ``start`` of the instance's frame, a
+    multiple of the step.
     """
     ndim, shape = mask.ndim, mask.shape
     full = np.pad(mask.astype(float), [(0, -s % step) for s in shape])
     sub = full[(slice(None, None, step),) * ndim]
     place = np.stack(np.meshgrid(*(np.arange(s, dtype=float) * step for s in sub.shape), indexing="ij"))
+    place += np.array(start or (0,) * ndim, float).reshape(-1, *(1,) * ndim)
     blur = lambda v: smooth(v, sigma / step)
     mass = blur(sub)
     mass = np.where(mass == 0, 1.0, mass)
