@@ -2,8 +2,8 @@
 
 Terms are words (runs of letters, A-Z in lower case) and their beginnings of
 4 and 5 characters. A sample of the labelled rows, of ``examples`` in the
-mean, chooses the terms that mark the label (chi-square, ``terms`` at most) and
-gives the examples; inverse document frequencies come from all documents.
+mean, chooses the terms that mark the label (chi-square among those whose share of
+the label is three times the base rate, ``terms`` at most) and gives the examples; inverse document frequencies come from all documents.
 
 The examples' weights lie in an inverted index: for each term its postings in
 the order of the examples, in blocks of 64 examples with the largest weight of
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strataloom.llm import tables, textkit
 from strataloom.llm.textkit import U64, mix
 
-EXAMPLES, TERMS, LEAST_CHI, LEAST_ROWS, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 20_000, 512, 30.0, 5, 25, 64, 0.5, 0.7
+EXAMPLES, TERMS, LEAST_CHI, LEAST_ROWS, LEAST_LIFT, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 20_000, 512, 30.0, 5, 3.0, 25, 64, 0.5, 0.7
 BEGINNINGS = (4, 5)
 
 
@@ -105,7 +105,9 @@ def chosen_terms(texts: DataFrame, rows: int, positives: int, terms: int) -> lis
     n = t - p
     gap = a * n - b * p
     chi = F.lit(t) * gap * gap / ((a + b) * (F.lit(t) - a - b) * F.lit(p * n))
-    best = found.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows) & (gap > 0)).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI)
+    # A large sample makes weak ties significant; a term must also be several times as frequent with the label.
+    share = min(LEAST_LIFT * p / t, (1 + p / t) / 2)
+    best = found.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows) & (F.col("hits") >= F.lit(share) * F.col("n"))).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI)
     return [r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(terms).collect()]
 
 
