@@ -60,12 +60,14 @@ def classes(documents: DataFrame, keep: str = "largest") -> DataFrame:
 
 def deduplicated(documents: DataFrame, keep: str = "largest") -> DataFrame:
     """``documents`` without the rows that lose, all columns kept."""
-    numbered = documents.withColumn("_key", F.struct(F.sha2(normalised(), 256), F.octet_length(normalised()), F.xxhash64(normalised())))
-    # Rows are told apart by a random-free number that is written once.
-    held = tables.staged(numbered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("_key.col1").alias("text_sha256"), F.col("_key.col2").alias("n_bytes"), F.col("_key.col3").alias("check"))
-    losers = rows.join(merged(rows, keep).filter("n > 1"), KEY).filter("row <> winner.row").select(F.col("row").alias("_row"))
-    return held.join(losers, "_row", "left_anti").drop("_key", "_row")
+    row = tables.free_name(documents, "_row")
+    # Rows are told apart by a number that is written once.
+    held = tables.staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    norm = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), normalised().alias("norm"))
+    rows = norm.select("doc_id", "row", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("check"))
+    rows = tables.staged(rows, "digests")
+    losers = rows.join(merged(rows, keep).filter("n > 1"), KEY).filter("row <> winner.row").select(F.col("row").alias(row))
+    return held.join(losers, row, "left_anti").drop(row)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

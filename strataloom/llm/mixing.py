@@ -73,11 +73,12 @@ def rated(documents: DataFrame, share: float, cap: int, weights: tuple[int, ...]
 
 def mixed(documents: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """``documents`` as the mix takes them: a row for each copy, all columns kept."""
-    held = tables.staged(documents.withColumn("_size", word_count()), "sized")
-    sizes = held.select(F.col("source").cast("string").alias("source"), F.col("_size").alias("size"))
-    found = targets(sizes, share, cap, weights).select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    joined = held.join(found, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left")
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), F.col("doc_id").cast("long"), seed).cast("int"))))
+    size, name, rate, copy = (tables.free_name(documents, n) for n in ("_size", "_source", "_rate", "_copy"))
+    held = tables.staged(documents.withColumn(size, word_count()), "sized")
+    sizes = held.select(F.col("source").cast("string").alias("source"), F.col(size).alias("size"))
+    found = targets(sizes, share, cap, weights).select(F.col("source").alias(name), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    joined = held.join(found, F.col("source").cast("string").eqNullSafe(F.col(name)), "left")
+    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies(F.col(rate), F.col("doc_id").cast("long"), seed).cast("int"))))
     return repeated.select(*documents.columns)
 
 

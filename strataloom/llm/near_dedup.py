@@ -305,9 +305,10 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
 
 def deduplicated(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
     """One row of each class, the least doc_id's, all columns kept."""
-    held = tables.staged(documents.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    losers = classes(held, threshold, bands, rows, row="_row").filter("not kept").select(F.col("row").alias("_row"))
-    return held.join(losers, "_row", "left_anti").drop("_row")
+    row = tables.free_name(documents, "_row")
+    held = tables.staged(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
+    losers = classes(held, threshold, bands, rows, row=row).filter("not kept").select(F.col("row").alias(row))
+    return held.join(losers, row, "left_anti").drop(row)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.sources.stage import shared_dir, staged
 
-__all__ = ["partitions", "shared_dir", "sieve", "staged", "table", "text_or_empty"]
+__all__ = ["free_name", "partitions", "shared_dir", "sieve", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(frame: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until no column of ``frame`` has that name in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def text_or_empty(column: str = "text"):
     """The text column, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
