@@ -14,7 +14,8 @@ bytes that they span they are a *run*.
    share a window. In a bucket, multikey quicksort over 8-byte words puts the
    suffixes in order; the longer common prefix with a neighbour bounds how far
    right a run's repeats can reach. The windows within that bound are compared
-   by 64-bit fingerprints of all their bytes.
+   by 64-bit fingerprints of all their bytes. Leading bytes with very many
+   different runs are first lengthened, see ``repeated_spans``.
 4. Repeated windows return to their documents and the bytes they cover go.
 
 Cases: a null text is empty; texts shorter than ``length`` keep everything; of
@@ -48,8 +49,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int
     prefix = textkit.prefix_hash(data)
     at = np.arange(len(data) - lead + 1)
     token = textkit.span_hash(prefix, at, at + lead)
-    bits = U64(int(len(data)).bit_length())
-    low = U64((1 << int(bits)) - 1)
+    low = U64((1 << 32) - 1)  # half of the hash, then the place: a fixed split, so that equal windows agree in every chunk
     best = (token & ~low) | (low - at.astype(U64))
     width, have = length - lead + 1, 1
     while have * 2 <= width:
@@ -169,6 +169,11 @@ def anchored(texts: DataFrame, length: int, lead: int) -> DataFrame:
     return texts.mapInArrow(find, "doc_id long, t1 long, t2 long, token long, anchor int, first int, last int")
 
 
+def _names(prefix: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
+    """Two hashes that tell the bytes of each run."""
+    return _signed(textkit.span_hash(prefix, first, end)).tolist(), _signed(textkit.span_hash(prefix, first + 1, end - 1)).tolist()
+
+
 def contexts(texts: DataFrame, length: int) -> DataFrame:
     """(key, first, token, off, size, c1, c2, bytes) of the runs listed with each text."""
 
@@ -179,9 +184,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
                 raw = np.frombuffer(text.encode(), np.uint8)
                 prefix = textkit.prefix_hash(raw)
                 first, last = (np.array([x[k] for x in found]) for k in ("first", "last"))
-                name = textkit.span_hash(prefix, first, last + length)
-                other = textkit.span_hash(prefix, first + 1, last + length - 1)
-                for x, c1, c2 in zip(found, _signed(name).tolist(), _signed(other).tolist(), strict=True):
+                for x, c1, c2 in zip(found, *_names(prefix, first, last + length), strict=True):
                     row = (doc, t1, t2, x["first"], x["token"], x["anchor"] - x["first"], x["last"] - x["first"] + 1, c1, c2, raw[x["first"] : x["last"] + length].tobytes())
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
@@ -234,7 +237,61 @@ def covered(distinct: DataFrame, length: int, batch_bytes: int = 1 << 22) -> Dat
     return dealt.select("c1", "c2", "token", "off", "size", "n", "bytes").mapInArrow(search, "c1 long, c2 long, from int, to int")
 
 
-def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+def narrowed(distinct: DataFrame, length: int, lead: int) -> DataFrame:
+    """(p1, p2, at, token, off, size, n, c1, c2, bytes): the runs of ``distinct``, cut anew by anchors with more leading bytes.
+
+    ``p1``, ``p2`` name the run that is cut, ``at`` is the new run's first window in it.
+    """
+    names = ["p1", "p2", "at", "token", "off", "size", "n", "c1", "c2", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            if not raw:
+                continue
+            data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+            text, anchor, first, last, token = runs(data, offsets, length, lead)
+            c1, c2 = _names(textkit.prefix_hash(data), first, last + length)
+            take = pa.array(text)
+            base = offsets[text]
+            own = [data[a:b].tobytes() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+            columns = [batch.column(0).take(take), batch.column(1).take(take), first - base, _signed(token), anchor - first, last - first + 1, batch.column(2).take(take), c1, c2, own]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    schema = "p1 long, p2 long, at int, token long, off int, size int, n long, c1 long, c2 long, bytes binary"
+    return distinct.select("c1", "c2", "n", "bytes").mapInArrow(cut, schema)
+
+
+def repeated_spans(held: DataFrame, length: int, lead: int, most: int) -> DataFrame:
+    """(c1, c2, from, to) of the runs in ``held`` (with their number ``n``), whatever the share of one token.
+
+    Leading bytes with more than ``most`` different runs (a very common
+    passage, at whose ends every text goes on in its own way) are not gathered:
+    these runs are cut anew by anchors with more leading bytes, half of what is
+    missing to a whole window each time. Runs whose new leading bytes are alone
+    go, equal ones become one; with a whole window's leading bytes none is left
+    to compare.
+    """
+    same = ["c1", "c2", "token", "off", "size"]
+    merge = lambda rows: rows.groupBy(*same).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+    if lead >= length:
+        return covered(merge(held), length)
+    sizes = held.select("token", "c1", "c2").distinct().groupBy("token").agg(F.count("*").alias("runs"))
+    hot = tables.staged(sizes.filter(F.col("runs") > most).select("token"), "hot")
+    if hot.isEmpty():
+        return covered(merge(held), length)
+    longer = (lead + length + 1) // 2
+    cold = covered(merge(held.join(hot, "token", "left_anti")), length)
+    parts = tables.staged(narrowed(merge(held.join(hot, "token", "left_semi")), length, longer), "narrowed")
+    twice = tables.staged(parts.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token"), "tokens")
+    kept = tables.staged(parts.join(twice, "token"), "narrowed")
+    inner = tables.staged(repeated_spans(kept, length, longer, most), "spans")
+    own = kept.select("p1", "p2", "at", "c1", "c2").join(inner, ["c1", "c2"])
+    return cold.unionByName(own.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
+
+
+def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, most: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
 
     ``kept``: the bytes that stay, as binary (a cut may fall inside a character); null where nothing goes.
@@ -250,9 +307,7 @@ def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD) -> Dat
     equal = lambda a, b: [a[k].eqNullSafe(b[k]) for k in KEY]
     texts = near.join(listed, equal(near, listed)).select(near["doc_id"], near["t1"], near["t2"], "text", "found")
     held = tables.staged(contexts(texts, length), "contexts")
-    same = ["c1", "c2", "token", "off", "size"]
-    distinct = held.groupBy(*same).agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    spans = tables.staged(covered(distinct, length), "spans")
+    spans = tables.staged(repeated_spans(held.withColumn("n", F.lit(1).cast("long")), length, lead, most), "spans")
     own = held.select(*KEY, "first", "c1", "c2").distinct().join(spans, ["c1", "c2"])
     own = own.select(*KEY, F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b")).alias("span"))
     gone = tables.staged(own.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans")), "gone")

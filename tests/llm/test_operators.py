@@ -315,12 +315,12 @@ def stripped(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_repeats_are_removed_byte_by_byte(documents, length):
+@pytest.mark.parametrize(("length", "most"), [(40, 4096), (40, 2), (400, 4096), (400, 3)])
+def test_repeats_are_removed_byte_by_byte(documents, length, most):
     rows = documents.select("doc_id", "text").collect()
     raw = [(r.text or "").encode() for r in rows]
     want = Counter((r.doc_id, len(t), hashlib.sha256(k).hexdigest()) for r, t, k in zip(rows, raw, stripped(raw, length), strict=True))
-    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64).collect()
+    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64, most).collect()
     assert want == Counter((r.doc_id, r.n_bytes, r.kept_sha256) for r in found)
     assert all((r.n_removed > 0) == (r.n_spans > 0) for r in found)
 
