@@ -279,10 +279,12 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     nodes = tables.staged(signed.groupBy(*one).agg(F.min(F.struct("row", "bands")).alias("m"), F.count("*").alias("copies")).select(*one, "m.row", "m.bands", "copies"), "nodes")
     spots = nodes.filter("n > 0").select("row", F.posexplode("bands").alias("band", "hash"))
     key = ["band", "hash"]
-    meets = spots.groupBy(*key).agg(F.count("*").alias("met")).filter("met > 1")
+    # Staged, so that the join deals both of its sides anew and Spark can split a hot bucket.
+    meets = tables.staged(spots.groupBy(*key).agg(F.count("*").alias("met")).filter("met > 1"), "meets")
     shared = tables.staged(spots.join(meets, key), "buckets")
     fame = shared.groupBy("row").agg(F.sum("met").alias("fame"))
     leaders = shared.join(fame, "row").groupBy(*key).agg(F.max(F.struct("fame", "row")).alias("lead"))
+    leaders = tables.staged(leaders, "leaders")
     star = shared.join(leaders, key).select(F.least("row", "lead.row").alias("a"), F.greatest("row", "lead.row").alias("b")).filter("a <> b").distinct()
     star = tables.staged(star, "pairs")
     needed = nodes.join(shared.select("row").distinct(), "row").select("row", *one)
