@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from strataloom.operators import catalog as op
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
+from strataloom.sources.stage import shared_dir
 
 
 def volumes(spark, sf):
@@ -123,8 +123,7 @@ select vol % 25 as source, lpad(cast(vol * 8 + z as varchar), 6, '0') as layer,
 def sink_prompt_tables(spark, sf):
     boxes = fx.voxels(spark, sf).groupBy("vol", "z", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     named = boxes.selectExpr("vol % 25 as source", "lpad(cast(vol * 8 + z as string), 6, '0') as layer", "label as label_id", "x0", "y0", "x1", "y1")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sink-")
-    path = f"{shared.rstrip('/')}/prompts-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}"
     named.repartition("source").write.partitionBy("source").csv(path, header=True)
     return spark.read.schema("layer string, label_id int, x0 int, y0 int, x1 int, y1 int, source int").csv(path, header=True).select(named.columns)
 
