@@ -177,9 +177,13 @@ class UnitCache:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
-            if self.count + len(new) > self.mask // 2 and self.count:
+            if self.count + len(new) > self.mask // 2:
+                if self.count:
+                    self.clear()
+                    return self.find(data, starts, ends, hashes)
+                while len(new) > self.mask // 2:  # one text of millions of distinct units
+                    self.mask = 2 * self.mask + 1
                 self.clear()
-                return self.find(data, starts, ends, hashes)
             raw, pick = data.tobytes(), missing[first]
             self._add(new, self.encode([raw[s:e] for s, e in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]))
             at[missing] = self._probe(hashes[missing])
