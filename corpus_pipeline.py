@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and place."""
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(docs), tasks=packing.tasks_for(docs))
 
 
 STAGES = [

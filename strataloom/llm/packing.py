@@ -89,7 +89,13 @@ def pieces(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = N
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_or_empty().alias("text")).mapInArrow(tokenise, PIECES)
 
 
-def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 8192, block: int = 16384) -> DataFrame:
+def tasks_for(documents: DataFrame) -> int:
+    """Packing tasks: one for 4,096 documents, as every task leaves its last bins unfilled; of more than fit the session's partitions, one for 500,000."""
+    n = documents.count()
+    return max(1, min(n // 4096, max(tables.partitions(documents.sparkSession), n // 500_000)))
+
+
+def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 8192, block: int = 16384, tasks: int | None = None) -> DataFrame:
     """``parts`` (columns of PIECES) with ``sequence_id`` and ``offset``.
 
     A task takes its pieces in an order fixed by their hash, in blocks whose
@@ -118,11 +124,12 @@ def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 8192, block: i
         if held:
             yield from packed()
 
-    dealt = parts.select(*names).repartition(tables.partitions(parts.sparkSession), *names)
+    dealt = parts.select(*names).repartition(tasks or tables.partitions(parts.sparkSession), *names)
     ordered = dealt.sortWithinPartitions(F.xxhash64(*names), *names)
     return ordered.mapInArrow(assign, f"{PIECES}, sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
-    return pack(pieces(tables.table(spark, sf_dir, "documents")))
+    documents = tables.table(spark, sf_dir, "documents")
+    return pack(pieces(documents), tasks=tasks_for(documents))
