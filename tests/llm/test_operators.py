@@ -363,6 +363,30 @@ def test_tool_calls_in_order(spark):
     assert tool_calls.linked(calls.filter("false"), results.filter("false"), schemas).count() == 0
 
 
+def test_tool_arguments_keep_their_types(spark):
+    given = [
+        '{"limit":3,"query":"x","more":{"z":[true,null,1.5],"a":{"d":1,"c":"2"}}}', '{"limit":"3","query":5}', '{"limit":3.5,"query":"x"}', '{"limit":3.0,"query":null}',
+        '{"query":"x","score":1.5,"on":true,"more":{},"list":[1],"none":null}', '{"query":"x","score":"1","on":1,"more":[],"list":{},"none":0,"odd":1}', "[1]",
+    ]
+    types = [("query", "string", True), ("limit", "integer", False), ("score", "number", False), ("on", "boolean", False), ("more", "object", False), ("list", "array", False), ("none", "null", False), ("odd", "date", False)]
+    calls = spark.createDataFrame([(1, i, f"c{i}", "t", a, []) for i, a in enumerate(given)], "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("t", *t) for t in types], tool_calls.SCHEMA_TYPE)
+    rows = sorted(tool_calls.linked(calls, results, schemas).collect(), key=lambda r: r.turn)
+    assert [r.problems for r in rows] == [
+        "", "no integer limit; no string query", "no integer limit", "missing query", "",
+        "no array list; no boolean on; no null none; no number score; no object more; unknown type date of odd", "missing query; no object",
+    ]
+    assert rows[0].json == '{"arguments":{"limit":3,"more":{"a":{"c":"2","d":1},"z":[true,null,1.5]},"query":"x"},"id":"c0","role":"assistant","tool":"t"}'
+    assert rows[3].json.startswith('{"arguments":{"limit":3,"query":null}') and rows[6].json == '{"id":"c6","role":"assistant","tool":"t"}'
+
+
+def test_tool_call_query_writes_numbers(spark):
+    found = tool_calls.op9_tool_calls(spark, "/root/testdata/sf0.001").filter("kind = 'call'")
+    limits = found.selectExpr("schema_of_variant(variant_get(parse_json(json), '$.arguments.limit')) as type").groupBy("type").count().collect()
+    assert [r.type for r in limits] == ["BIGINT"]
+
+
 def test_empty_tables(nothing, spark, tmp_path):
     assert packing.pack(packing.pieces(nothing)).count() == 0
     assert exact_dedup.classes(nothing).count() == 0 and exact_dedup.deduplicated(nothing).count() == 0
