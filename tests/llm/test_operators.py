@@ -381,6 +381,48 @@ def test_tool_arguments_keep_their_types(spark):
     assert rows[3].json.startswith('{"arguments":{"limit":3,"query":null}') and rows[6].json == '{"id":"c6","role":"assistant","tool":"t"}'
 
 
+CALLS = "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>"
+RESULTS = "conv_id long, turn long, call_id string, content string"
+
+
+def test_tool_calls_without_an_identifier_of_their_own_have_rows(spark):
+    good = '{"query":"x"}'
+    calls = [(1, 1, "a", "search", good, []), (1, 3, "a", "search", "{}", []), (1, 3, "a", "search", "{}", []), (1, 4, None, "search", good, ["a"]), (None, 1, "a", "search", good, []), (None, 2, "b", "search", good, ["a"])]
+    results = [(1, 2, "a", "r"), (1, 5, "a", "s"), (1, 6, None, "t"), (None, 3, "b", "u")]
+    schemas = spark.createDataFrame(tool_calls.SCHEMAS, tool_calls.SCHEMA_TYPE)
+    found = tool_calls.linked(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas, every=True).collect()
+    rows = sorted(found, key=lambda r: (r.conv_id is None, r.place))
+    assert [(r.conv_id, r.place, r.kind, r.turn, r.level, r.linked, r.problems) for r in rows] == [
+        (1, 0, "call", 1, 0, True, ""), (1, 1, "result", 2, 0, True, ""), (1, 2, "call", 3, None, False, "repeated; missing query"), (1, 3, "call", 3, None, False, "repeated; missing query"),
+        (1, 4, "call", 4, None, False, "no identifier"), (1, 5, "result", 5, None, False, "repeated"), (1, 6, "result", 6, None, False, "no identifier"),
+        (None, 0, "call", 1, 0, False, ""), (None, 1, "call", 2, 1, True, ""), (None, 2, "result", 3, 1, True, ""),
+    ]
+    assert rows[4].json == '{"arguments":{"query":"x"},"role":"assistant","tool":"search"}'
+
+
+def test_tool_call_query_keeps_repeated_turns(spark, tmp_path):
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (None, 0, "user", "d"), (1, None, "user", "e")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert Counter(r.problems for r in tool_calls.op9_tool_calls(spark, str(tmp_path)).collect())["repeated"] == 1
+    assert tool_calls.op9_tool_calls(spark, str(tmp_path)).count() == 5
+
+
+def test_levels_of_deep_and_branching_calls(spark):
+    rng = random.Random(5)
+    needs = {("deep", f"d{i}"): [f"d{i - 1}"] * (i > 0) for i in range(300)}
+    needs |= {("odd", k): v for k, v in {"a": ["b"], "b": ["a"], "c": ["a"], "d": ["none"], "e": ["d"], "f": ["f"], "g": ["h", "c"], "h": [], "i": ["h", "h"], "j": [None], "k": ["i", "none"], "l": ["k"], "m": None}.items()}
+    needs |= {(None, f"n{i}"): [f"n{rng.randrange(max(0, i - 30), i)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]) if i else 0)] for i in range(120)}
+    want = {}
+    while True:
+        new = {(c, k): 1 + max((want[c, d] for d in v or []), default=-1) for (c, k), v in needs.items() if (c, k) not in want and all((c, d) in want for d in v or [])}
+        if not new:
+            break
+        want |= new
+    calls = spark.createDataFrame([(*k, v) for k, v in needs.items()], "conv_id string, call_id string, depends_on array<string>")
+    found = tool_calls.levels(calls).collect()
+    assert len(found) == len(want) and {(r.conv_id, r.call_id): r.level for r in found} == want and want["deep", "d299"] == 299
+
+
 def test_tool_call_query_writes_numbers(spark):
     found = tool_calls.op9_tool_calls(spark, "/root/testdata/sf0.001").filter("kind = 'call'")
     limits = found.selectExpr("schema_of_variant(variant_get(parse_json(json), '$.arguments.limit')) as type").groupBy("type").count().collect()
