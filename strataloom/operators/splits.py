@@ -72,15 +72,25 @@ def source_weights(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "source")
 
 
-def balanced_draw(rows: DataFrame, order: list[str], draws: int, seed: int) -> DataFrame:
-    """(draw, source, place, ..): draws with replacement, each source as likely as any other."""
-    sizes = rows.groupBy("source").agg(F.count("*").alias("_n"))
+def balanced_draw(rows: DataFrame, order: list[str], draws: int | None, seed: int, buckets: int = 64) -> DataFrame:
+    """(draw, source, place, ..): draws with replacement, each source as likely as any other.
+
+    As many as there are rows where ``draws`` is None. Places in a source are
+    counted by hash buckets of ``order``, so that no task sorts a whole source.
+    """
+    mixed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    parts = mixed.groupBy("source", "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    sizes = parts.groupBy("source").agg(F.sum("_size").alias("_n"))
     sizes = sizes.withColumn("_s", F.row_number().over(Window.orderBy("source")) - 1)
     n_sources = sizes.agg(F.count("*").alias("_k"))
-    lots = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(n_sources))
-    lots = lots.withColumn("_s", F.floor(uniform(seed, "draw") * F.col("_k")).cast("int")).join(sizes, "_s")
-    lots = lots.withColumn("place", F.floor(uniform(seed + 1, "draw") * F.col("_n")).cast("int"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1)
+    lots = rows.sparkSession.range(rows.count() if draws is None else draws).withColumnRenamed("id", "draw").join(F.broadcast(n_sources))
+    lots = lots.withColumn("_s", F.floor(uniform(seed, "draw") * F.col("_k")).cast("int")).join(F.broadcast(sizes), "_s")
+    lots = lots.withColumn("place", F.floor(uniform(seed + 1, "draw") * F.col("_n")).cast("long"))
+    own = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order)) - 1
+    placed = mixed.withColumn("_own", own).join(F.broadcast(parts.drop("_size")), ["source", "_bucket"])
+    placed = placed.withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_before")
     return lots.select("draw", "source", "place").join(placed, ["source", "place"])
 
 

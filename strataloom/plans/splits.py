@@ -96,7 +96,7 @@ def smp_source_weights(spark, sf):
 @query("smp_balanced_draw")
 def smp_balanced_draw(spark, sf):
     rows = fx.slices(spark, sf).withColumn("source", F.expr("vol % 25"))
-    return op.balanced_draw(rows, ["vol", "orientation", "n"], 10_000, 11).select("draw", "source", "vol", "orientation", "n")
+    return op.balanced_draw(rows, ["vol", "orientation", "n"], None, 11).select("draw", "source", "vol", "orientation", "n")
 
 
 @query("smp_shuffle_batches")

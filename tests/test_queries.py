@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom import registry
-from strataloom.operators import descriptors, stencil
+from strataloom.operators import descriptors, splits, stencil
 from strataloom.sources import fixture as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -69,6 +69,21 @@ def test_draws_are_balanced(spark):
     assert sum(counts) == 10_000 and max(counts) < 1.2 * min(counts)
 
 
+def test_an_epoch_draws_as_often_as_the_pool_has_rows(spark):
+    assert run(spark, "smp_balanced_draw").count() == fx.slices(spark, DATA).count()
+
+
+def test_draws_reach_every_place_of_a_source(spark):
+    rows = spark.range(300).selectExpr("id % 3 * (id % 2) as source", "id as n")
+    found = splits.balanced_draw(rows, ["n"], 20_000, 11)
+    counts = [r["count"] for r in found.groupBy("source").count().collect()]
+    assert sum(counts) == 20_000 and max(counts) < 1.1 * min(counts)
+    assert found.select("source", "n").distinct().count() == 300
+    assert found.select("source", "place", "n").distinct().count() == 300
+    sizes = {r.source: (r.low, r.high, r.n) for r in found.groupBy("source").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count_distinct("place").alias("n")).collect()}
+    assert all(low == 0 and high == n - 1 for low, high, n in sizes.values())
+
+
 def test_batches_are_full_permutations(spark):
     found = run(spark, "smp_shuffle_batches")
     sizes = {r["count"] for r in found.groupBy("batch").count().collect()}
