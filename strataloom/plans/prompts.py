@@ -96,7 +96,7 @@ select sample, y, x, round(case when m = 0 then 2 * v + 1 else v end, 5) + 0e0 a
 def prm_point_map(spark, sf):
     from strataloom.operators import scores
 
-    rows = fx.table(spark, sf, "events").filter("event_type = 'purchase'").selectExpr("user_id % 200 as sample", "cast(event_id % 17 as int) as x", "cast(event_id % 13 as int) as y", "event_id as n", "case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity")
+    rows = fx.table(spark, sf, "events").selectExpr("user_id % 200 as sample", "cast(event_id % 17 as int) as x", "cast(event_id % 13 as int) as y", "event_id as n", "case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity")
     found = op.point_map(scores.first_points(rows, ["sample"]), ["sample"], 13, 17, 30.0)
     return found.withColumn("prompt", F.round("prompt", 5) + 0.0)
 

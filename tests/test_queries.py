@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import math
 import os
 from collections import Counter
 
@@ -84,6 +85,22 @@ def test_draws_reach_every_place_of_a_source(spark):
     assert all(low == 0 and high == n - 1 for low, high, n in sizes.values())
 
 
+def test_point_maps_take_all_events(spark):
+    events = fx.table(spark, DATA, "events").selectExpr("user_id % 200 as sample", "event_id % 17 as x", "event_id % 13 as y", "event_id as n", "case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity").collect()
+    points, maps = {}, {}
+    for e in sorted(events, key=lambda e: e.n):
+        points.setdefault((e.sample, e.x, e.y), e.polarity)
+    for (sample, x, y), polarity in points.items():
+        grid = [(2 * polarity - 1) * math.exp(-((b - x) ** 2 + (a - y) ** 2) / 60) for a in range(13) for b in range(17)]
+        total, most = maps.get(sample, ([0.0] * 221, 0))
+        maps[sample] = [s + g for s, g in zip(total, grid, strict=True)], max(most, polarity)
+    found = {(r.sample, r.y, r.x): r.prompt for r in run(spark, "prm_point_map").collect()}
+    assert len(found) == 221 * len(maps)
+    for sample, (total, most) in maps.items():
+        for i, v in enumerate(total):
+            assert abs(found[sample, i // 17, i % 17] - (v if most else 2 * v + 1)) < 2e-5
+
+
 def test_batches_are_full_permutations(spark):
     found = run(spark, "smp_shuffle_batches")
     sizes = {r["count"] for r in found.groupBy("batch").count().collect()}
