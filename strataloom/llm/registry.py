@@ -31,7 +31,6 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express."""
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
-        "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "op9_tool_calls": tool_calls.OP9_SQL,
