@@ -3,7 +3,7 @@
 Terms are words (runs of letters, A-Z in lower case) and their beginnings of
 4 and 5 characters. A sample of the labelled rows, of ``examples`` in the
 mean, chooses the terms that mark the label (chi-square among those whose share of
-the label is three times the base rate, ``terms`` at most) and gives the examples; inverse document frequencies come from all documents.
+the label is three times the base rate, ``terms`` at most if given) and gives the examples; inverse document frequencies come from all documents.
 
 The examples' weights lie in an inverted index: for each term its postings in
 the order of the examples, in blocks of 64 examples with the largest weight of
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strataloom.llm import tables, textkit
 from strataloom.llm.textkit import U64, mix
 
-EXAMPLES, TERMS, LEAST_CHI, LEAST_ROWS, LEAST_LIFT, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 20_000, 512, 30.0, 5, 3.0, 25, 64, 0.5, 0.7
+EXAMPLES, TERMS, LEAST_CHI, LEAST_ROWS, LEAST_LIFT, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 20_000, None, 30.0, 5, 3.0, 25, 64, 0.5, 0.7
 BEGINNINGS = (4, 5)
 
 
@@ -80,7 +80,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def chosen_terms(texts: DataFrame, rows: int, positives: int, terms: int) -> list[int]:
+def chosen_terms(texts: DataFrame, rows: int, positives: int, terms: int | None) -> list[int]:
     """Hashes of the terms that mark the label most, from (label, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,8 @@ def chosen_terms(texts: DataFrame, rows: int, positives: int, terms: int) -> lis
     # A large sample makes weak ties significant; a term must also be several times as frequent with the label.
     share = min(LEAST_LIFT * p / t, (1 + p / t) / 2)
     best = found.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows) & (F.col("hits") >= F.lit(share) * F.col("n"))).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI)
-    return [r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(terms).collect()]
+    best = best.orderBy(F.desc("chi"), "term")
+    return [r["term"] for r in (best if terms is None else best.limit(terms)).collect()]
 
 
 def vectors(documents: DataFrame, terms: list[int]) -> DataFrame:
@@ -196,11 +197,11 @@ class BlockMaxIndex:
         return float(min(max(score, 0.0), 1.0)), int(self.docs[found[0]]), float(similar[0]), int(rows.sum())
 
 
-def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int | None = TERMS) -> DataFrame:
     """(doc_id, held_out, score, predicted, nearest_doc_id, similarity, votes) of every row.
 
     ``examples`` bounds the mean number of labelled rows that are learned from,
-    ``terms`` the terms; everything else covers all rows.
+    ``terms`` the terms (all that pass where it is None); everything else covers all rows.
     """
     spark = documents.sparkSession
     rows = tables.staged(training(documents, labels, examples), "examples")  # bounded by ``examples``

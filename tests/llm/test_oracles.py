@@ -88,3 +88,9 @@ def test_toxicity_equals_a_brute_force_vote(spark, tmp_path):
             near = [x for x in near if x[0] >= near[24][0] - 1e-12]
         score = (sum(s * v for s, v in near) + 0.5 * p / t) / (sum(s for s, _ in near) + 0.5)
         assert r.votes == len(near) and abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.7)
+
+
+def test_all_terms_that_pass_are_chosen(spark):
+    words = " ".join(a + b + c + "xyz" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdef")
+    texts = spark.createDataFrame([(int(i < 40), words if i < 40 else "plain") for i in range(200)], "label int, text string")
+    assert len(toxicity.chosen_terms(texts, 200, 40, toxicity.TERMS)) == len(terms_of(words))
