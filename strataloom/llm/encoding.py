@@ -130,9 +130,15 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 def encoded(column: pa.Array, path: str):
-    """(row, ids) of each text of an Arrow column, in order."""
-    encoder = byte_bpe(path)
-    for first, last, data, offsets in textkit.chunks(column):
+    """(row, ids) of each text of an Arrow column, in order; long texts are encoded in parts."""
+    encoder, held = byte_bpe(path), []
+    for first, last, data, offsets, ended in textkit.parts(column):
         ids, bounds = encoder.encode(data, offsets)
+        if held or not ended:
+            held.append(ids)
+            if ended:
+                yield first, np.concatenate(held)
+                held = []
+            continue
         for i in range(last - first):
             yield first + i, ids[bounds[i] : bounds[i + 1]]

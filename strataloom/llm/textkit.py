@@ -2,7 +2,7 @@
 
 A column is taken in chunks of whole texts; within a chunk the UTF-8 bytes of
 all texts lie one after the other, so that words are spans of one byte array.
-Spans are compared by 64-bit polynomial hashes taken from one prefix sum.
+Spans are told apart by hashes of two polynomials over primes, taken from prefix sums.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Primes below 2**31 and a base for each. Modulo a power of two every odd base has short colliding words; modulo a prime it has none of that form.
+_PRIMES = (U64(2147483647), U64(2147483629))
+_BASES = (1337420069, 1881210719)
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -33,18 +36,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_BYTE_VALUES = [mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(k)) % (p - U64(1)) + U64(1) for k, p in enumerate(_PRIMES)]
+
+
+def _power_row(n: int, base: int, prime: int) -> np.ndarray:
+    """1, base, base**2, ... modulo the prime, by doubling."""
+    out = np.ones(n, U64)
+    done = 1
+    while done < n:
+        step = U64(pow(base, done, prime))
+        out[done : 2 * done] = out[: min(done, n - done)] * step % U64(prime)
+        done *= 2
+    return out.astype(np.uint32)
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U64), np.full(n, _BASE_INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [tuple(_power_row(n, b, int(p)) for b in (base, pow(base, -1, int(p)))) for base, p in zip(_BASES, _PRIMES, strict=True)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least."""
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, n at least."""
     return _powers(max(CHUNK_BYTES * 2, 1 << int(n).bit_length()))
 
 
@@ -73,13 +85,42 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
+def parts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, last row + 1, bytes, offsets, ended): ``chunks`` whose long texts come in several parts.
+
+    A text of more than ``limit`` bytes is cut before spaces between two ASCII
+    letters, where a word ends under any rule of words; all its parts but the
+    last are not ``ended``. A text without such a place is one part.
+    """
+    for first, last, data, offsets in chunks(column, limit):
+        begin = 0
+        while last == first + 1 and len(data) - begin > limit:
+            cut = _cut(data, begin + limit)
+            if cut is None:
+                break
+            yield first, last, data[begin:cut], np.array([0, cut - begin]), False
+            begin = cut
+        yield first, last, data[begin:], offsets if not begin else np.array([0, len(data) - begin]), True
+
+
+def _cut(data: np.ndarray, at: int, step: int = 1 << 16) -> int | None:
+    """The first place from ``at`` on that holds a space between two ASCII letters."""
+    while at < len(data) - 1:
+        near = data[at - 1 : at + step + 1]
+        letter = ASCII_LETTER[near]
+        found = np.flatnonzero((near[1:-1] == 32) & letter[:-2] & letter[2:])
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return None
+
+
 def prefix_hash(data: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """Polynomial prefix sums of the bytes, folded by a table of 256 if given."""
-    table = _BYTE_VALUES if fold is None else _BYTE_VALUES[fold]
-    out = np.zeros(len(data) + 1, U64)
+    """Polynomial prefix sums of the bytes for both primes, folded by a table of 256 if given."""
+    out = np.zeros((2, len(data) + 1), U64)
     if len(data):
-        up, _ = powers(len(data))
-        np.cumsum(table[data] * up[: len(data)], out=out[1:])
+        for row, values, prime, (up, _) in zip(out, _BYTE_VALUES, _PRIMES, powers(len(data)), strict=True):
+            np.cumsum((values if fold is None else values[fold])[data] * up[: len(data)] % prime, out=row[1:])
     return out
 
 
@@ -87,9 +128,10 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """Hashes of the spans; equal spans have equal hashes wherever they lie."""
     if not len(starts):
         return np.zeros(0, U64)
-    _, down = powers(len(prefix))
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(U64) * U64(0xA24BAED4963EE407)))
+    h = (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
+    for k, (row, prime, (_, down)) in enumerate(zip(prefix, _PRIMES, powers(prefix.shape[1]), strict=True)):
+        h ^= ((row[ends] - row[starts]) % prime * down[starts] % prime) << U64(32 * k)
+    return mix(h)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,25 +155,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class UnitCache:
-    """Values of text units by their hash; each distinct unit is encoded once.
+    """Values of text units; each distinct unit is encoded once.
 
     ``encode`` maps a list of byte strings to a list of integer lists. Hashes
     lie in an open-addressing table that numpy probes for many units at once.
-    When the table is half full it starts anew, so that it never grows with
-    the input.
+    Every hit is compared with the bytes of the unit it was stored for; units
+    whose hash belongs to another unit have a dictionary by their bytes.
+    When the table is half full, or the bytes exceed ``most_bytes``, it starts
+    anew, so that it never grows with the input.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 22, dtype=np.uint16):
-        self.encode, self.mask, self.dtype = encode, (1 << bits) - 1, dtype
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bits: int = 22, dtype=np.uint16, most_bytes: int = 1 << 26):
+        self.encode, self.mask, self.dtype, self.most_bytes = encode, (1 << bits) - 1, dtype, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(self.mask + 1, U64)
         self.slot = np.zeros(self.mask + 1, np.int32)
-        self.pool = np.zeros(1 << 16, self.dtype)
-        self.starts = np.zeros(1 << 14, np.int32)
-        self.lengths = np.zeros(1 << 14, np.int32)
-        self.used = self.count = 0
+        self.pool, self.starts, self.lengths = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.texts, self.text_starts, self.text_lengths = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = self.held = 0
+        self.others: dict[bytes, int] = {}
 
     def _probe(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes in the table; -1 where one is absent."""
@@ -155,23 +199,25 @@ class UnitCache:
             self.slot[at[placed]] = slots[placed]
             hashes, slots, at = hashes[~placed], slots[~placed], (at[~placed] + 1) & self.mask
 
-    def _add(self, hashes: np.ndarray, values: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        total, n = int(sizes.sum()), self.count
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(values) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+    def _store(self, units: list[bytes]) -> np.ndarray:
+        """Slots of new units, their values and bytes stored."""
+        values = self.encode(units)
+        n, m = self.count, self.count + len(units)
+        sizes, widths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (values, units))
+        total, more = int(sizes.sum()), int(widths.sum())
+        self.pool, self.texts = _room(self.pool, self.used + total), _room(self.texts, self.held + more)
+        self.starts, self.lengths, self.text_starts, self.text_lengths = (_room(x, m) for x in (self.starts, self.lengths, self.text_starts, self.text_lengths))
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(values), self.dtype, total)
-        self.starts[n : n + len(values)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[n : n + len(values)] = sizes
-        self.used += total
-        self.count += len(values)
-        self._insert(hashes, np.arange(n, self.count, dtype=np.int32))
+        self.texts[self.held : self.held + more] = np.frombuffer(b"".join(units), np.uint8)
+        self.starts[n:m], self.lengths[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.text_starts[n:m], self.text_lengths[n:m] = self.held + np.cumsum(widths) - widths, widths
+        self.used, self.held, self.count = self.used + total, self.held + more, m
+        return np.arange(n, m, dtype=np.int32)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each unit; values lie in ``pool`` at ``starts[slot]``."""
+        if self.count + len(self.others) and self.held > self.most_bytes:
+            self.clear()
         hashes = np.where(hashes == 0, U64(1), hashes)
         at = self._probe(hashes)
         missing = np.flatnonzero(at < 0)
@@ -184,12 +230,43 @@ class UnitCache:
                 while len(new) > self.mask // 2:  # one text of millions of distinct units
                     self.mask = 2 * self.mask + 1
                 self.clear()
-            raw, pick = data.tobytes(), missing[first]
-            self._add(new, self.encode([raw[s:e] for s, e in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]))
+            pick = missing[first]
+            self._insert(new, self._store(_units(data, starts[pick], ends[pick])))
             at[missing] = self._probe(hashes[missing])
-        return self.slot[at]
+        slots = self.slot[at]
+        for i in self._unlike(data, starts, ends, slots):
+            unit = data[starts[i] : ends[i]].tobytes()
+            if unit not in self.others:
+                self.others[unit] = int(self._store([unit])[0])
+            slots[i] = self.others[unit]
+        return slots
+
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray, step: int = 1 << 17) -> list[int]:
+        """Units whose bytes are not those of their slot."""
+        out = []
+        for a in range(0, len(starts), step):
+            own = slice(a, a + step)
+            width, begin = ends[own] - starts[own], self.text_starts[slots[own]]
+            unlike = width != self.text_lengths[slots[own]]
+            width = np.where(unlike, 0, width)
+            differ = data[ragged(starts[own], width)] != self.texts[ragged(begin, width)]
+            if differ.any():
+                unlike[np.repeat(np.arange(len(width)), width)[differ]] = True
+            out += (np.flatnonzero(unlike) + a).tolist()
+        return out
 
     def values(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the units one after the other, and each unit's length."""
         lengths = self.lengths[slots].astype(np.int64)
         return self.pool[ragged(self.starts[slots].astype(np.int64), lengths)], lengths
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for n elements, doubled as often as it takes."""
+    while n > len(x):
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
+def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
