@@ -8,15 +8,20 @@ bytes that they span they are a *run*.
 
 1. Runs whose leading k bytes start no other run are dropped (a count by hash).
 2. Equal runs become one, with their number. Two or more equal runs repeat whole.
-3. The other runs' suffixes are range-partitioned by their leading tokens with
-   Spark's sampled splitters. Suffixes that begin with the same k bytes have
-   the same leading token, so a boundary never lies between two that could
-   share a window. In a bucket, multikey quicksort over 8-byte words puts the
+3. The suffixes are range-partitioned by their leading k bytes, with Spark's
+   sampled splitters; suffixes with equal ones are split further, so that a
+   very common passage is no hot bucket. A bucket is worked through in blocks
+   of bounded size. In a block, multikey quicksort over 8-byte words puts the
    suffixes in order; the longer common prefix with a neighbour bounds how far
-   right a run's repeats can reach. The windows within that bound are compared
-   by 64-bit fingerprints of all their bytes. Leading bytes with very many
-   different runs are first lengthened, see ``repeated_spans``.
-4. Repeated windows return to their documents and the bytes they cover go.
+   right a run's repeats can reach. Windows within that bound are found by
+   fingerprints and compared byte by byte.
+4. Comparison across boundaries: the first and the last leading bytes of a
+   block may go on in another one. Where two blocks share them, the windows
+   of their runs are joined by a 128-bit BLAKE2 digest of their bytes.
+5. Repeated windows return to their documents and the bytes they cover go.
+
+Texts are anchored in pieces of 256 KB that overlap by a window, whatever
+their length, and runs that a piece's end cuts are put together again.
 
 Cases: a null text is empty; texts shorter than ``length`` keep everything; of
 equal rows each is a copy of the other; a null doc_id is a key like any other;
@@ -26,6 +31,7 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,30 +44,55 @@ from strataloom.llm.textkit import U64, mix
 
 LENGTH = 400
 LEAD = 64
+PIECE = 1 << 18
+BLOCK_BYTES = 1 << 20
 KEY = ["doc_id", "t1", "t2"]
+_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int = LEAD):
-    """(text, anchor, first window, last window, hash of the leading bytes) of the runs of a chunk; places in the chunk."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),)
-    prefix = textkit.prefix_hash(data)
-    at = np.arange(len(data) - lead + 1)
-    token = textkit.span_hash(prefix, at, at + lead)
-    low = U64((1 << 32) - 1)  # half of the hash, then the place: a fixed split, so that equal windows agree in every chunk
-    best = (token & ~low) | (low - at.astype(U64))
-    width, have = length - lead + 1, 1
+def tokens(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes at each place, put together from hashes of half as many."""
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a * U64(0x9E3779B97F4A7C15)
+        out += b
+        out ^= out >> U64(29)
+        out *= U64(0xBF58476D1CE4E5B9)
+        return out
+
+    value, have = _BYTES[data], 1
     while have * 2 <= width:
-        best = np.minimum(best[:-have], best[have:])
+        value = joined(value[:-have], value[have:])
         have *= 2
     if have < width:
-        best = np.minimum(best[:n], best[width - have : width - have + n])
-    anchor = (low - (best[:n] & low)).astype(np.int64)
+        n = len(data) - width + 1
+        value = joined(value[:n], value[width - have : width - have + n])
+    value ^= value >> U64(32)
+    return value
+
+
+def _least(best: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    n, have = len(best) - width + 1, 1
+    while have * 2 <= width:
+        best = np.minimum(best[:-have], best[have:])
+        have *= 2
+    return np.minimum(best[:n], best[width - have : width - have + n]) if have < width else best[:n]
+
+
+def _piece_runs(data: np.ndarray, offsets: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
+    n = len(data) - length + 1
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),)
+    if n <= 0:
+        return none
+    token = tokens(data, lead)
+    low = U64((1 << 32) - 1)  # half of the hash, then the place: a fixed split, so that equal windows agree in every chunk
+    best = _least((token & ~low) | (low - np.arange(len(token), dtype=U64)), length - lead + 1)
+    anchor = (low - (best & low)).astype(np.int64)
     text = np.searchsorted(offsets, np.arange(n), "right") - 1 if len(offsets) > 2 else np.zeros(n, np.int64)
     whole = np.flatnonzero(np.arange(n) + length <= offsets[text + 1])
     if not len(whole):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),)
+        return none
     a = anchor[whole]
     new = np.ones(len(whole), bool)
     new[1:] = (a[1:] != a[:-1]) | (whole[1:] != whole[:-1] + 1)
@@ -70,6 +101,25 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int
     return text[first], a[begin], first, last, token[a[begin]]
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, lead: int = LEAD, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(text, anchor, first window, last window, hash of the leading bytes) of the runs of a chunk; places in the chunk.
+
+    Only a chunk of one long text is worked through in pieces.
+    """
+    if len(offsets) != 2 or len(data) <= piece + length:
+        return _piece_runs(data, offsets, length, lead)
+    found = []
+    for begin in range(0, len(data) - length + 1, piece):
+        part = data[begin : begin + piece + length - 1]
+        text, anchor, first, last, token = _piece_runs(part, np.array([0, len(part)]), length, lead)
+        found.append((text, anchor + begin, first + begin, last + begin, token))
+    text, anchor, first, last, token = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.ones(len(first), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return text[begin], anchor[begin], first[begin], last[np.append(begin[1:], len(first)) - 1], token[begin]
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): the suffixes sorted within their groups, and each one's common prefix with the next in order.
 
@@ -117,6 +167,55 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group:
         depth += 8
 
 
+def equal_spans(data: np.ndarray, p: np.ndarray, q: np.ndarray, length: int, most: int = 1 << 21) -> np.ndarray:
+    """Whether the ``length`` bytes at p are those at q, pair by pair.
+
+    Neighbouring pairs at one distance are compared as one stretch, some
+    ``most`` bytes at a time.
+    """
+    low, far = np.minimum(p, q), np.abs(q - p)
+    order = np.lexsort((low, far))
+    low, far = low[order], far[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (far[1:] != far[:-1]) | (low[1:] != low[:-1] + 1)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(low))) + length - 1
+    ends = np.cumsum(size)
+    good = np.ones(len(low), bool)
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        own = slice(at, to)
+        places = textkit.ragged(low[begin[own]], size[own])
+        differ = data[places] != data[places + np.repeat(far[begin[own]], size[own])]
+        if differ.any():
+            total = np.concatenate([[0], np.cumsum(differ)])
+            windows = size[own] - length + 1
+            spot = textkit.ragged(np.cumsum(size[own]) - size[own], windows)
+            good[textkit.ragged(begin[own], windows)] = total[spot + length] == total[spot]
+        at = to
+    out = np.empty(len(low), bool)
+    out[order] = good
+    return out
+
+
+def equal_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the window at each place is equal, byte by byte, to one at another place."""
+    prints = tokens(data, length)[at]
+    rank = np.argsort(prints, kind="stable")
+    same = prints[rank[1:]] == prints[rank[:-1]]
+    hit = np.zeros(len(at), bool)
+    left, right = rank[:-1][same], rank[1:][same]
+    good = equal_spans(data, at[left], at[right], length)
+    hit[left[good]] = hit[right[good]] = True
+    if not good.all():  # different windows with one fingerprint: these are told apart by their bytes
+        doubtful = np.flatnonzero(np.isin(prints, np.unique(prints[left[~good]])))
+        each = [data[i : i + length].tobytes() for i in at[doubtful]]
+        count = Counter(each)
+        hit[doubtful] = [count[x] > 1 for x in each]
+    return hit
+
+
 def repeated_windows(data, starts, anchors, lasts, group, alone, length: int = LENGTH) -> np.ndarray:
     """Whether each window of the runs (one after the other) lies in another run, too.
 
@@ -134,12 +233,7 @@ def repeated_windows(data, starts, anchors, lasts, group, alone, length: int = L
     total = lasts - starts + 1
     out = np.zeros(int(total.sum()), bool)
     if len(at):
-        print_of = textkit.span_hash(textkit.prefix_hash(data), at, at + length)
-        rank = np.argsort(print_of, kind="stable")
-        same = print_of[rank[1:]] == print_of[rank[:-1]]
-        hit = np.zeros(len(at), bool)
-        hit[rank[1:][same]] = hit[rank[:-1][same]] = True
-        out[textkit.ragged(np.cumsum(total) - total, sizes)] = hit
+        out[textkit.ragged(np.cumsum(total) - total, sizes)] = equal_windows(data, at, length)
     whole = ~alone
     out[textkit.ragged((np.cumsum(total) - total)[whole], total[whole])] = True
     return out
@@ -154,12 +248,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _digests(spans: list) -> np.ndarray:
+    """(n, 2): 128-bit BLAKE2 digests of byte strings."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans]), np.int64).reshape(-1, 2)
+
+
+def _binary(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    raw = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def anchored(texts: DataFrame, length: int, lead: int) -> DataFrame:
     """(key, lead hash, anchor, first, last) of every run; places in the text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in textkit.chunks(batch.column(3)):
+            for first, _, data, offsets in textkit.chunks(batch.column(3), PIECE):
                 text, anchor, begin, end, token = runs(data, offsets, length, lead)
                 rows = pa.array(first + text)
                 base = offsets[text]
@@ -169,43 +275,48 @@ def anchored(texts: DataFrame, length: int, lead: int) -> DataFrame:
     return texts.mapInArrow(find, "doc_id long, t1 long, t2 long, token long, anchor int, first int, last int")
 
 
-def _names(prefix: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
-    """Two hashes that tell the bytes of each run."""
-    return _signed(textkit.span_hash(prefix, first, end)).tolist(), _signed(textkit.span_hash(prefix, first + 1, end - 1)).tolist()
-
-
 def contexts(texts: DataFrame, length: int) -> DataFrame:
-    """(key, first, token, off, size, c1, c2, bytes) of the runs listed with each text."""
+    """(key, first, off, size, c1, c2, bytes) of the runs listed with each text; c1, c2 name the bytes."""
+    names = [*KEY, "first", "off", "size", "c1", "c2", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(10)]
-            for doc, t1, t2, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                prefix = textkit.prefix_hash(raw)
-                first, last = (np.array([x[k] for x in found]) for k in ("first", "last"))
-                for x, c1, c2 in zip(found, *_names(prefix, first, last + length), strict=True):
-                    row = (doc, t1, t2, x["first"], x["token"], x["anchor"] - x["first"], x["last"] - x["first"] + 1, c1, c2, raw[x["first"] : x["last"] + length].tobytes())
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[*KEY, "first", "token", "off", "size", "c1", "c2", "bytes"])
+            data, bounds = _binary(batch.column(3).cast(pa.large_string()).cast(pa.large_binary()))
+            listed = batch.column(4)
+            edges = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            first, last, anchor = (listed.flatten().field(k).to_numpy() for k in ("first", "last", "anchor"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            begin = bounds[row] + first
+            end = bounds[row] + last + length
+            part = np.cumsum(end - begin) // (1 << 22)  # rows of some 4 MB leave together
+            for a, b in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+                own = slice(a, b)
+                each = [data[x:y].tobytes() for x, y in zip(begin[own].tolist(), end[own].tolist(), strict=True)]
+                name = _digests(each)
+                columns = [*(batch.column(i).take(pa.array(row[own])) for i in range(3)), pa.array(first[own]), pa.array(anchor[own] - first[own]), pa.array(last[own] - first[own] + 1), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(each, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts.mapInArrow(cut, "doc_id long, t1 long, t2 long, first int, off int, size int, c1 long, c2 long, bytes binary")
+
 
-    return texts.mapInArrow(cut, "doc_id long, t1 long, t2 long, first int, token long, off int, size int, c1 long, c2 long, bytes binary")
+FOUND = "c1 long, c2 long, from int, to int, head binary, block long, size int, bytes binary"
 
 
-def covered(distinct: DataFrame, length: int, batch_bytes: int = 1 << 22) -> DataFrame:
-    """(c1, c2, from, to): repeated windows of the distinct runs, by bucket."""
+def searched(distinct: DataFrame, length: int, lead: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of FOUND from (c1, c2, off, size, n, bytes): repeated windows of the runs, block by block.
+
+    Rows with a ``head`` are runs whose leading bytes may go on in another
+    block, for the comparison across boundaries.
+    """
+    names = ["c1", "c2", "from", "to", "head", "block", "size", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> pa.RecordBatch:
+        def done(table: pa.Table, group: np.ndarray, before: bool, after: bool) -> Iterator[pa.RecordBatch]:
             off, size, n = (table.column(k).to_numpy() for k in ("off", "size", "n"))
-            token = table.column("token").to_numpy()
-            raw = table.column("bytes").combine_chunks().cast(pa.large_binary())
-            bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-            starts = bounds[:-1] - bounds[0]
-            flags = repeated_windows(data, starts, starts + off, starts + size - 1, token, n == 1, length)
+            data, bounds = _binary(table.column("bytes"))
+            starts = bounds[:-1]
+            flags = repeated_windows(data, starts, starts + off, starts + size - 1, group, n == 1, length)
             ends = np.cumsum(size)
             # Runs lie one after the other; a gap between them keeps spans apart.
             spaced = np.zeros(len(flags) + len(size), bool)
@@ -213,85 +324,110 @@ def covered(distinct: DataFrame, length: int, batch_bytes: int = 1 << 22) -> Dat
             a, b = _spans(spaced)
             run = np.searchsorted(ends + np.arange(1, len(size) + 1), a, "right")
             base = (ends - size + np.arange(len(size)))[run]
-            take = pa.array(run)
-            return pa.RecordBatch.from_arrays([table.column("c1").combine_chunks().take(take), table.column("c2").combine_chunks().take(take), pa.array((a - base).astype(np.int32)), pa.array((b - base - 1).astype(np.int32))], names=["c1", "c2", "from", "to"])
-
-        held, size = [], 0
+            take = lambda k, rows: table.column(k).combine_chunks().take(pa.array(rows))
+            void = lambda kind, rows: pa.nulls(len(rows), kind)
+            columns = [take("c1", run), take("c2", run), pa.array((a - base).astype(np.int32)), pa.array((b - base - 1).astype(np.int32)), *(void(k, run) for k in kinds[4:])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            own = np.flatnonzero((before & (group == group[0])) | (after & (group == group[-1])))
+            block = int(table.column("c1")[0].as_py() ^ table.column("c2")[-1].as_py())
+            columns = [take("c1", own), take("c2", own), void(kinds[2], own), void(kinds[3], own), take("head", own), pa.array(np.full(len(own), block)), take("size", own), take("bytes", own)]
+            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        def groups(table: pa.Table) -> np.ndarray:
+            head = _binary(table.column("head"))[0].reshape(-1, lead)
+            return np.concatenate([[0], np.cumsum((head[1:] != head[:-1]).any(axis=1))])
+
+        held, size, before = [], 0, True
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size >= batch_bytes:
-                table = pa.Table.from_batches(held)
-                token = table.column("token").to_numpy()
-                edge = int(np.searchsorted(token, token[-1]))
-                if edge:
-                    yield done(table.slice(0, edge))
-                    table = table.slice(edge)
-                held, size = table.combine_chunks().to_batches(), table.nbytes
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                held.append(part)
+                size += part.nbytes
+                if size < block_bytes:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = groups(table)
+                edge = int(np.searchsorted(group, group[-1]))
+                if 2 * edge > len(group):  # the last leading bytes wait for the next block
+                    yield from done(table.slice(0, edge), group[:edge], before, False)
+                    held, before = table.slice(edge).combine_chunks().to_batches(), False
+                else:
+                    yield from done(table, group, before, True)
+                    held, before = [], True
+                size = sum(x.nbytes for x in held)
         if held:
-            yield done(pa.Table.from_batches(held))
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from done(table, groups(table), before, True)
 
-    dealt = distinct.repartitionByRange(tables.partitions(distinct.sparkSession), "token").sortWithinPartitions("token", "c1", "c2")
-    return dealt.select("c1", "c2", "token", "off", "size", "n", "bytes").mapInArrow(search, "c1 long, c2 long, from int, to int")
+    headed = distinct.withColumn("head", F.expr(f"substring(bytes, off + 1, {lead})"))
+    dealt = headed.repartitionByRange(tables.partitions(distinct.sparkSession), "head", "c1").sortWithinPartitions("head", "c1", "c2")
+    return dealt.select("c1", "c2", "head", "off", "size", "n", "bytes").mapInArrow(search, FOUND)
 
 
-def narrowed(distinct: DataFrame, length: int, lead: int) -> DataFrame:
-    """(p1, p2, at, token, off, size, n, c1, c2, bytes): the runs of ``distinct``, cut anew by anchors with more leading bytes.
+def across(found: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, from, to): windows of the runs at the edges of blocks (rows of FOUND with a head) that occur in two of them or more."""
 
-    ``p1``, ``p2`` name the run that is cut, ``at`` is the new run's first window in it.
-    """
-    names = ["p1", "p2", "at", "token", "off", "size", "n", "c1", "c2", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                data, bounds = _binary(part.column(3))
+                size = part.column(2).to_numpy()
+                row = np.repeat(np.arange(len(size)), size)
+                place = textkit.ragged(np.zeros(len(size), np.int64), size)
+                begin = (bounds[row] + place).tolist()
+                raw = data.tobytes()
+                name = _digests([raw[x : x + length] for x in begin])
+                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(name[:, 0]), pa.array(name[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "from", "w1", "w2"])
+
+    edge = found.filter("head is not null")
+    shared = tables.staged(edge.groupBy("head").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo <> hi").select("head"), "heads")
+    each = edge.join(shared, "head", "left_semi").select("c1", "c2", "size", "bytes").mapInArrow(windows, "c1 long, c2 long, from int, w1 long, w2 long")
+    each = tables.staged(each, "windows")
+    twice = tables.staged(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
+    return each.join(twice, ["w1", "w2"]).select("c1", "c2", "from", F.col("from").alias("to"))
+
+
+def repeated_spans(held: DataFrame, length: int, lead: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(c1, c2, from, to) of the runs in ``held``: their windows that lie in another run, too."""
+    same = ["c1", "c2", "off", "size"]
+    merged = held.groupBy(*same).agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    found = tables.staged(searched(merged, length, lead, block_bytes), "searched")
+    return found.filter("head is null").select("c1", "c2", "from", "to").unionByName(across(found, length))
+
+
+def stripped(texts: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) from (doc_id, text, sorted spans)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            raw = batch.column(3).to_pylist()
-            if not raw:
-                continue
-            data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-            text, anchor, first, last, token = runs(data, offsets, length, lead)
-            c1, c2 = _names(textkit.prefix_hash(data), first, last + length)
-            take = pa.array(text)
-            base = offsets[text]
-            own = [data[a:b].tobytes() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            columns = [batch.column(0).take(take), batch.column(1).take(take), first - base, _signed(token), anchor - first, last - first + 1, batch.column(2).take(take), c1, c2, own]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    schema = "p1 long, p2 long, at int, token long, off int, size int, n long, c1 long, c2 long, bytes binary"
-    return distinct.select("c1", "c2", "n", "bytes").mapInArrow(cut, schema)
-
-
-def repeated_spans(held: DataFrame, length: int, lead: int, most: int) -> DataFrame:
-    """(c1, c2, from, to) of the runs in ``held`` (with their number ``n``), whatever the share of one token.
-
-    Leading bytes with more than ``most`` different runs (a very common
-    passage, at whose ends every text goes on in its own way) are not gathered:
-    these runs are cut anew by anchors with more leading bytes, half of what is
-    missing to a whole window each time. Runs whose new leading bytes are alone
-    go, equal ones become one; with a whole window's leading bytes none is left
-    to compare.
-    """
-    same = ["c1", "c2", "token", "off", "size"]
-    merge = lambda rows: rows.groupBy(*same).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
-    if lead >= length:
-        return covered(merge(held), length)
-    sizes = held.select("token", "c1", "c2").distinct().groupBy("token").agg(F.count("*").alias("runs"))
-    hot = tables.staged(sizes.filter(F.col("runs") > most).select("token"), "hot")
-    if hot.isEmpty():
-        return covered(merge(held), length)
-    longer = (lead + length + 1) // 2
-    cold = covered(merge(held.join(hot, "token", "left_anti")), length)
-    parts = tables.staged(narrowed(merge(held.join(hot, "token", "left_semi")), length, longer), "narrowed")
-    twice = tables.staged(parts.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token"), "tokens")
-    kept = tables.staged(parts.join(twice, "token"), "narrowed")
-    inner = tables.staged(repeated_spans(kept, length, longer, most), "spans")
-    own = kept.select("p1", "p2", "at", "c1", "c2").join(inner, ["c1", "c2"])
-    return cold.unionByName(own.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
-
-
-def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, most: int = 4096) -> DataFrame:
+            data, bounds = _binary(batch.column(1).cast(pa.large_string()).cast(pa.large_binary()))
+            listed = batch.column(2)
+            edges = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            lefts, rights = (listed.flatten().field(k).to_numpy() for k in ("a", "b"))
+            out, held = [[] for _ in kinds], 0
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                raw = data[bounds[i] : bounds[i + 1]]
+                left, right = lefts[edges[i] : edges[i + 1]], np.maximum.accumulate(rights[edges[i] : edges[i + 1]])
+                new = np.ones(len(left), bool)
+                new[1:] = left[1:] > right[:-1]
+                begin, end = left[new], right[np.append(np.flatnonzero(new)[1:], len(left)) - 1]
+                rest = b"".join(raw[x:y].tobytes() for x, y in zip(np.append(0, end), np.append(begin, len(raw)), strict=True))
+                row = (doc, len(raw), len(raw) - len(rest), len(begin), hashlib.sha256(rest).hexdigest(), rest)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                held += len(rest)
+                if held > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out, held = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return texts.select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
 
     ``kept``: the bytes that stay, as binary (a cut may fall inside a character); null where nothing goes.
@@ -301,40 +437,18 @@ def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, most:
     found = tables.staged(anchored(text, length, lead), "runs")
     # Staged, so that the join deals both of its sides anew and Spark can split a hot token.
     twice = tables.staged(found.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "tokens")
-    listed = found.join(twice, "token").groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "anchor", "token")).alias("found"))
+    listed = found.join(twice, "token").groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "anchor")).alias("found"))
     listed = tables.staged(listed, "listed")
     near = tables.sieve(text, listed.select(*KEY), KEY)
     equal = lambda a, b: [a[k].eqNullSafe(b[k]) for k in KEY]
     texts = near.join(listed, equal(near, listed)).select(near["doc_id"], near["t1"], near["t2"], "text", "found")
     held = tables.staged(contexts(texts, length), "contexts")
-    spans = tables.staged(repeated_spans(held.withColumn("n", F.lit(1).cast("long")), length, lead, most), "spans")
+    spans = tables.staged(repeated_spans(held, length, lead, block_bytes), "spans")
     own = held.select(*KEY, "first", "c1", "c2").distinct().join(spans, ["c1", "c2"])
     own = own.select(*KEY, F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b")).alias("span"))
     gone = tables.staged(own.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans")), "gone")
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, kept, at, n = text.encode(), [], 0, 0
-                begin = None
-                for x in spans:
-                    if begin is None or x["a"] > end:
-                        if begin is not None:
-                            n += 1
-                        kept.append(raw[at if begin is None else end : x["a"]])
-                        begin, end = x["a"], x["b"]
-                    end = max(end, x["b"])
-                kept.append(raw[end:])
-                rest = b"".join(kept)
-                row = (doc, len(raw), len(raw) - len(rest), n + 1, hashlib.sha256(rest).hexdigest(), rest)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
     near = tables.sieve(text, gone.select(*KEY), KEY)
-    changed = near.join(gone, equal(near, gone)).select(near["doc_id"], "text", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = stripped(near.join(gone, equal(near, gone)).select(near["doc_id"], "text", "spans"))
     whole = text.select(*KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
     whole = whole.join(gone.select(*KEY), equal(whole, gone), "left_anti")
     zero = F.lit(0).cast("long")

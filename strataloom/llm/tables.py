@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.sources.stage import shared_dir, staged
 
-__all__ = ["free_name", "partitions", "shared_dir", "sieve", "staged", "table", "text_or_empty"]
+__all__ = ["MOST_BITS", "bitmap_bits", "free_name", "partitions", "shared_dir", "sieve", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,26 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def sieve(frame: DataFrame, needed: DataFrame, keys: list[str], bits: int = 22) -> DataFrame:
+#: The largest bitmap that is broadcast: 2**26 bits, a million words of 64.
+MOST_BITS = 26
+
+
+def bitmap_bits(n: int) -> int | None:
+    """Bits (as a power of two) of a bitmap for n keys, some 8 for a key; None where it would be larger than ``MOST_BITS``."""
+    bits = max(12, (8 * n).bit_length())
+    return bits if bits <= MOST_BITS else None
+
+
+def sieve(frame: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame:
     """``frame`` without most of the rows whose keys are not in ``needed``, unshuffled.
 
-    A bitmap of 2**bits hashed keys is broadcast as 2**(bits - 6) words (1 MB
-    by default, whatever the input's size). Rows that it lets through wrongly
-    are left to the join that follows.
+    A bitmap of hashed keys, sized by their count, is broadcast as words of 64
+    bits. Rows that it lets through wrongly are left to the join that follows,
+    and so are all rows where a bitmap of the largest size would be too small.
     """
+    bits = bitmap_bits(needed.count())
+    if bits is None:
+        return frame
     mark = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
     bit = lambda: F.expr("shiftleft(1L, cast(_mark % 64 as int))")
     words = needed.withColumn("_mark", mark).select(F.expr("shiftright(_mark, 6)").alias("_word"), bit().alias("_bits"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,6 +37,49 @@ def test_encoding_equals_the_library(library, texts):
         assert library.encode(text or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def colliding(n, a, b):
+    """Two words of n letters whose hashes modulo a power of two are equal for any odd base."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_with_colliding_polynomials(library, n):
+    counter = token_counts.piece_counts(public_tokenizers.path("piece_bpe_32k.model"))
+    for a, b in (("a", "b"), ("i", "n"), ("e", "s")):
+        words = colliding(n, a, b)
+        for word, (_, ids) in zip(words, encoding.encoded(pa.array(words), TOKENIZER), strict=True):
+            assert library.encode(word, add_special_tokens=False).ids == ids.tolist()
+        data = np.frombuffer("".join(f" {w}" for w in words).encode(), np.uint8)
+        _, before, _ = counter.prefixes(data, np.array([0, n + 1, 2 * n + 2]))
+        assert np.diff(before).tolist() == [len(counter.library.encode(w)) for w in words]
+        value = near_dedup.shingles(data, np.array([0, n + 1, 2 * n + 2]))[1]
+        assert value[0] != value[1]
+
+
+def test_units_with_one_hash_are_told_apart_by_bytes(library, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(20)) for _ in range(30)]
+    real, encoder = textkit.span_hash, encoding.byte_bpe(TOKENIZER)
+    monkeypatch.setattr(textkit, "span_hash", lambda *x: real(*x) % np.uint64(7))
+    encoder.cache.clear()
+    for text, (_, ids) in zip(texts, encoding.encoded(pa.array(texts), TOKENIZER), strict=True):
+        assert library.encode(text, add_special_tokens=False).ids == ids.tolist()
+    encoder.cache.clear()
+
+
+def test_long_texts_are_encoded_in_parts(library, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["ab", "é", " ", "  ", "\n", "'s", "don't", "7", "<|endoftext|>", "漢", " x y"]) for _ in range(900)) for _ in range(6)]
+    parts = textkit.parts
+    monkeypatch.setattr(textkit, "parts", lambda column: parts(column, 64))
+    assert sum(1 for _ in textkit.parts(pa.array(texts))) > 20
+    for text, (_, ids) in zip(texts, encoding.encoded(pa.array(texts), TOKENIZER), strict=True):
+        assert library.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_packing_is_gapless_and_whole(library, documents):
     found = packing.pack(packing.pieces(documents)).collect()
     pieces, bins = defaultdict(list), defaultdict(list)
@@ -315,16 +359,60 @@ def stripped(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "most"), [(40, 4096), (40, 2), (400, 4096), (400, 3)])
-def test_repeats_are_removed_byte_by_byte(documents, length, most):
+@pytest.mark.parametrize(("length", "block"), [(40, 1 << 20), (40, 1), (400, 1 << 20), (400, 1500)])
+def test_repeats_are_removed_byte_by_byte(documents, length, block):
+    # Blocks of a run or two: nearly everything is compared across boundaries.
     rows = documents.select("doc_id", "text").collect()
     raw = [(r.text or "").encode() for r in rows]
     want = Counter((r.doc_id, len(t), hashlib.sha256(k).hexdigest()) for r, t, k in zip(rows, raw, stripped(raw, length), strict=True))
-    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64, most).collect()
+    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64, block).collect()
     assert want == Counter((r.doc_id, r.n_bytes, r.kept_sha256) for r in found)
     assert all((r.n_removed > 0) == (r.n_spans > 0) for r in found)
 
 
+def test_a_common_passage_is_compared_across_boundaries(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(12))
+    texts = [" ".join(word() for _ in range(9)) + passage + " ".join(word() for _ in range(9)) for _ in range(120)]
+    raw = [t.encode() for t in texts]
+    want = Counter(hashlib.sha256(k).hexdigest() for k in stripped(raw, 40))
+    found = suffix_dedup.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40, 8, 700).collect()
+    assert want == Counter(r.kept_sha256 for r in found) and all(r.n_removed > 0 for r in found)
+
+
+def test_pieces_of_a_long_text_have_the_same_runs():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 101, 30_000).astype(np.uint8)
+    data[9_000:13_000] = 97
+    whole = suffix_dedup.runs(data, np.array([0, len(data)]), 40, 8)
+    for piece in (1, 37, 4096):
+        assert all((a == b).all() for a, b in zip(whole, suffix_dedup.runs(data, np.array([0, len(data)]), 40, 8, piece), strict=True))
+
+
+def test_a_text_of_50_mb_takes_little_memory():
+    data = np.random.default_rng(6).integers(97, 123, 50_000_000).astype(np.uint8)
+    tracemalloc.start()
+    text, anchor, first, last, _ = suffix_dedup.runs(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert first[0] == 0 and last[-1] == len(data) - suffix_dedup.LENGTH and (first[1:] == last[:-1] + 1).all()
+
+
+def test_equal_fingerprints_are_told_apart_by_bytes(monkeypatch):
+    rng = random.Random(7)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), np.uint8)
+    at = np.array(sorted(rng.sample(range(380), 200)))
+    count = Counter(data[i : i + 9].tobytes() for i in at)
+    want = [count[data[i : i + 9].tobytes()] > 1 for i in at]
+    for n in (1, 5, 1 << 40):
+        real = suffix_dedup.tokens(data, 9)
+        monkeypatch.setattr(suffix_dedup, "tokens", lambda d, w, n=n, real=real: real % np.uint64(n))
+        assert suffix_dedup.equal_windows(data, at, 9).tolist() == want
+        monkeypatch.undo()
+
+
 def test_suffixes_are_sorted_within_groups():
     rng = random.Random(3)
     for _ in range(60):
