@@ -1,23 +1,26 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-Terms are words (runs of letters, A-Z in lower case) and their beginnings of
-4 and 5 characters. A sample of the labelled rows, of ``examples`` in the
-mean, chooses the terms that mark the label (chi-square among those whose share of
-the label is three times the base rate, ``terms`` at most if given) and gives the examples; inverse document frequencies come from all documents.
-
-The examples' weights lie in an inverted index: for each term its postings in
-the order of the examples, in blocks of 64 examples with the largest weight of
-each. For a query the blocks' bounds are added up over its terms and blocks
-are opened from the highest bound down, until no bound exceeds the similarity
-of the k-th neighbour found: the neighbours are exact. They vote with their
-similarity; the label's base rate joins with a small weight, which keeps the
-scores of few votes moderate. A text without any term has for neighbours the
-examples without any.
+Terms are words: runs of letters, A-Z in lower case. A sample of the labelled
+rows, of ``examples`` in the mean, gives the examples, and every word of them
+is a term; words that no example has are no dimension of the space, as is
+usual. Inverse document frequencies come from all documents. A term's weight
+is (1 + log tf) * idf times a factor of 1 and more by how much more often
+examples with the label have the word (its relevance frequency, by how sure
+it is, see ``relevance``). All terms keep a weight; without the factor a text's
+neighbours are those that share its rarest words, whatever these mean.
+
+The examples' weights lie in an inverted index. Terms of few examples are
+added up over their postings. Terms of many lie in blocks of 64 examples with
+the largest weight of each: what the rare terms give is a lower bound of the
+k-th similarity, and a block is opened only for texts whose bound reaches it,
+so the neighbours are exact. They vote with their similarity, and the label's
+base rate with a small weight, so that weak votes stay moderate; the nearest
+example is the evidence. A text without any known word has the base rate.
 
 Cases: a null or empty text has no terms; labels other than 0 and 1, and null
 ones, are not used; of a document with several labels each counts; equal rows
 get equal scores; without labels the score is 0; other columns are ignored;
-an empty table gives no rows.
+an empty table gives no rows; long texts are read in parts.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import tables, textkit
-from strataloom.llm.textkit import U64, mix
+from strataloom.llm.textkit import U64
 
-EXAMPLES, TERMS, LEAST_CHI, LEAST_ROWS, LEAST_LIFT, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 20_000, None, 30.0, 5, 3.0, 25, 64, 0.5, 0.7
-BEGINNINGS = (4, 5)
+EXAMPLES, EXAMPLE_BYTES, NEIGHBOURS, BLOCK, PRIOR, LIMIT = 8_000, 1 << 26, 15, 64, 0.05, 0.7
+#: Texts that are scored together.
+TOGETHER = 64
 
 
 @lru_cache(maxsize=1)
@@ -44,8 +48,8 @@ def _letters() -> np.ndarray:
     return table
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, start, end) of every occurrence of a term in a chunk."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word of a chunk."""
     inside = np.concatenate([[False], _letters()[data], [False]])
     begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
@@ -53,185 +57,209 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins[edges] |= inside[1:-1][edges]
     stops[edges - 1] |= inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    prefix = textkit.prefix_hash(data, textkit.LOWER)
-    characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    first = np.searchsorted(characters, starts)
-    parts = [(starts, ends, 0)]
-    for n in BEGINNINGS:
-        cut = characters[np.minimum(first + n, len(characters) - 1)]
-        longer = cut < ends
-        parts.append((starts[longer], cut[longer], n))
-    a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    value = np.concatenate([mix(textkit.span_hash(prefix, s, e) ^ mix(np.array([kind]))) for s, e, kind in parts])
-    return np.searchsorted(offsets, a, "right") - 1, value, a, b
-
-
-def training(documents: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
-    """(doc_id, label): labelled rows that may be learned from, a hashed sample of ``examples`` in the mean."""
+    return np.searchsorted(offsets, starts, "right") - 1, textkit.span_hash(textkit.prefix_hash(data, textkit.LOWER), starts, ends)
+
+
+def term_counts(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, text, term, count) of a column's distinct words, by text.
+
+    Terms are hashes or, with the sorted hashes ``known``, their places there; unknown words go.
+    """
+
+    def found(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, term = words(data, offsets)
+        if known is None:
+            return text, term
+        if not len(known):
+            return text[:0], np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        hit = known[place] == term
+        return text[hit], place[hit]
+
+    held = []
+    for first, last, data, offsets, ended in textkit.parts(column):
+        held.append(found(data, offsets))
+        if not ended:
+            continue
+        text, term = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+        order = np.lexsort((term, text))
+        text, term = text[order], term[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
+        place = np.flatnonzero(new)
+        yield first, last, text[new], term[new], np.diff(np.append(place, len(text)))
+
+
+def held_out():
+    """Rows whose crc32 of the doc_id's text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def training(documents: DataFrame, labels: DataFrame, examples: int, example_bytes: int) -> DataFrame:
+    """(doc_id, label, text): a hashed sample of the labelled rows that may be learned from.
+
+    ``examples`` rows in the mean, and fewer where their texts would have more than ``example_bytes`` in the mean.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     n = known.count()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1 << 20))
     share = min(1.0, examples / max(n, 1))
-    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    # The sample is bounded by ``examples``, so it may be broadcast.
+    sample = known.withColumn("place", place).filter(F.col("place") < F.lit(int(share * (1 << 20))))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_or_empty().alias("text"))
+    held = tables.staged(texts.join(F.broadcast(sample), "doc_id"), "examples")
+    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return held.filter(F.col("place") < F.lit(int(share * min(1.0, example_bytes / max(size, 1)) * (1 << 20)))).select("doc_id", "label", "text")
 
 
-def held_out():
-    """Rows whose crc32 of the doc_id's text leaves 1 by 3."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+class Examples:
+    """The labelled rows as (example, term, count), bounded by the sample; collected once."""
 
+    def __init__(self, rows: DataFrame):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, last, text, term, n in term_counts(batch.column(2)):
+                    edges = np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (term.view(np.int64), n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], *lists], names=["doc_id", "label", "terms", "counts"])
 
-def chosen_terms(texts: DataFrame, rows: int, positives: int, terms: int | None) -> list[int]:
-    """Hashes of the terms that mark the label most, from (label, text)."""
+        found = rows.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<int>").toArrow()
+        found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+        self.docs, self.labels = (found.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "label"))
+        lists = pa.concat_arrays(found.column("terms").chunks) if found.num_rows else pa.array([], pa.list_(pa.int64()))
+        counts = pa.concat_arrays(found.column("counts").chunks) if found.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.counts = counts.flatten().to_numpy().astype(np.float64)
+        self.known, self.term = np.unique(lists.flatten().to_numpy().view(U64), return_inverse=True)
+        self.row = np.repeat(np.arange(len(self.docs)), np.diff(lists.offsets.to_numpy()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, hit = [], []
-        for batch in batches:
-            label = batch.column(0).to_numpy()
-            for first, last, data, offsets in textkit.chunks(batch.column(1)):
-                text, term, _, _ = features(data, offsets)
-                order = np.lexsort((term, text))
-                text, term = text[order], term[order]
-                new = np.ones(len(text), bool)
-                new[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
-                value.append(term[new])
-                hit.append(label[first:last][text[new]])
-        if value:
-            term, place = np.unique(np.concatenate(value), return_inverse=True)
-            both = np.bincount(place)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(both), pa.array(np.bincount(place, weights=np.concatenate(hit)).astype(np.int64))], names=["term", "n", "hits"])
-
-    found = texts.mapInArrow(count, "term long, n long, hits long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    a, b, p, t = F.col("hits").cast("double"), (F.col("n") - F.col("hits")).cast("double"), float(positives), float(rows)
-    n = t - p
-    gap = a * n - b * p
-    chi = F.lit(t) * gap * gap / ((a + b) * (F.lit(t) - a - b) * F.lit(p * n))
-    # A large sample makes weak ties significant; a term must also be several times as frequent with the label.
-    share = min(LEAST_LIFT * p / t, (1 + p / t) / 2)
-    best = found.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows) & (F.col("hits") >= F.lit(share) * F.col("n"))).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI)
-    best = best.orderBy(F.desc("chi"), "term")
-    return [r["term"] for r in (best if terms is None else best.limit(terms)).collect()]
-
-
-def vectors(documents: DataFrame, terms: list[int]) -> DataFrame:
-    """(doc_id, ids, counts) of every row: numbers and counts of its terms, staged."""
-    known = np.sort(np.array(terms, np.int64).view(U64))
+
+def document_frequencies(texts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """(documents that have each known term, all documents); each task adds its own counts up first."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            for first, last, data, offsets in textkit.chunks(batch.column(1)):
-                text, value, _, _ = features(data, offsets)
-                place = np.minimum(np.searchsorted(known, value), len(known) - 1) if len(known) else np.zeros(len(value), np.int64)
-                hit = known[place] == value if len(known) else np.zeros(len(value), bool)
-                key, n = np.unique(text[hit] * max(len(known), 1) + place[hit], return_counts=True)
-                edges = np.searchsorted(key, np.arange(last - first + 1) * max(len(known), 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (key % max(len(known), 1), n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], *lists], names=["doc_id", "ids", "counts"])
+            rows += batch.num_rows
+            for _, _, _, term, _ in term_counts(batch.column(0), shared.value):
+                total += np.bincount(term, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["term", "n"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_or_empty().alias("text"))
-    return tables.staged(rows.mapInArrow(count, "doc_id long, ids array<int>, counts array<int>"), "vectors")
+    found = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    term, n = (found.column(k).to_numpy() for k in ("term", "n"))
+    out = np.zeros(len(known), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
-class BlockMaxIndex:
-    """Inverted index of unit vectors with a bound for each block of examples.
+def relevance(examples: Examples) -> np.ndarray:
+    """A factor of 1 and more for each term, by how it goes with the label.
 
-    ``examples``: (ids, counts, rows, hits, doc_id), in any order.
+    The relevance frequency, log2(2 + the term's share of rows with the label by its share of those without), times
+    1 + z: by how many standard deviations (one added to their square) its rows with the label exceed their expected number.
     """
+    n_terms, n = len(examples.known), max(len(examples.docs), 1)
+    rows = np.bincount(examples.term, minlength=n_terms)
+    hits = np.bincount(examples.term, weights=examples.labels[examples.row], minlength=n_terms)
+    base = examples.labels.sum() / n
+    with_, without = max(examples.labels.sum(), 1), max((1 - examples.labels).sum(), 1)
+    z = (hits - rows * base) / np.sqrt(rows * base * (1 - base) + 1)
+    return np.log2(2 + (hits / with_) / (np.maximum(rows - hits, 1) / without)) * (1 + np.maximum(z, 0))
+
 
-    def __init__(self, examples: list[tuple], idf: np.ndarray, base: float):
-        self.idf, self.base = idf, base
-        examples = sorted(examples, key=lambda x: (x[0], x[1]))
-        self.rows, self.hits, self.docs = (np.array([x[k] for x in examples], np.int64) for k in (2, 3, 4))
-        self.empty = next((i for i, x in enumerate(examples) if not x[0]), None)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, (ids, counts, *_) in enumerate(examples):
-            for term, w in zip(ids, self.unit(ids, counts), strict=True):
-                postings.setdefault(term, []).append((i, w))
-        self.terms = {}
-        for term, found in postings.items():
-            place, weight = np.array([p for p, _ in found]), np.array([w for _, w in found])
-            block = place // BLOCK
-            begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.terms[term] = (place, weight, block[begin], np.append(begin, len(place)), np.maximum.reduceat(weight, begin))
-        self.blocks = -(-len(examples) // BLOCK)
-
-    def unit(self, ids, counts) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[np.array(ids, np.int64)]
-        return w / max(np.sqrt((w * w).sum()), 1e-300)
-
-    def nearest(self, ids, counts, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(similarity, example) from the nearest on, until k rows are reached; all ties of the last one."""
-        query = [(self.terms[t], q) for t, q in zip(ids, self.unit(ids, counts), strict=True) if t in self.terms]
-        bound = np.zeros(self.blocks)
-        for (_, _, block, _, most), q in query:
-            bound[block] += q * most
-        found, similar = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
-        for number in np.argsort(-bound, kind="stable"):
-            if bound[number] <= 0 or bound[number] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for (place, weight, block, edge, _), q in query:
-                at = np.searchsorted(block, number)
-                if at < len(block) and block[at] == number:
-                    own = slice(edge[at], edge[at + 1])
-                    score[place[own] - number * BLOCK] += q * weight[own]
-            hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
-            found, similar = np.append(found, hit + number * BLOCK), np.append(similar, score[hit])
-            order = np.lexsort((found, -similar))
-            found, similar = found[order], similar[order]
-            reached = np.searchsorted(np.cumsum(self.rows[found]), k)
-            if reached < len(found):
-                least = similar[reached]
-                stay = similar >= least - 1e-12
-                found, similar = found[stay], similar[stay]
-        return list(zip(similar.tolist(), found.tolist(), strict=True))
-
-    def score(self, ids, counts) -> tuple[float, int | None, float, int]:
-        """(score, nearest example's doc_id, its similarity, rows that voted)."""
-        near = self.nearest(ids, counts) if ids else [(1.0, self.empty)] if self.empty is not None else []
-        if not near:
-            return self.base, None, 0.0, 0
-        similar, found = np.array([s for s, _ in near]), np.array([i for _, i in near])
-        rows = self.rows[found]
-        score = ((similar * self.hits[found]).sum() + PRIOR * self.base) / ((similar * rows).sum() + PRIOR)
-        return float(min(max(score, 0.0), 1.0)), int(self.docs[found[0]]), float(similar[0]), int(rows.sum())
-
-
-def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int | None = TERMS) -> DataFrame:
+class BlockMaxIndex:
+    """Inverted index of unit vectors with a bound for each block of examples."""
+
+    def __init__(self, examples: Examples, weight: np.ndarray):
+        self.known, self.weight = examples.known, weight
+        n, n_terms = len(examples.docs), len(weight)
+        self.base = float(examples.labels.mean()) if n else 0.0
+        value = (1 + np.log(examples.counts)) * weight[examples.term]
+        norm = np.sqrt(np.bincount(examples.row, weights=value * value, minlength=n))
+        value = value / np.maximum(norm, 1e-300)[examples.row]
+        used = np.bincount(examples.term, minlength=n_terms)
+        frequent = used >= max(BLOCK, n // 16)
+        self.dense = np.full(n_terms, -1)
+        self.dense[frequent] = np.arange(frequent.sum())
+        # Examples whose heaviest frequent term is the same lie together, so that blocks differ.
+        often = frequent[examples.term]
+        heavy = np.full(n, -1)
+        order = np.lexsort((value[often], examples.row[often]))
+        heavy[examples.row[often][order]] = self.dense[examples.term[often][order]]
+        rank = np.lexsort((np.arange(n), heavy))
+        place = np.empty(n, np.int64)
+        place[rank] = np.arange(n)
+        self.blocks = -(-n // BLOCK)
+        self.size = self.blocks * BLOCK
+        self.docs, self.labels = examples.docs[rank], np.zeros(self.size)
+        self.labels[:n] = examples.labels[rank]
+        row, term = place[examples.row], examples.term
+        table = np.zeros((int(frequent.sum()), self.size))
+        table[self.dense[term[often]], row[often]] = value[often]
+        self.most = table.reshape(len(table), self.blocks, BLOCK).max(axis=2)
+        self.table = np.ascontiguousarray(table.reshape(len(table), self.blocks, BLOCK).transpose(1, 0, 2))
+        order = np.lexsort((row[~often], term[~often]))
+        self.places, self.values = row[~often][order].astype(np.int32), value[~often][order]
+        self.edges = np.searchsorted(term[~often][order], np.arange(n_terms + 1))
+
+    def scores(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n_texts: int) -> tuple[np.ndarray, ...]:
+        """(score, place of the nearest example or -1, its similarity, voting rows) of texts given by their distinct terms."""
+        if not self.size:
+            return np.full(n_texts, self.base), np.full(n_texts, -1), np.zeros(n_texts), np.zeros(n_texts, np.int64)
+        value = (1 + np.log(count)) * self.weight[term]
+        value = value / np.maximum(np.sqrt(np.bincount(text, weights=value * value, minlength=n_texts)), 1e-300)[text]
+        often = self.dense[term] >= 0
+        begin, n = self.edges[term[~often]], np.diff(self.edges)[term[~often]]
+        at = textkit.ragged(begin, n)
+        rare = np.bincount(np.repeat(text[~often], n) * self.size + self.places[at], weights=np.repeat(value[~often], n) * self.values[at], minlength=n_texts * self.size)
+        similar = rare.astype(np.float64, copy=False).reshape(n_texts, self.size)
+        query = np.zeros((n_texts, len(self.most)))
+        query[text[often], self.dense[term[often]]] = value[often]
+        k = min(NEIGHBOURS, self.size)
+        # All weights are positive: what the rare terms give can only grow.
+        least = np.partition(similar, -k, axis=1)[:, -k]
+        blocks = similar.reshape(n_texts, self.blocks, BLOCK)
+        reach = query @ self.most + blocks.max(axis=2) >= least[:, None] - 1e-12
+        for b in range(self.blocks):
+            own = np.flatnonzero(reach[:, b])
+            if len(own):
+                blocks[own, b] += query[own] @ self.table[b]
+        blocks[~reach] = 0
+        least = np.partition(similar, -k, axis=1)[:, -k]
+        votes = np.where((similar >= least[:, None] - 1e-12) & (similar > 0), similar, 0)
+        total = votes.sum(axis=1)
+        score = (votes @ self.labels + PRIOR * self.base) / (total + PRIOR)
+        best = np.where(total > 0, similar.argmax(axis=1), -1)
+        return np.clip(score, 0, 1), best, similar.max(axis=1), (votes > 0).sum(axis=1)
+
+
+def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted, nearest_doc_id, similarity, votes) of every row.
 
-    ``examples`` bounds the mean number of labelled rows that are learned from,
-    ``terms`` the terms (all that pass where it is None); everything else covers all rows.
+    ``examples`` and ``example_bytes`` bound the labelled rows that are learned from (see ``training``);
+    everything else covers all rows and whole texts.
     """
-    spark = documents.sparkSession
-    rows = tables.staged(training(documents, labels, examples), "examples")  # bounded by ``examples``
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_or_empty().alias("text"))
-    learned = texts.join(F.broadcast(rows), "doc_id")
-    n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    base = positives / n if n else 0.0
-    known = chosen_terms(learned.select("label", "text"), n, positives, terms) if 0 < positives < n else []
-    found = vectors(documents, known)
-    idf = np.log(1.0 + found.count()) * np.ones(max(len(known), 1))
-    for r in found.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row for each term
-        idf[r["id"]] -= np.log(1.0 + r["count"])
-    idf += 1.0
-    own = found.join(F.broadcast(rows), "doc_id").groupBy("ids", "counts").agg(F.count("*").alias("n"), F.sum("label").alias("hits"), F.min("doc_id").alias("doc_id")).collect()
-    index = spark.sparkContext.broadcast(BlockMaxIndex([(tuple(r["ids"]), tuple(r["counts"]), r["n"], r["hits"], r["doc_id"]) for r in own], idf, base))
+    learned = Examples(training(documents, labels, examples, example_bytes))
+    frequency, n = document_frequencies(texts, learned.known)
+    weight = (1 + np.log((1 + n) / (1 + frequency))) * relevance(learned)
+    index = documents.sparkSession.sparkContext.broadcast(BlockMaxIndex(learned, weight))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, tuple] = {}
+        own = index.value
         for batch in batches:
-            out = []
-            for key in zip(map(tuple, batch.column(1).to_pylist()), map(tuple, batch.column(2).to_pylist()), strict=True):
-                if (x := done.get(key)) is None:
-                    if len(done) > 100_000:
-                        done.clear()
-                    x = done[key] = index.value.score(*key)
-                out.append(x)
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "score", "nearest_doc_id", "similarity", "votes"])
-
-    votes = found.mapInArrow(vote, "doc_id long, score double, nearest_doc_id long, similarity double, votes long")
+            for first, last, text, term, count in term_counts(batch.column(1), own.known):
+                for at in range(0, last - first, TOGETHER):
+                    n_texts = min(TOGETHER, last - first - at)
+                    a, b = np.searchsorted(text, [at, at + n_texts])
+                    score, best, similar, votes = own.scores(text[a:b] - at, term[a:b], count[a:b], n_texts)
+                    near = pa.array(own.docs[best] if len(own.docs) else np.zeros(n_texts, np.int64), mask=best < 0)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first + at : first + at + n_texts], pa.array(score), near, pa.array(similar), pa.array(votes)], names=["doc_id", "score", "nearest_doc_id", "similarity", "votes"])
+
+    votes = texts.mapInArrow(vote, "doc_id long, score double, nearest_doc_id long, similarity double, votes long")
     return votes.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"), "nearest_doc_id", "similarity", "votes")
 
 

@@ -267,20 +267,28 @@ def test_toxicity_learns_only_outside_the_held_out_rows(spark):
 
 def test_the_block_max_index_finds_the_nearest():
     rng = np.random.default_rng(7)
-    examples = [(tuple(sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist())), None, int(rng.integers(1, 4)), 0, i) for i in range(500)]
-    examples = [(ids, tuple(int(x) for x in rng.integers(1, 4, len(ids))), n, h, i) for ids, _, n, h, i in examples]
-    index = toxicity.BlockMaxIndex(examples, rng.uniform(1, 5, 40), 0.1)
-    ordered = sorted(examples, key=lambda x: (x[0], x[1]))
-    dense = np.zeros((500, 40))
-    for i, (ids, counts, *_) in enumerate(ordered):
-        dense[i, list(ids)] = index.unit(ids, counts)
-    for ids, counts, *_ in examples[:60]:
-        similar = dense[:, list(ids)] @ index.unit(ids, counts)
-        order = np.argsort(-similar, kind="stable")
-        reached = np.cumsum(index.rows[order])
-        least = similar[order[np.searchsorted(reached, 25)]]
-        want = {i for i in range(500) if similar[i] >= least - 1e-12 and similar[i] > 0}
-        assert {i for _, i in index.nearest(ids, counts)} == want
+    n, n_terms = 700, 60
+    chance = np.where(np.arange(n_terms) < 12, 0.4, 0.03)
+    counts = np.where(rng.random((n, n_terms)) < chance, rng.integers(1, 4, (n, n_terms)), 0)
+    examples = object.__new__(toxicity.Examples)
+    examples.docs, examples.labels = np.arange(n), rng.integers(0, 2, n)
+    examples.row, examples.term = np.nonzero(counts)
+    examples.counts, examples.known = counts[examples.row, examples.term].astype(float), np.arange(n_terms, dtype=np.uint64)
+    weight = rng.uniform(1, 5, n_terms)
+    index = toxicity.BlockMaxIndex(examples, weight)
+    assert 0 < len(index.most) < n_terms and index.blocks > 10
+    queries = np.where(rng.random((90, n_terms)) < chance, rng.integers(1, 4, (90, n_terms)), 0)
+    queries[0] = 0
+    unit = lambda c: (x := np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight) / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    similar = unit(queries) @ unit(counts).T
+    text, term = np.nonzero(queries)
+    score, best, near, votes = index.scores(text, term, queries[text, term].astype(float), len(queries))
+    for i, own in enumerate(similar):
+        least = np.sort(own)[-toxicity.NEIGHBOURS]
+        vote = np.where((own >= least - 1e-12) & (own > 0), own, 0)
+        want = (vote @ examples.labels + toxicity.PRIOR * examples.labels.mean()) / (vote.sum() + toxicity.PRIOR)
+        assert abs(score[i] - want) < 1e-9 and votes[i] == (vote > 0).sum() and abs(near[i] - own.max()) < 1e-9
+        assert best[i] == -1 if not own.any() else abs(own[index.docs[best[i]]] - own.max()) < 1e-9
 
 
 def test_targets_fill_up_to_the_cap(spark):
