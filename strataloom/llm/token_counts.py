@@ -1,15 +1,21 @@
-"""Exact token counts at every prefix by dynamic programming over units.
+"""Exact token counts at every prefix by dynamic programming.
 
 The vocabulary has no piece that goes on past a run of spaces or holds a line
-feed, so a text falls into units, each begun by such a run or a line feed,
-that are tokenised independently. The count at the end of a unit is the count
-at its start plus the unit's own; the count inside a unit is the count at its
-start plus that of the unit's prefix. So one pass answers every question of
-truncation and budget, and each distinct unit is tokenised once.
+feed (this is checked when a model is loaded), so a text falls into units,
+each begun by such a run or a line feed, that are tokenised independently. The
+count at the end of a unit is the count at its start plus the unit's own, and
+each distinct unit is tokenised once.
+
+Inside a unit the count of each prefix comes from a shorter one: the last
+token of a prefix is the one piece that ends there and is stable beside the
+last token of the prefix before it (the two, encoded together, stay as they
+are), and the count is one more than that prefix's. So questions of truncation
+and budget are answered without encoding a text or a prefix again, in time
+linear in the unit, however long it is.
 
 Cases: a null or empty text has 0 tokens; the strings of special tokens are
 ordinary text, as the library takes them; equal rows get equal results; other
-columns are ignored; texts are counted whole; an empty table gives no rows.
+columns are ignored; texts are counted whole, long ones in parts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +43,14 @@ class PieceCounts:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cache = textkit.UnitCache(self._units, dtype=np.int32)
+        ids = [i for i in range(self.library.get_piece_size()) if not (self.library.is_control(i) or self.library.is_byte(i) or self.library.is_unknown(i))]
+        self.ids = {self.library.id_to_piece(i): i for i in ids}
+        self.longest = max(map(len, self.ids))
+        blank = BLANK.decode()
+        if any("\n" in p or blank in p.lstrip(blank) for p in self.ids) or len(self.library.encode("\n")) != 2:
+            raise ValueError(f"units are not independent in the vocabulary of {path}")
+        self.stable: dict[tuple[int, int], bool] = {}
+        self.loose: dict[str, int] = {}
 
     def _units(self, units: list[bytes]) -> list[list[int]]:
         return [[n] for n in self.unit_counts(units)]
@@ -65,11 +79,41 @@ class PieceCounts:
         counts = self.cache.values(self.cache.find(data, starts, ends, hashes))[0] if len(starts) else np.zeros(0, np.int64)
         return starts, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), np.searchsorted(starts, offsets)
 
+    def _stays(self, a: int, b: int, text: str) -> bool:
+        """Whether the library leaves the tokens a (-1: none) and b beside each other; a line feed keeps them from the beginning."""
+        found = self.stable.get((a, b))
+        if found is None:
+            if len(self.stable) > 1 << 20:
+                self.stable.clear()
+            found = self.stable[a, b] = self.library.encode("\n" + text)[2:] == ([b] if a < 0 else [a, b])
+        return found
+
+    def prefix_counts(self, unit: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, tokens) of every prefix of a unit that ends with a character, the empty one first."""
+        raw = unit.decode()
+        text = raw.replace(" ", BLANK.decode())
+        counts, last, begin = [0], [-1], [0]
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = self.ids.get(text[start:end])
+                if piece is not None and (last[start] == -2 or self._stays(last[start], piece, text[begin[start] : end])):
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    begin.append(start)
+                    break
+            else:  # a character without a piece is tokens of its own
+                sign = text[end - 1]
+                if sign not in self.loose:
+                    self.loose[sign] = len(self.library.encode("\n" + sign)) - 2
+                counts.append(counts[-1] + self.loose[sign])
+                last.append(-2)
+                begin.append(end - 1)
+        return np.concatenate([[0], np.cumsum([len(c.encode()) for c in raw], dtype=np.int64)]), np.array(counts)
+
     def longest_prefix(self, unit: bytes, budget: int) -> int:
         """Bytes of the longest prefix of a unit within the budget, by whole characters."""
-        ends = [i for i in range(1, len(unit) + 1) if i == len(unit) or unit[i] & 0xC0 != 0x80]
-        fits = [e for e, n in zip(ends, self.unit_counts([unit[:e] for e in ends]), strict=True) if n <= budget]
-        return max(fits, default=0)
+        sizes, counts = self.prefix_counts(unit)
+        return int(sizes[counts <= budget].max(initial=0))
 
 
 @lru_cache(maxsize=2)
@@ -90,19 +134,29 @@ def counted(documents: DataFrame, limit: int = 4096, model: str | None = None) -
         counter = piece_counts(path)
         for batch in batches:
             docs, sizes, tokens, fits = batch.column(0).cast(pa.int64()), [], [], []
-            for _, _, data, offsets in textkit.chunks(batch.column(1)):
+            held = (0, 0, 0)  # bytes, tokens and fitting bytes of a long text's parts so far
+            for _, _, data, offsets, ended in textkit.parts(batch.column(1)):
                 own = np.diff(offsets)
-                filled = own > 0
+                # The library puts a space before a text; later parts of a text begin with one.
+                filled = (own > 0) & (held[0] == 0)
                 data = np.insert(data, offsets[:-1][filled], 32)
                 offsets = np.concatenate([[0], np.cumsum(own + filled)])
                 starts, before, first = counter.prefixes(data, offsets)
                 n = before[first[1:]] - before[first[:-1]]
                 fit = own.copy()
-                for i in np.flatnonzero(n > limit):
-                    budget = before[first[i]] + limit
+                for i in np.flatnonzero(n + held[1] > limit):
+                    budget = before[first[i]] + limit - held[1]
+                    if budget < before[first[i]]:  # an earlier part has gone beyond the limit
+                        fit[i] = 0
+                        continue
                     unit = first[i] + int(np.searchsorted(before[first[i] : first[i + 1] + 1], budget, "right")) - 1
                     end = starts[unit + 1] if unit + 1 < first[i + 1] else offsets[i + 1]
-                    fit[i] = max(0, starts[unit] - offsets[i] - 1 + counter.longest_prefix(data[starts[unit] : end].tobytes(), int(budget - before[unit])))
+                    fit[i] = max(0, starts[unit] - offsets[i] - int(filled[i]) + counter.longest_prefix(data[starts[unit] : end].tobytes(), int(budget - before[unit])))
+                if held != (0, 0, 0) or not ended:
+                    held = (held[0] + int(own[0]), held[1] + int(n[0]), held[2] + int(fit[0]))
+                    if not ended:
+                        continue
+                    own, n, fit, held = *(np.array([x]) for x in held), (0, 0, 0)
                 sizes.append(own)
                 tokens.append(n)
                 fits.append(fit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -335,6 +336,53 @@ def test_token_counts_at_every_prefix(documents, texts):
         assert not rest or count(text[: len(text) - len(rest) + 1]) > 50
 
 
+def test_prefix_counts_equal_the_library(texts):
+    counter = token_counts.piece_counts(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(21)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDE0123456789.,-_/'", "é", "漢", "😀", "ß", "the", "ing", "tion", "http", "    "]
+    units = [" " * rng.randint(0, 3) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))).replace(" ", "") for _ in range(300)]
+    units = [u if u[:1] == " " else "\n" + u for u in units] + [" internationalization", " ", "   ", "\n", " unbelievable-straightforward.example.org/path"]
+    for unit in units:
+        sizes, counts = counter.prefix_counts(unit.encode())
+        ends = [unit.encode()[:n] for n in sizes]
+        assert ends[-1] == unit.encode() and counts[0] == 0
+        assert counter.unit_counts([e for e in ends if e]) == counts[1:].tolist()
+
+
+def test_a_long_unit_is_answered_in_linear_time():
+    counter = token_counts.piece_counts(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(22)
+    unit = (" " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))).encode()
+    begun = time.time()
+    n = counter.longest_prefix(unit, 4096)
+    assert time.time() - begun < 60
+    assert counter.unit_counts([unit[:n]])[0] <= 4096 < counter.unit_counts([unit[: n + 1]])[0]
+
+
+def test_long_texts_are_counted_in_parts(spark, monkeypatch):
+    counter = token_counts.piece_counts(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(23)
+    texts = ["".join(rng.choice(["ab", "é", " ", "  ", "\n", "the cat", "7", "漢", " x y", "▁"]) for _ in range(700)) for _ in range(5)] + [None, ""]
+    real = textkit.parts
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return list(f(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], names=["doc_id", "text"])])))
+
+    monkeypatch.setattr(token_counts.textkit, "parts", lambda column: real(column, 50))
+    for limit in (3, 200, 10_000):
+        (batch,) = token_counts.counted(Rows(), limit)
+        for text, row in zip(texts, batch.to_pylist(), strict=True):
+            raw = (text or "").encode()
+            assert (row["n_bytes"], row["n_tokens"]) == (len(raw), len(counter.library.encode(text or "")))
+            rest = raw[row["fit_bytes"] :].decode()
+            assert len(counter.library.encode(raw[: row["fit_bytes"]].decode())) <= limit
+            assert not rest or len(counter.library.encode((text or "")[: len(text) - len(rest) + 1])) > limit
+
+
 def test_quality_measures_by_brute_force(documents):
     for r, row in zip(sorted(quality.measured(documents).collect(), key=str), sorted(documents.collect(), key=lambda d: str(d.doc_id)), strict=False):
         assert r.kept <= (not r.base_failed)
@@ -367,13 +415,13 @@ def stripped(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "block"), [(40, 1 << 20), (40, 1), (400, 1 << 20), (400, 1500)])
-def test_repeats_are_removed_byte_by_byte(documents, length, block):
-    # Blocks of a run or two: nearly everything is compared across boundaries.
+@pytest.mark.parametrize(("length", "block", "most"), [(40, 1 << 20, 4096), (40, 1, 1), (400, 1 << 20, 4096), (400, 1500, 2)])
+def test_repeats_are_removed_byte_by_byte(documents, length, block, most):
+    # With blocks of a run or two and a low ``most`` nearly everything is compared across boundaries.
     rows = documents.select("doc_id", "text").collect()
     raw = [(r.text or "").encode() for r in rows]
     want = Counter((r.doc_id, len(t), hashlib.sha256(k).hexdigest()) for r, t, k in zip(rows, raw, stripped(raw, length), strict=True))
-    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64, block).collect()
+    found = suffix_dedup.removed(documents, length, 8 if length == 40 else 64, block, most).collect()
     assert want == Counter((r.doc_id, r.n_bytes, r.kept_sha256) for r in found)
     assert all((r.n_removed > 0) == (r.n_spans > 0) for r in found)
 
@@ -385,7 +433,7 @@ def test_a_common_passage_is_compared_across_boundaries(spark):
     texts = [" ".join(word() for _ in range(9)) + passage + " ".join(word() for _ in range(9)) for _ in range(120)]
     raw = [t.encode() for t in texts]
     want = Counter(hashlib.sha256(k).hexdigest() for k in stripped(raw, 40))
-    found = suffix_dedup.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40, 8, 700).collect()
+    found = suffix_dedup.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40, 8, 700, 8).collect()
     assert want == Counter(r.kept_sha256 for r in found) and all(r.n_removed > 0 for r in found)
 
 
