@@ -498,7 +498,7 @@ def test_tool_calls_in_order(spark):
     )
     results = spark.createDataFrame([(1, 4, "a", "r1"), (1, 6, "d", None), (1, 7, "q", "r3")], "conv_id long, turn long, call_id string, content string")
     schemas = spark.createDataFrame(tool_calls.SCHEMAS, tool_calls.SCHEMA_TYPE)
-    rows = sorted(tool_calls.linked(calls, results, schemas).collect(), key=lambda r: r.place)
+    rows = sorted(tool_calls.linked(calls, results, schemas, every=False).collect(), key=lambda r: r.place)
     assert [(r.call_id, r.kind, r.level) for r in rows] == [("a", "call", 0), ("a", "result", 0), ("b", "call", 1), ("d", "call", 2), ("d", "result", 2), ("c", "call", None), ("q", "result", None)]
     by = {(r.call_id, r.kind): r for r in rows}
     assert by["b", "call"].problems == "missing query; no integer limit" and by["c", "call"].problems == "unknown tool" and by["q", "result"].problems == "no call"
@@ -516,7 +516,7 @@ def test_tool_arguments_keep_their_types(spark):
     calls = spark.createDataFrame([(1, i, f"c{i}", "t", a, []) for i, a in enumerate(given)], "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
     schemas = spark.createDataFrame([("t", *t) for t in types], tool_calls.SCHEMA_TYPE)
-    rows = sorted(tool_calls.linked(calls, results, schemas).collect(), key=lambda r: r.turn)
+    rows = sorted(tool_calls.linked(calls, results, schemas, every=False).collect(), key=lambda r: r.turn)
     assert [r.problems for r in rows] == [
         "", "no integer limit; no string query", "no integer limit", "missing query", "",
         "no array list; no boolean on; no null none; no number score; no object more; unknown type date of odd", "missing query; no object",

@@ -16,8 +16,6 @@ import pytest
 from strataloom.llm import registry, toxicity
 
 DATA = "/root/testdata/sf0.001"
-#: OP9_SQL writes the number of ``limit`` in quotes, the query does not.
-QUOTED = pytest.mark.xfail(strict=True, reason="OP9_SQL quotes the number of limit")
 
 
 def plain(value):
@@ -30,7 +28,7 @@ def test_oracles_are_sql():
     assert all(isinstance(sql, str) for sql in registry.oracle_sql().values())
 
 
-@pytest.mark.parametrize("name", [pytest.param(n, marks=QUOTED) if n == "op9_tool_calls" else n for n in sorted(registry.oracle_sql())])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     duck = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
@@ -96,3 +94,20 @@ def test_toxicity_of_held_out_rows(spark):
     rows = toxicity.op5_toxicity(spark, data).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     found = {(r.toxic, r.predicted): r["count"] for r in rows}
     assert found[1, 1] >= 0.9 * (found[1, 1] + found.get((1, 0), 0)) and found.get((0, 1), 0) <= 0.005 * found[0, 0]
+
+
+def test_tool_calls_of_odd_turns_equal_their_sql(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(c, t, role, f"text {rng.randrange(9)}" if rng.random() < 0.8 else None, "x", 1) for c in (1, 2, None) for t, role in enumerate(["system", *["user", "assistant"] * 9, "tool"])]
+    rows += [(1, 2, "assistant", "again", "x", 1), (1, 3, "user", "again", "x", 1), (2, None, "user", "when", "x", 1), (2, None, "assistant", None, "x", 1), (3, 0, None, None, "x", 1), (None, None, None, None, None, None)]
+    rows += [(4, t, "user", "same", "x", 1) for t in range(1, 40, 2)] + [(5, 4, "assistant", "alone", "x", 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind string, level int").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for where in ("true", "false"):
+        spark.read.parquet(f"{tmp_path}/conversations.parquet").filter(where).coalesce(1).write.parquet(f"{tmp_path}/{where}/conversations.parquet")
+        frame = registry.queries()["op9_tool_calls"](spark, f"{tmp_path}/{where}")
+        duck = duckdb.connect()
+        duck.execute(f"create view conversations as select * from '{tmp_path}/{where}/conversations.parquet/*.parquet'")
+        found = duck.execute(registry.oracle_sql()["op9_tool_calls"])
+        names = [d[0] for d in found.description]
+        assert Counter(tuple(r[c] for c in names) for r in frame.collect()) == Counter(map(tuple, found.fetchall()))
+        assert frame.count() == (len(rows) if where == "true" else 0)
