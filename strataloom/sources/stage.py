@@ -9,20 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one for a local master, an error for any other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged tables."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's staged tables; frames that read them are of no use after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
