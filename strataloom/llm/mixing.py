@@ -56,6 +56,16 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[i
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
+#: So many sources at most are broadcast.
+MOST_SOURCES = 100_000
+
+
+def beside(rows: DataFrame, found: DataFrame, on) -> DataFrame:
+    """``rows`` with their source's columns of ``found``: texts are not dealt by source, whose hottest may hold most rows."""
+    few = found.count() <= MOST_SOURCES
+    return rows.join(F.broadcast(found) if few else found, on, "left")
+
+
 def copies(rate, key, seed: str):
     """floor(rate) plus a Bernoulli copy with the fraction's probability."""
     return (F.floor(rate) + (uniform(key, seed) < rate - F.floor(rate)).cast("int")).cast("long")
@@ -65,8 +75,8 @@ def rated(documents: DataFrame, share: float, cap: int, weights: tuple[int, ...]
     """Rows of (doc_id, size, source_size, target, taken) and the ``more`` columns."""
     sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), *more)
     sizes = tables.staged(sizes, "sizes")
-    found = targets(sizes, share, cap, weights).withColumnRenamed("source", "_source")
-    joined = sizes.join(found, sizes["source"].eqNullSafe(found["_source"]), "left")
+    found = tables.staged(targets(sizes, share, cap, weights).withColumnRenamed("source", "_source"), "targets")
+    joined = beside(sizes, found, sizes["source"].eqNullSafe(found["_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return joined.select("doc_id", "size", "source_size", "target", copies(rate, F.col("doc_id"), seed).alias("copies"), *more)
 
@@ -77,7 +87,7 @@ def mixed(documents: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple
     held = tables.staged(documents.withColumn(size, word_count()), "sized")
     sizes = held.select(F.col("source").cast("string").alias("source"), F.col(size).alias("size"))
     found = targets(sizes, share, cap, weights).select(F.col("source").alias(name), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
-    joined = held.join(found, F.col("source").cast("string").eqNullSafe(F.col(name)), "left")
+    joined = beside(held, tables.staged(found, "targets"), F.col("source").cast("string").eqNullSafe(F.col(name)))
     repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies(F.col(rate), F.col("doc_id").cast("long"), seed).cast("int"))))
     return repeated.select(*documents.columns)
 

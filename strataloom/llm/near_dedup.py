@@ -150,19 +150,23 @@ def _digests(doc: np.ndarray, shape: np.ndarray, n_docs: int) -> tuple[np.ndarra
     return edges, d1, d2
 
 
-def _sets(documents: DataFrame, needed: DataFrame, weighted: bool = False, bits: int = 22) -> DataFrame:
+def _sets(documents: DataFrame, needed: DataFrame, weighted: bool = False) -> DataFrame:
     """(row, set) of the ``needed`` (row, d1, d2, n): the sorted hashes as bytes.
 
-    A bitmap of fixed size keeps out most sets that are not needed before they
-    are shuffled; one that it lets through wrongly only costs its way. A task
+    A bitmap, sized by their number, keeps out most sets that are not needed
+    before they are shuffled; one that it lets through wrongly only costs its
+    way. Where the largest bitmap would be too small there is none. A task
     gives each set once.
     """
     spark = documents.sparkSession
-    mark = f"pmod(d1, {1 << bits}L)"
-    words = needed.selectExpr(f"shiftright({mark}, 6) as w", f"shiftleft(1L, cast({mark} % 64 as int)) as v")
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).collect()  # 65,536 words at most
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    bitmap[[r["w"] for r in found]] = [r["v"] for r in found]
+    bits = tables.bitmap_bits(needed.count())
+    bitmap = None
+    if bits is not None:
+        mark = f"pmod(d1, {1 << bits}L)"
+        words = needed.selectExpr(f"shiftright({mark}, 6) as w", f"shiftleft(1L, cast({mark} % 64 as int)) as v")
+        found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # a million words at most
+        bitmap = np.zeros(1 << (bits - 6), np.int64)
+        bitmap[found.column("w").to_numpy()] = found.column("v").to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +175,13 @@ def _sets(documents: DataFrame, needed: DataFrame, weighted: bool = False, bits:
             for first, last, data, offsets in textkit.chunks(batch.column(0)):
                 doc, value, count = shingles(data, offsets)
                 edges, d1, d2 = _digests(doc, value ^ count.astype(U64) if weighted else value, last - first)
-                spot = d1 % (1 << bits)
+                if bits is None:
+                    wanted = range(last - first)
+                else:
+                    spot = d1 % (1 << bits)
+                    wanted = np.flatnonzero((shared.value[spot >> 6] >> (spot & 63)) & 1)
                 keep = []
-                for i in np.flatnonzero((shared.value[spot >> 6] >> (spot & 63)) & 1):
+                for i in wanted:
                     if (key := (int(d1[i]), int(d2[i]))) not in given:
                         given.add(key)
                         keep.append(i)
@@ -293,7 +301,9 @@ def classes(documents: DataFrame, threshold: float = 0.8, bands: int = 20, rows:
     label = graph.components(links)
     # Members of one bucket that no link has brought together yet are compared with one another.
     named = shared.join(label.withColumnRenamed("node", "row"), "row", "left").select(*key, "row", F.coalesce("label", "row").alias("label"))
+    named = tables.staged(named, "named")
     split = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("met")).filter("lo < hi")
+    split = tables.staged(split, "split")
     more = tables.staged(linked_blocks(named.join(split.select(*key, "met"), key), key, sets, threshold), "links")
     label = graph.components(links.unionByName(more))
     grouped = nodes.join(label.withColumnRenamed("node", "row"), "row", "left").select(*one, "row", "copies", F.coalesce("label", "row").alias("label"))
