@@ -9,15 +9,16 @@ bytes that they span they are a *run*.
 1. Runs whose leading k bytes start no other run are dropped (a count by hash).
 2. Equal runs become one, with their number. Two or more equal runs repeat whole.
 3. The suffixes are range-partitioned by their leading k bytes, with Spark's
-   sampled splitters; suffixes with equal ones are split further, so that a
-   very common passage is no hot bucket. A bucket is worked through in blocks
-   of bounded size. In a block, multikey quicksort over 8-byte words puts the
+   sampled splitters; leading bytes of more than 4,096 different runs are split
+   further, so that a very common passage is no hot bucket. A bucket is worked
+   through in blocks of bounded size. In a block, multikey quicksort over 8-byte words puts the
    suffixes in order; the longer common prefix with a neighbour bounds how far
    right a run's repeats can reach. Windows within that bound are found by
    fingerprints and compared byte by byte.
-4. Comparison across boundaries: the first and the last leading bytes of a
-   block may go on in another one. Where two blocks share them, the windows
-   of their runs are joined by a 128-bit BLAKE2 digest of their bytes.
+4. Comparison across boundaries: leading bytes that were split go on in other
+   blocks. Where two blocks share them, their runs are
+   joined by 128-bit BLAKE2 digests: first of the bytes that 16 neighbouring
+   windows have in common, then of the windows where those bytes met others.
 5. Repeated windows return to their documents and the bytes they cover go.
 
 Texts are anchored in pieces of 256 KB that overlap by a window, whatever
@@ -46,6 +47,8 @@ LENGTH = 400
 LEAD = 64
 PIECE = 1 << 18
 BLOCK_BYTES = 1 << 20
+MOST = 4096
+CELL = 16
 KEY = ["doc_id", "t1", "t2"]
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
@@ -299,20 +302,21 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(cut, "doc_id long, t1 long, t2 long, first int, off int, size int, c1 long, c2 long, bytes binary")
 
 
-FOUND = "c1 long, c2 long, from int, to int, head binary, block long, size int, bytes binary"
+FOUND = "c1 long, c2 long, from int, to int, head binary, block long, off int, size int, bytes binary, mask binary"
 
 
 def searched(distinct: DataFrame, length: int, lead: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of FOUND from (c1, c2, off, size, n, bytes): repeated windows of the runs, block by block.
+    """Rows of FOUND from (c1, c2, head, hot, off, size, n, bytes): repeated windows of the runs, block by block.
 
-    Rows with a ``head`` are runs whose leading bytes may go on in another
-    block, for the comparison across boundaries.
+    Rows with a ``head`` are the runs of ``hot`` leading bytes, for the
+    comparison across boundaries; the bits of ``mask`` are their windows that
+    were found repeated. All runs of other leading bytes are in one block.
     """
-    names = ["c1", "c2", "from", "to", "head", "block", "size", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["c1", "c2", "from", "to", "head", "block", "off", "size", "bytes", "mask"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table, group: np.ndarray, before: bool, after: bool) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
             off, size, n = (table.column(k).to_numpy() for k in ("off", "size", "n"))
             data, bounds = _binary(table.column("bytes"))
             starts = bounds[:-1]
@@ -328,73 +332,113 @@ def searched(distinct: DataFrame, length: int, lead: int, block_bytes: int = BLO
             void = lambda kind, rows: pa.nulls(len(rows), kind)
             columns = [take("c1", run), take("c2", run), pa.array((a - base).astype(np.int32)), pa.array((b - base - 1).astype(np.int32)), *(void(k, run) for k in kinds[4:])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            own = np.flatnonzero((before & (group == group[0])) | (after & (group == group[-1])))
+            own = np.flatnonzero(table.column("hot").to_numpy())
             block = int(table.column("c1")[0].as_py() ^ table.column("c2")[-1].as_py())
-            columns = [take("c1", own), take("c2", own), void(kinds[2], own), void(kinds[3], own), take("head", own), pa.array(np.full(len(own), block)), take("size", own), take("bytes", own)]
+            columns = [take("c1", own), take("c2", own), void(kinds[2], own), void(kinds[3], own), take("head", own), pa.array(np.full(len(own), block)), *(take(k, own) for k in ("off", "size", "bytes"))]
+            columns.append(pa.array([np.packbits(flags[e - n : e]).tobytes() for e, n in zip(ends[own].tolist(), size[own].tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def groups(table: pa.Table) -> np.ndarray:
             head = _binary(table.column("head"))[0].reshape(-1, lead)
             return np.concatenate([[0], np.cumsum((head[1:] != head[:-1]).any(axis=1))])
 
-        held, size, before = [], 0, True
+        held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                held.append(part)
-                size += part.nbytes
+                held.append(batch.slice(at, 512))
+                size += held[-1].nbytes
                 if size < block_bytes:
                     continue
                 table = pa.Table.from_batches(held).combine_chunks()
                 group = groups(table)
-                edge = int(np.searchsorted(group, group[-1]))
-                if 2 * edge > len(group):  # the last leading bytes wait for the next block
-                    yield from done(table.slice(0, edge), group[:edge], before, False)
-                    held, before = table.slice(edge).combine_chunks().to_batches(), False
-                else:
-                    yield from done(table, group, before, True)
-                    held, before = [], True
-                size = sum(x.nbytes for x in held)
+                # The last leading bytes wait for the next block, unless they are split anyway.
+                edge = table.num_rows if table.column("hot")[-1].as_py() else int(np.searchsorted(group, group[-1]))
+                if edge:
+                    yield from done(table.slice(0, edge), group[:edge])
+                held = table.slice(edge).combine_chunks().to_batches()
+                size = sum(x.nbytes for x in held) if edge else 0  # one group: look again after another block
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from done(table, groups(table), before, True)
+            yield from done(table, groups(table))
 
-    headed = distinct.withColumn("head", F.expr(f"substring(bytes, off + 1, {lead})"))
-    dealt = headed.repartitionByRange(tables.partitions(distinct.sparkSession), "head", "c1").sortWithinPartitions("head", "c1", "c2")
-    return dealt.select("c1", "c2", "head", "off", "size", "n", "bytes").mapInArrow(search, FOUND)
+    spread = F.when(F.col("hot"), F.col("c1")).otherwise(0)
+    dealt = distinct.repartitionByRange(tables.partitions(distinct.sparkSession), F.col("head"), spread).sortWithinPartitions("head", "c1", "c2")
+    return dealt.select("c1", "c2", "head", "off", "size", "n", "bytes", "hot").mapInArrow(search, FOUND)
 
 
-def across(found: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, from, to): windows of the runs at the edges of blocks (rows of FOUND with a head) that occur in two of them or more."""
+def _cells(edge: DataFrame, length: int, cell: int) -> DataFrame:
+    """(c1, c2, block, k, w1, w2): for each ``cell`` windows of a run, counted from the anchor, a digest of the bytes that all of them have."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                data, bounds = _binary(part.column(3))
-                size = part.column(2).to_numpy()
-                row = np.repeat(np.arange(len(size)), size)
-                place = textkit.ragged(np.zeros(len(size), np.int64), size)
-                begin = (bounds[row] + place).tolist()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data, bounds = _binary(part.column(5))
+                off, size = part.column(3).to_numpy().astype(np.int64), part.column(4).to_numpy()
+                low = (off - size + 1) // cell
+                n = off // cell - low + 1
+                row, k = np.repeat(np.arange(len(off)), n), textkit.ragged(low, n)
+                begin = bounds[row] + off[row] - cell * k
                 raw = data.tobytes()
-                name = _digests([raw[x : x + length] for x in begin])
-                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(name[:, 0]), pa.array(name[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "from", "w1", "w2"])
+                name = _digests([raw[x : x + length - cell + 1] for x in begin.tolist()])
+                own = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(own) for i in range(3)), pa.array(k.astype(np.int32)), pa.array(name[:, 0]), pa.array(name[:, 1])], names=["c1", "c2", "block", "k", "w1", "w2"])
+
+    return edge.select("c1", "c2", "block", "off", "size", "bytes").mapInArrow(cut, "c1 long, c2 long, block long, k int, w1 long, w2 long")
+
+
+def _windows(edge: DataFrame, length: int, cell: int) -> DataFrame:
+    """(c1, c2, block, from, w1, w2): digests of the windows of the cells ``ks`` of each run.
+
+    Windows that were found repeated only have to meet others: of equal ones a
+    batch gives one, without the run's name.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, known = [], set()
+            for c1, c2, block, off, size, raw, mask, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flags = np.unpackbits(np.frombuffer(mask, np.uint8), count=size)
+                for k in ks:
+                    for w in range(max(0, off - cell * k - cell + 1), min(size, off - cell * k + 1)):
+                        name = hashlib.blake2b(raw[w : w + length], digest_size=16).digest()
+                        if not flags[w]:
+                            held.append((c1, c2, block, w, name))
+                        elif (block, name) not in known:
+                            known.add((block, name))
+                            held.append((None, None, block, w, name))
+            name = np.frombuffer(b"".join([x[4] for x in held]), np.int64).reshape(-1, 2)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in held], kind) for i, kind in enumerate(kinds)), pa.array(name[:, 0]), pa.array(name[:, 1])], names=["c1", "c2", "block", "from", "w1", "w2"])
+
+    return edge.select("c1", "c2", "block", "off", "size", "bytes", "mask", "ks").mapInArrow(cut, "c1 long, c2 long, block long, from int, w1 long, w2 long")
+
 
+def across(found: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, from, to): windows of the runs at the edges of blocks (rows of FOUND with a head) that occur in another block."""
+    cell = max(1, min(CELL, length // 2))
+    elsewhere = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo <> hi").select(*keys)
     edge = found.filter("head is not null")
-    shared = tables.staged(edge.groupBy("head").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).filter("lo <> hi").select("head"), "heads")
-    each = edge.join(shared, "head", "left_semi").select("c1", "c2", "size", "bytes").mapInArrow(windows, "c1 long, c2 long, from int, w1 long, w2 long")
-    each = tables.staged(each, "windows")
-    twice = tables.staged(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
-    return each.join(twice, ["w1", "w2"]).select("c1", "c2", "from", F.col("from").alias("to"))
+    shared = tables.staged(elsewhere(edge, "head"), "heads")
+    edge = tables.staged(edge.join(shared, "head", "left_semi"), "edge")
+    cells = tables.staged(_cells(edge, length, cell), "cells")
+    met = tables.staged(elsewhere(cells, "w1", "w2"), "met")
+    open_ = cells.join(met, ["w1", "w2"]).groupBy("c1", "c2", "block").agg(F.collect_set("k").alias("ks"))
+    each = tables.staged(_windows(edge.join(open_, ["c1", "c2", "block"]), length, cell), "windows")
+    twice = tables.staged(elsewhere(each, "w1", "w2"), "twice")
+    return each.filter("c1 is not null").join(twice, ["w1", "w2"]).select("c1", "c2", "from", F.col("from").alias("to"))
 
 
-def repeated_spans(held: DataFrame, length: int, lead: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(held: DataFrame, length: int, lead: int, block_bytes: int = BLOCK_BYTES, most: int = MOST) -> DataFrame:
     """(c1, c2, from, to) of the runs in ``held``: their windows that lie in another run, too."""
-    same = ["c1", "c2", "off", "size"]
-    merged = held.groupBy(*same).agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    headed = held.withColumn("head", F.expr(f"substring(bytes, off + 1, {lead})"))
+    sizes = headed.select("head", "c1", "c2").distinct().groupBy("head").agg(F.count("*").alias("runs"))
+    hot = tables.staged(sizes.filter(F.col("runs") > most).select("head", F.lit(True).alias("hot")), "hot")
+    merged = headed.groupBy("c1", "c2", "off", "size").agg(F.count("*").alias("n"), F.first("head").alias("head"), F.first("bytes").alias("bytes"))
+    merged = merged.join(hot, "head", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     found = tables.staged(searched(merged, length, lead, block_bytes), "searched")
-    return found.filter("head is null").select("c1", "c2", "from", "to").unionByName(across(found, length))
+    spans = found.filter("head is null").select("c1", "c2", "from", "to")
+    return spans if hot.isEmpty() else spans.unionByName(across(found, length))
 
 
 def stripped(texts: DataFrame) -> DataFrame:
@@ -427,7 +471,7 @@ def stripped(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, block_bytes: int = BLOCK_BYTES, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
 
     ``kept``: the bytes that stay, as binary (a cut may fall inside a character); null where nothing goes.
@@ -443,7 +487,7 @@ def removed(documents: DataFrame, length: int = LENGTH, lead: int = LEAD, block_
     equal = lambda a, b: [a[k].eqNullSafe(b[k]) for k in KEY]
     texts = near.join(listed, equal(near, listed)).select(near["doc_id"], near["t1"], near["t2"], "text", "found")
     held = tables.staged(contexts(texts, length), "contexts")
-    spans = tables.staged(repeated_spans(held, length, lead, block_bytes), "spans")
+    spans = tables.staged(repeated_spans(held, length, lead, block_bytes, most), "spans")
     own = held.select(*KEY, "first", "c1", "c2").distinct().join(spans, ["c1", "c2"])
     own = own.select(*KEY, F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b")).alias("span"))
     gone = tables.staged(own.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans")), "gone")
