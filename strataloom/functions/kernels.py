@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -103,18 +104,19 @@ def gaussian(sigma: float, truncate: float = 3.0) -> np.ndarray:
     return w / w.sum()
 
 
-def smooth(data: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian filter along all axes; places beyond the frame count 0."""
+@lru_cache(maxsize=512)
+def blur_matrix(n: int, sigma: float) -> np.ndarray:
+    """The filter along an axis of n places as a banded matrix."""
     w = gaussian(sigma)
     radius = len(w) // 2
-    for axis in range(data.ndim):
-        line = np.moveaxis(data, axis, 0)
-        out = np.zeros(line.shape)
-        for k, weight in enumerate(w):
-            d = k - radius
-            if abs(d) < len(line):
-                out[max(0, -d) : len(line) - max(0, d)] += weight * line[max(0, d) : len(line) - max(0, -d)]
-        data = np.moveaxis(out, 0, axis)
+    d = np.arange(n)[None, :] - np.arange(n)[:, None]
+    return np.where(np.abs(d) <= radius, w[np.clip(d + radius, 0, 2 * radius)], 0.0)
+
+
+def smooth(data: np.ndarray, sigma: float, first: int = 0) -> np.ndarray:
+    """Gaussian filter along all axes from ``first`` on; places beyond the frame count 0."""
+    for axis in range(first, data.ndim):
+        data = np.moveaxis(np.tensordot(blur_matrix(data.shape[axis], sigma), data, (1, axis)), 0, axis)
     return data
 
 
@@ -131,13 +133,14 @@ def shape_descriptor(mask: np.ndarray, sigma: float, step: int = 1, start: tuple
     sub = full[(slice(None, None, step),) * ndim]
     place = np.stack(np.meshgrid(*(np.arange(s, dtype=float) * step for s in sub.shape), indexing="ij"))
     place += np.array(start or (0,) * ndim, float).reshape(-1, *(1,) * ndim)
-    blur = lambda v: smooth(v, sigma / step)
-    mass = blur(sub)
+    pairs = [(i, j) for i in range(ndim) for j in range(i, ndim)]
+    # All moments in one product for each axis.
+    mass, *rest = smooth(np.stack([sub, *(place[i] * sub for i in range(ndim)), *(place[i] * place[j] * sub for i, j in pairs)]), sigma / step, 1)
     mass = np.where(mass == 0, 1.0, mass)
-    mean = np.stack([blur(place[i] * sub) / mass for i in range(ndim)])
-    moment = lambda i, j: blur(place[i] * place[j] * sub) / mass - mean[i] * mean[j]
-    variance = np.maximum(np.stack([moment(i, i) for i in range(ndim)]), 1e-3)
-    pearson = [moment(i, j) / np.sqrt(variance[i] * variance[j]) for i in range(ndim) for j in range(i + 1, ndim)]
+    mean = np.stack(rest[:ndim]) / mass
+    moment = {(i, j): m / mass - mean[i] * mean[j] for (i, j), m in zip(pairs, rest[ndim:], strict=True)}
+    variance = np.maximum(np.stack([moment[i, i] for i in range(ndim)]), 1e-3)
+    pearson = [moment[i, j] / np.sqrt(variance[i] * variance[j]) for i, j in pairs if i < j]
     channels = np.concatenate([(mean - place) / sigma * 0.5 + 0.5, variance / sigma**2, np.stack(pearson) * 0.5 + 0.5, mass[None]])
     channels = np.clip(channels, 0, 1)
     for axis in range(1, ndim + 1):

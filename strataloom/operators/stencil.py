@@ -144,18 +144,28 @@ def largest_component(components: DataFrame, keys: list[str]) -> DataFrame:
     return components.join(best, [*keys, "component"], "left_semi")
 
 
-def instance_edt(rows: DataFrame) -> DataFrame:
-    """(place, label, d2): squared distance to the nearest place outside the slice instance."""
+def _runs(rows: DataFrame, line: list[str], axis: str) -> DataFrame:
+    """``rows`` with ``_run``: the number of their run of neighbouring places on a line along ``axis``."""
+    return rows.withColumn("_run", F.col(axis) - F.row_number().over(Window.partitionBy(*line).orderBy(axis)))
+
 
-    def distance(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in part.groupby("label", sort=True):
-            frame, origin = kernels.to_array(own, ["y", "x"], "label")
-            d2 = kernels.squared_edt(frame != 0)
-            out.append(own[["vol", "z", "y", "x", "label"]].assign(d2=d2[tuple((own[["y", "x"]].to_numpy() - origin).T)]))
-        return pd.concat(out)
+def instance_edt(rows: DataFrame) -> DataFrame:
+    """(place, label, d2): squared distance to the nearest place outside the slice instance.
 
-    return rows.groupBy("vol", "z").applyInPandas(distance, "vol int, z int, y int, x int, label int, d2 long")
+    Exact, an axis at a time: along y the distance to the ends of a column's
+    run, then along x the least sum of squares over a row's run, where only
+    places nearer than the distance along y can matter. No group is larger
+    than a line of an instance.
+    """
+    column = ["vol", "z", "x", "label"]
+    tall = _runs(rows.select("vol", "z", "y", "x", "label"), column, "y")
+    ends = Window.partitionBy(*column, "_run")
+    tall = tall.withColumn("_g", F.least(F.col("y") - F.min("y").over(ends), F.max("y").over(ends) - F.col("y")) + 1).drop("_run")
+    lines = _runs(tall, ["vol", "z", "y", "label"], "x").groupBy("vol", "z", "y", "label", "_run").agg(F.array_sort(F.collect_list(F.struct("x", "_g"))).alias("_at"))
+    least = """transform(_at, (a, i) -> named_struct('x', a.x, 'd2', cast(least((i + 1) * (i + 1), (size(_at) - i) * (size(_at) - i),
+        array_min(transform(slice(_at, greatest(i - a._g + 2, 1), least(i + a._g, size(_at)) - greatest(i - a._g + 2, 1) + 1),
+            (b, j) -> b._g * b._g + (b.x - a.x) * (b.x - a.x)))) as bigint)))"""
+    return lines.select("vol", "z", "y", "label", F.explode(F.expr(least)).alias("_p")).select("vol", "z", "y", F.col("_p.x").alias("x"), "label", F.col("_p.d2").alias("d2"))
 
 
 def prompt_reach(rows: DataFrame, rounds: int, negative_rounds: int) -> DataFrame:
