@@ -89,7 +89,7 @@ def prm_mask_3d(spark, sf):
 
 
 @query("prm_point_map", """
-with e as (select user_id % 200 as sample, cast(event_id % 17 as int) as x, cast(event_id % 13 as int) as y, event_id as n, case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity from events where event_type = 'purchase'),
+with e as (select user_id % 200 as sample, cast(event_id % 17 as int) as x, cast(event_id % 13 as int) as y, event_id as n, case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity from events),
 p as (select * from e qualify row_number() over (partition by sample, x, y order by n) = 1),
 g as (select sample, cast(a.i as int) as y, cast(b.i as int) as x, sum(exp(-(power(b.i - x, 2) + power(a.i - y, 2)) / 60) * (2 * polarity - 1)) as v, max(polarity) as m from p, range(13) a(i), range(17) b(i) group by all)
 select sample, y, x, round(case when m = 0 then 2 * v + 1 else v end, 5) + 0e0 as prompt from g""")
