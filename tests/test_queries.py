@@ -67,7 +67,9 @@ def test_points_lie_in_their_instances(spark):
 
 def test_draws_are_balanced(spark):
     counts = [r["count"] for r in run(spark, "smp_balanced_draw").groupBy("source").count().collect()]
-    assert sum(counts) == 10_000 and max(counts) < 1.2 * min(counts)
+    n = fx.slices(spark, DATA).count()
+    assert sum(counts) == n
+    assert all(abs(c - n / len(counts)) < 5 * (n / len(counts)) ** 0.5 for c in counts)
 
 
 def test_an_epoch_draws_as_often_as_the_pool_has_rows(spark):
