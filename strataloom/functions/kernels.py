@@ -22,13 +22,17 @@ def volume_to_npy(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def npy_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks (one for each row of the second axis) of 4-D array files; others are an error."""
+    """Blocks (one for each row of the second axis) of 4-D array files; any other file gives one row marked failed."""
     for batch in batches:
         for vol, content in zip(batch["vol"], batch["content"], strict=True):
-            data = np.load(io.BytesIO(content))
-            if data.ndim != 4:
-                raise ValueError(f"a cache has 4 dimensions, not {data.ndim}")
-            yield pd.DataFrame({"vol": vol, "dims": data.ndim, "block": range(data.shape[1]), "data": [data[:, i].astype(float).ravel() for i in range(data.shape[1])]})
+            try:
+                data = np.load(io.BytesIO(content))
+            except (ValueError, EOFError, OSError):
+                data = None
+            if data is None or data.ndim != 4:
+                yield pd.DataFrame({"vol": [vol], "dims": [None], "block": [None], "data": [None], "failed": [True]})
+                continue
+            yield pd.DataFrame({"vol": vol, "dims": data.ndim, "block": range(data.shape[1]), "data": [data[:, i].astype(float).ravel() for i in range(data.shape[1])], "failed": False})
 
 
 def stable_seed(base: int, *parts) -> int:

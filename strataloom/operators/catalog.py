@@ -32,19 +32,31 @@ def paired_keys(paths: DataFrame) -> DataFrame:
     return keys("im").join(keys("seg"), "key").selectExpr("cast(key as bigint) as key")
 
 
-def slice_file_match(slices: DataFrame, files: DataFrame) -> DataFrame:
-    """(n, name): a slice's mask file by its number; two digits first, then plain, then eight digits, then any; null where missing."""
+def required(value: Column, strict: bool, message: str) -> Column:
+    """The value; where it is null an error if ``strict``."""
+    return F.coalesce(value, F.raise_error(F.lit(message))) if strict else value
+
+
+def slice_file_match(slices: DataFrame, files: DataFrame, strict: bool = True) -> DataFrame:
+    """(n, name): a slice's mask file by its number; two digits first, then plain, then eight digits, then any.
+
+    A slice without a file is an error, or has a null name if not ``strict``.
+    """
     named = files.withColumn("stem", stem(F.col("name"), "png")).filter("stem rlike '^[0-9]+$'").withColumn("n", F.expr("cast(stem as bigint)"))
     plain = F.col("n").cast("string")
     rank = F.when(F.col("stem") == F.when(F.length(plain) < 2, F.lpad(plain, 2, "0")).otherwise(plain), 0).when(F.col("stem") == plain, 1).when(F.col("stem") == F.lpad(plain, 8, "0"), 2).otherwise(3)
     best = named.withColumn("rank", rank).groupBy("n").agg(F.min(F.struct("rank", "name")).alias("best"))
-    return slices.join(best, "n", "left").select("n", F.col("best.name").alias("name"))
+    return slices.join(best, "n", "left").select("n", required(F.col("best.name"), strict, "a slice has no mask file").alias("name"))
 
 
-def inverted_z_join(images: DataFrame, labels: DataFrame, depth: int, first_name: int) -> DataFrame:
-    """Image slice z with label slice ``depth - z``; image names begin at ``first_name``."""
+def inverted_z_join(images: DataFrame, labels: DataFrame, depth: int, first_name: int, strict: bool = True) -> DataFrame:
+    """Image slice z with label slice ``depth - z``; image names begin at ``first_name``.
+
+    An image slice without a label slice is an error, or has a null ``n_fg`` if not ``strict``.
+    """
     numbered = images.withColumn("number", F.lit(depth) - F.col("z"))
-    return numbered.join(labels, ["vol", "number"], "left").select("vol", "z", (F.col("z") + first_name).alias("image_name"), "number", "n_fg")
+    n_fg = required(F.col("n_fg"), strict, "an image slice has no label slice").alias("n_fg")
+    return numbered.join(labels, ["vol", "number"], "left").select("vol", "z", (F.col("z") + first_name).alias("image_name"), "number", n_fg)
 
 
 def largest_3d(arrays: DataFrame) -> DataFrame:
@@ -66,12 +78,12 @@ def slice_cache_name(source: Column, path: Column) -> Column:
     return F.concat_ws("__", source, F.regexp_replace(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), "/", "__"))
 
 
-def resume_status(items: DataFrame, artefacts: DataFrame, kinds: int, skip: bool, overwrite: bool) -> DataFrame:
-    """(item, status): complete items are skipped, overwritten or failed; others are to be done. Skip wins."""
+def resume_status(items: DataFrame, artefacts: DataFrame, kinds: int, skip: Column, overwrite: Column) -> DataFrame:
+    """``items`` with ``status``: complete ones are skipped, overwritten or failed; others are to be done. Skip wins."""
     whole = artefacts.groupBy("item").agg(F.count_distinct("kind").alias("have")).filter(F.col("have") >= kinds).select("item", F.lit(True).alias("whole"))
     done = F.coalesce("whole", F.lit(False))
-    status = F.when(~done, "write").when(F.lit(skip), "skip").when(F.lit(overwrite), "write").otherwise("fail")
-    return items.join(whole, "item", "left").select("item", status.alias("status"))
+    status = F.when(~done, "write").when(skip, "skip").when(overwrite, "write").otherwise("fail")
+    return items.join(whole, "item", "left").withColumn("status", status).drop("whole")
 
 
 def manifest(layers: DataFrame) -> DataFrame:
@@ -81,12 +93,30 @@ def manifest(layers: DataFrame) -> DataFrame:
     return found.select("source", F.to_json(F.struct("source", "total_layers", "exported_layers", "skipped_layers", "metadata_layers")).alias("json"))
 
 
+def capped(chunk: tuple[int, ...], shape: tuple[int, ...]) -> tuple[int, ...]:
+    """The chunk's sides, none longer than the volume's."""
+    return tuple(map(min, chunk, shape))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Voxels with block keys and ``source`` as Parquet by source: a block lies in one file, in raster order."""
+    block = ["vol", "bz", "by", "bx"]
+    laid = blocks.repartition("source", *block).sortWithinPartitions("source", *block, "z", "y", "x")
+    laid.write.option("compression", "zstd").partitionBy("source").parquet(path)
+
+
+def write_prompts(path: str, tables: dict[str, DataFrame]) -> None:
+    """Tables with ``source`` as CSV with a header, by name and source."""
+    for name, rows in tables.items():
+        rows.repartition("source").write.partitionBy("source").csv(f"{path}/{name}", header=True)
+
+
 def block_keys(voxels: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
     """Voxels with the key of their block (bz, by, bx)."""
     cz, cy, cx = chunk
     return voxels.selectExpr("*", f"z div {cz} as bz", f"y div {cy} as by", f"x div {cx} as bx")
 
 
-def rechunked(voxels: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
+def block_sums(blocks: DataFrame) -> DataFrame:
     """(vol, bz, by, bx, n, label_sum): contents of every block."""
-    return block_keys(voxels, chunk).groupBy("vol", "bz", "by", "bx").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("label_sum"))
+    return blocks.groupBy("vol", "bz", "by", "bx").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("label_sum"))

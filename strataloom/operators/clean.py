@@ -58,10 +58,17 @@ def offset_align(labels: DataFrame, raw: DataFrame, offset: tuple[int, int, int]
     return labels.join(moved.select(*PLACE, "raw"), PLACE)
 
 
-def common_shape(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both trimmed to the smaller extent of each axis, joined place by place."""
+def common_shape(a: DataFrame, b: DataFrame, trims: Column | None = None) -> DataFrame:
+    """Both trimmed to the smaller extent of each axis, joined place by place.
+
+    Extents that differ are an error in volumes where ``trims`` does not hold.
+    """
     ends = lambda rows, s: rows.groupBy("vol").agg(*(F.max(k).alias(f"{s}{k}") for k in "zyx"))
-    most = ends(a, "a").join(ends(b, "b"), "vol").select("vol", *(F.least(f"a{k}", f"b{k}").alias(f"_{k}") for k in "zyx"))
+    both = ends(a, "a").join(ends(b, "b"), "vol")
+    if trims is not None:
+        same = F.expr("az = bz and ay = by and ax = bx")
+        both = both.filter(F.when(trims | same, True).otherwise(F.raise_error(F.lit("raw and label shapes differ")).cast("boolean")))
+    most = both.select("vol", *(F.least(f"a{k}", f"b{k}").alias(f"_{k}") for k in "zyx"))
     kept = a.join(b, PLACE).join(most, "vol")
     return kept.filter(" and ".join(f"{k} <= _{k}" for k in "zyx")).drop("_z", "_y", "_x")
 

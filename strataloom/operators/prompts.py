@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import episodes, kernels
+from strataloom.operators.clean import uniform
 
 INSTANCE = ["vol", "z", "label"]
 
@@ -62,13 +63,24 @@ def no_prompt(dense: DataFrame) -> DataFrame:
     return dense.select("vol", "z", "y", "x", F.lit(1.0).alias("prompt"), (F.col("label") != 0).cast("int").alias("mask"))
 
 
-def point_map(points: DataFrame, keys: list[str], height: int, width: int, theta: float) -> DataFrame:
-    """(keys, y, x, prompt): signed bumps of points that lie on the grid; all negative gives 2 v + 1."""
-    wide = points.withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    d2 = F.pow(F.col("gx") - F.col("x"), 2) + F.pow(F.col("gy") - F.col("y"), 2)
-    bump = F.exp(-d2 * F.lit(0.5 / theta)) * (2 * F.col("polarity") - 1)
-    total = wide.groupBy(*keys, F.col("gy").alias("y"), F.col("gx").alias("x")).agg(F.sum(bump).alias("v"), F.max("polarity").alias("p"))
-    return total.select(*keys, "y", "x", F.when(F.col("p") == 0, 2 * F.col("v") + 1).otherwise(F.col("v")).alias("prompt"))
+def point_map(points: DataFrame, keys: list[str], height: int, width: int, theta: float, samples: DataFrame | None = None, empty: float = 0.0) -> DataFrame:
+    """(keys, y, x, prompt): signed bumps of points, each scaled by its peak on the grid; all negative gives 2 v + 1.
+
+    ``samples`` (keys, prompted) adds maps of samples without points: ``empty``
+    where they are prompted, ones where not. A bump is the product of one along
+    y and one along x, so points of one column are summed before x unfolds.
+    """
+    along = lambda at, k, size: F.exp(-(F.pow(at - F.col(k), 2) - F.pow(F.least(F.greatest(F.col(k), F.lit(0)), F.lit(size - 1)) - F.col(k), 2)) * F.lit(0.5 / theta))
+    tall = points.withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    column = tall.groupBy(*keys, "gy", "x").agg(F.sum(along(F.col("gy"), "y", height) * (2 * F.col("polarity") - 1)).alias("v"), F.max("polarity").alias("p"))
+    wide = column.withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    total = wide.groupBy(*keys, F.col("gy").alias("y"), F.col("gx").alias("x")).agg(F.sum(F.col("v") * along(F.col("gx"), "x", width)).alias("v"), F.max("p").alias("p"))
+    found = total.select(*keys, "y", "x", F.when(F.col("p") == 0, 2 * F.col("v") + 1).otherwise(F.col("v")).alias("prompt"))
+    if samples is None:
+        return found
+    bare = samples.join(points, keys, "left_anti").select(*keys, F.when(F.col("prompted"), empty).otherwise(1.0).alias("prompt"))
+    bare = bare.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    return found.unionByName(bare)
 
 
 def by_slice(rows: DataFrame, base: int, function: Callable, schema: str) -> DataFrame:
@@ -225,9 +237,28 @@ def episode_rows(rows: DataFrame, seed: int) -> DataFrame:
     return by_slice(rows, seed, run, "label int, round int, x int, y int, polarity int, replay int, neighbours int, difficulty double")
 
 
-def one_click(edt: DataFrame, threshold: float) -> DataFrame:
-    """(instance, y, x): the deepest interior place of every instance, the first on ties."""
-    return _first(interior(edt, threshold, False), [-F.col("d2"), F.col("y"), F.col("x")], ["y", "x"])
+def one_click(edt: DataFrame, threshold: float, seed: int = 0, bias: float = 1.0, taken: DataFrame | None = None, apart: float = 0.0) -> DataFrame:
+    """(instance, y, x): an interior place of every instance: the deepest (the first on ties) with probability ``bias``, else a random one.
+
+    Where it is nearer than ``apart`` to a point of ``taken`` (instance, y, x), the
+    deepest place that is not; an instance without one has no row.
+    """
+    places = interior(edt, threshold, False)
+    depth = [-F.col("d2"), F.col("y"), F.col("x")]
+    if bias >= 1 and taken is None:
+        return _first(places, depth, ["y", "x"])
+    deep = uniform(seed, *INSTANCE) < bias
+    lot = F.when(deep, 0).otherwise(F.xxhash64(F.lit(seed), *INSTANCE, "y", "x"))
+    allowed = F.lit(True)
+    if taken is not None:
+        marks = taken.groupBy(*INSTANCE).agg(F.collect_set(F.struct("y", "x")).alias("_marks"))
+        places = places.join(marks, INSTANCE, "left")
+        far = lambda p: (F.col("y") - p.y) * (F.col("y") - p.y) + (F.col("x") - p.x) * (F.col("x") - p.x) >= apart * apart
+        allowed = F.coalesce(F.forall("_marks", far), F.lit(True))
+    ranked = places.select(*INSTANCE, F.struct(lot.alias("lot"), *(c.alias(f"o{i}") for i, c in enumerate(depth)), "y", "x", allowed.alias("ok")).alias("first"), F.when(allowed, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(depth)), "y", "x")).alias("other"))
+    best = ranked.groupBy(*INSTANCE).agg(F.min("first").alias("f"), F.min("other").alias("o"))
+    pick = F.when(F.col("f.ok"), F.struct("f.y", "f.x")).otherwise(F.struct("o.y", "o.x"))
+    return best.filter("o is not null").select(*INSTANCE, pick.alias("p")).select(*INSTANCE, "p.y", "p.x")
 
 
 def next_clicks(rows: DataFrame, seed: int) -> DataFrame:

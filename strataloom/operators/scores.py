@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import stencil
+
 
 def instance_boxes(rows: DataFrame) -> DataFrame:
     """Half-open boxes (vol, label, lo_k, hi_k) of the instances."""
@@ -70,19 +72,62 @@ def smooth_l1(difference: Column) -> Column:
     return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)
 
 
+def boundary_loss(dense: DataFrame, axes: str) -> DataFrame:
+    """``dense`` (place, label, p) with ``boundary``: mean over the axes of the smooth L1 of |step of p| against the affinity.
+
+    Two axes take the affinity of slices, three that of volumes.
+    """
+    rows = (stencil.affinity_3d if len(axes) == 3 else stencil.affinity_2d)(dense)
+    steps = [F.coalesce(F.abs(F.lead("p").over(stencil._line(k)) - F.col("p")), F.lit(0.0)) for k in axes]
+    for i, step in enumerate(steps):
+        rows = rows.withColumn(f"_b{i}", smooth_l1(step - F.col(f"aff{i}")))
+    names = [f"_b{i}" for i in range(len(axes))]
+    return rows.withColumn("boundary", sum(map(F.col, names), F.lit(0.0)) / len(axes)).drop(*names)
+
+
+def summed_mse(pairs: list[tuple[Column, Column]]) -> Column:
+    """Mean squared errors of pairs of arrays, a mean for each pair over all its elements, summed."""
+    total = F.lit(0.0)
+    for pred, target in pairs:
+        errors = F.aggregate(F.zip_with(pred, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+        total = total + F.sum(errors) / F.sum(F.size(pred))
+    return total
+
+
+def total_loss(logit: Column, truth: Column, boundary: Column, weights: tuple[float, float, float] = (1.0, 1.0, 0.3)) -> Column:
+    """Weighted sum of mean BCE with logits, soft Dice of the probabilities, and mean boundary loss of a group of places."""
+    prob = 1 / (1 + F.exp(-logit))
+    return weights[0] * F.avg(bce(logit, truth)) + weights[1] * soft_dice(prob, truth) + weights[2] * F.avg(boundary)
+
+
 def epoch_means(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(.., batch_mean, sample_mean): mean of the batches, and weighted by their samples; NaN where empty."""
     nan = F.lit(float("nan"))
     return rows.groupBy(*keys).agg(F.coalesce(F.avg("loss"), nan).alias("batch_mean"), F.coalesce(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), nan).alias("sample_mean"))
 
 
-def multistep_loss(rows: DataFrame, decay: float) -> DataFrame:
-    """(sample set, loss): steps up to the first without valid samples, weighted by decay**step."""
-    steps = rows.groupBy("run", "step").agg(F.sum("valid").alias("n"), (F.sum(F.col("loss") * F.col("valid")) / F.greatest(F.sum("valid"), F.lit(1))).alias("l"))
-    first_gap = steps.filter("n = 0").groupBy("run").agg(F.min("step").alias("gap"))
-    kept = steps.join(first_gap, "run", "left").filter("gap is null or step < gap")
-    weight = F.pow(F.lit(decay), F.col("step"))
-    return kept.groupBy("run").agg((F.sum(weight * F.col("l")) / F.sum(weight)).alias("loss"), F.max("step").alias("last_step"))
+def multistep_loss(rows: DataFrame, decay: float, boost: float, weights: tuple[float, float, float] = (1.0, 1.0, 0.3), strict: bool = True) -> DataFrame:
+    """(run, loss, last_step, final_loss) of rows (run, sample, step, bce, dice, boundary, valid).
+
+    Steps count up to the first without valid samples, weighted by decay**step;
+    the Dice part of step 0 is boosted. ``final_loss`` takes each sample's last
+    valid step (its first without any). A run without a step is an error, or has no row if not ``strict``.
+    """
+    mean = lambda part: F.sum(F.col(part) * F.col("valid")) / F.greatest(F.sum("valid"), F.lit(1))
+    steps = rows.groupBy("run", "step").agg(F.sum("valid").alias("n"), *(mean(p).alias(p) for p in ("bce", "dice", "boundary")))
+    gap = steps.groupBy("run").agg(F.min(F.when(F.col("n") == 0, F.col("step"))).alias("gap"), F.min("step").alias("_first"))
+    if strict:
+        gap = gap.filter(F.when(F.expr("gap is null or gap > _first"), True).otherwise(F.raise_error(F.lit("no valid step")).cast("boolean")))
+    inside = F.expr("gap is null or step < gap")
+    kept = steps.join(gap, "run").filter(inside)
+    boosted = weights[1] * F.when(F.col("step") == 0, boost).otherwise(1.0)
+    loss, weight = weights[0] * F.col("bce") + boosted * F.col("dice") + weights[2] * F.col("boundary"), F.pow(F.lit(decay), F.col("step"))
+    total = kept.groupBy("run").agg((F.sum(weight * loss) / F.sum(weight)).alias("loss"), F.max("step").alias("last_step"))
+    parts = F.struct("bce", "dice", "boundary")
+    own = rows.join(gap, "run").filter(inside).groupBy("run", "sample").agg(F.max_by(parts, F.when(F.col("valid") > 0, F.col("step"))).alias("_last"), F.min_by(parts, "step").alias("_any"))
+    last = own.select("run", F.coalesce("_last", "_any").alias("l"))
+    final = last.groupBy("run").agg((weights[0] * F.avg("l.bce") + weights[1] * F.avg("l.dice") + weights[2] * F.avg("l.boundary")).alias("final_loss"))
+    return total.join(final, "run")
 
 
 def best_so_far(epochs: DataFrame, patience: int) -> DataFrame:

@@ -9,8 +9,10 @@ from strataloom.operators.clean import uniform
 
 
 def leave_one_out(sources: DataFrame, species: int) -> DataFrame:
-    """(source, pool): the held species' sources are the test pool, all others train and validate."""
-    return sources.select("species", "source", F.when(F.col("species") == species, "test").otherwise("train_val").alias("pool"))
+    """(species, source, pool): the held species' sources are the test pool, all others train and validate; an unknown species is an error."""
+    known = sources.agg(F.coalesce(F.max(F.col("species") == species), F.lit(False)).alias("_known"))
+    checked = F.when(F.col("_known"), True).otherwise(F.raise_error(F.lit(f"unknown species {species}")).cast("boolean"))
+    return sources.join(F.broadcast(known)).filter(checked).select("species", "source", F.when(F.col("species") == species, "test").otherwise("train_val").alias("pool"))
 
 
 def train_val(slices: DataFrame, n_val: int) -> DataFrame:
@@ -59,6 +61,22 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     return rows.withColumn("_own", own).join(sizes, group).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
 
 
+def union_pool(rows: DataFrame, wanted: list[int], group: list[str], order: list[str], strict: bool) -> DataFrame:
+    """The rows of the sources ``wanted`` with ``position``, numbered by the list's order, then group and order.
+
+    A source without rows is an error if ``strict``, else it is skipped; a pool without rows is an error.
+    """
+    pool = rows.filter(F.col("source").isin(wanted))
+    # One row for each source of the list at most.
+    found = {r.source for r in pool.select("source").distinct().collect()}
+    if strict and len(found) < len(wanted):
+        raise ValueError(f"empty sources {[s for s in wanted if s not in found]}")
+    if not found:
+        raise ValueError("no source has rows")
+    placed = pool.withColumn("_ord", F.array_position(F.array(*map(F.lit, wanted)), F.col("source")))
+    return numbered(placed, ["_ord", *group], order, "position").drop("_ord")
+
+
 def subset_targets(volumes: DataFrame, chosen: list[int]) -> DataFrame:
     """Volumes by a list of indexes; ``task`` is the place in the list."""
     places = F.explode(F.arrays_zip(F.array(*map(F.lit, chosen)).alias("vol"), F.sequence(F.lit(0), F.lit(len(chosen) - 1)).alias("task")))
@@ -111,15 +129,27 @@ def shard(rows: DataFrame, position: str, rank: int, world: int) -> DataFrame:
     return rows.filter(F.pmod(position, F.lit(world)) == rank)
 
 
-def retry_fallback(samples: DataFrame, eligible: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """(.., used_*): eligible samples stand for themselves, others take a seeded eligible one; none at all is an error."""
-    good = numbered(eligible.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(64))), ["_g"], keys, "_place").drop("_g")
-    count = good.agg(F.count("*").alias("_n"))
-    marked = samples.join(eligible.withColumn("_ok", F.lit(True)), keys, "left")
-    drawn = marked.join(F.broadcast(count)).withColumn("_place", F.when(F.col("_n") == 0, F.raise_error(F.lit("no eligible sample"))).otherwise(F.floor(uniform(seed, *keys) * F.col("_n"))).cast("long"))
-    used = good.select("_place", *(F.col(k).alias(f"used_{k}") for k in keys))
-    found = drawn.join(used, "_place")
-    return found.select(*keys, *(F.when(F.col("_ok"), F.col(k)).otherwise(F.col(f"used_{k}")).alias(f"used_{k}") for k in keys), F.coalesce("_ok", F.lit(False)).alias("own"))
+def retry_fallback(samples: DataFrame, valid: DataFrame, keys: list[str], seed: int, tries: int = 48, replacements: int = 32) -> DataFrame:
+    """(keys, used_*, attempt): the sample and the attempt that stand for each sample.
+
+    ``valid`` (keys, attempt) are attempts that give a prompt. A sample takes its
+    first one below ``tries``; without any, replacement r is a random sample at
+    its attempt ``tries + r``, and the first valid one counts. None is an error.
+    """
+    own = valid.filter(F.col("attempt") < tries).groupBy(*keys).agg(F.min("attempt").alias("_own"))
+    marked = samples.join(own, keys, "left")
+    mixed = samples.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(64)))
+    placed = numbered(mixed, ["_g"], keys, "_place").select("_place", *(F.col(k).alias(f"used_{k}") for k in keys))
+    count = samples.agg(F.count("*").alias("_n"))
+    drawn = marked.filter("_own is null").select(*keys, F.explode(F.sequence(F.lit(tries), F.lit(tries + replacements - 1))).alias("attempt"))
+    drawn = drawn.join(F.broadcast(count)).withColumn("_place", F.floor(uniform(seed, *keys, "attempt") * F.col("_n")).cast("long"))
+    others = valid.select(*(F.col(k).alias(f"used_{k}") for k in keys), "attempt")
+    found = drawn.join(placed, "_place").join(others, [*(f"used_{k}" for k in keys), "attempt"])
+    first = found.groupBy(*keys).agg(F.min(F.struct("attempt", *(f"used_{k}" for k in keys))).alias("_r"))
+    none = F.raise_error(F.lit("no replacement gives a prompt"))
+    joined = marked.join(first, keys, "left")
+    used = [F.when(F.col("_own").isNotNull(), F.col(k)).otherwise(F.coalesce(F.col(f"_r.used_{k}"), none)).alias(f"used_{k}") for k in keys]
+    return joined.select(*keys, *used, F.coalesce("_own", "_r.attempt").alias("attempt"))
 
 
 def collate(rows: DataFrame, arrays: list[str]) -> DataFrame:

@@ -59,7 +59,7 @@ def src_slice_file_match(spark, sf):
     keys = fx.table(spark, sf, "supplier").selectExpr("s_suppkey as n", "cast(s_suppkey as string) as k").filter("n % 11 <> 0")
     short = keys.filter("n % 3 < 2").selectExpr("concat(case when n % 3 = 0 and length(k) < 2 then lpad(k, 2, '0') else k end, '.png') as name")
     long = keys.filter("n % 3 = 2 or n % 5 = 0").selectExpr("concat(lpad(k, 8, '0'), '.png') as name")
-    return op.slice_file_match(fx.table(spark, sf, "supplier").selectExpr("s_suppkey as n"), short.unionByName(long))
+    return op.slice_file_match(fx.table(spark, sf, "supplier").selectExpr("s_suppkey as n"), short.unionByName(long), strict=False)
 
 
 @query("src_inverted_z_join", DUCK + """
@@ -68,7 +68,7 @@ select g.vol, g.z, g.z + 1 as image_name, 8 - g.z as number, n_fg
 from (select distinct vol, z from grid) g left join l on l.vol = g.vol and l.number = 8 - g.z""")
 def src_inverted_z_join(spark, sf):
     labels = fx.voxels(spark, sf).groupBy("vol", (F.col("z") + 1).alias("number")).agg(F.count("*").alias("n_fg"))
-    return op.inverted_z_join(fx.grid(spark, sf).select("vol", "z").distinct(), labels, 8, 1)
+    return op.inverted_z_join(fx.grid(spark, sf).select("vol", "z").distinct(), labels, 8, 1, strict=False)
 
 
 @query("src_pick_largest_3d", """
@@ -84,18 +84,25 @@ def src_pick_largest_3d(spark, sf):
     return op.largest_3d(arrays)
 
 
-@query("src_npy_blocks", DUCK + "select vol, 4 as dims, cast(count(*) as bigint) as elements, cast(sum(label) as bigint) as total from dense group by vol")
+@query("src_npy_blocks", DUCK + """
+select vol, case when vol % 5 <> 4 then 4 end as dims, case when vol % 5 <> 4 then cast(count(*) as bigint) end as elements,
+  case when vol % 5 <> 4 then cast(sum(label) as bigint) end as total, vol % 5 = 4 as failed from dense group by vol""")
 def src_npy_blocks(spark, sf):
     files = fx.dense(spark, sf).groupBy("vol").applyInPandas(kernels.volume_to_npy, "vol int, content binary")
-    blocks = files.mapInPandas(kernels.npy_blocks, "vol int, dims int, block int, data array<double>")
-    return blocks.groupBy("vol", "dims").agg(F.sum(F.size("data")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
+    # Every fifth file is cut off.
+    files = files.withColumn("content", F.expr("if(vol % 5 = 4, substring(content, 1, 1000), content)"))
+    blocks = files.mapInPandas(kernels.npy_blocks, "vol int, dims int, block int, data array<double>, failed boolean")
+    return blocks.groupBy("vol", "dims", "failed").agg(F.sum(F.expr("cardinality(data)")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
 
 
 @query("sink_rechunk", DUCK + """
 select vol, cast(z // 3 as int) as bz, cast(y // 12 as int) as "by", cast(x // 12 as int) as bx, count(*) as n, cast(sum(label) as bigint) as label_sum
 from dense group by all""")
 def sink_rechunk(spark, sf):
-    return op.rechunked(fx.dense(spark, sf), (3, 12, 12)).selectExpr("vol", "cast(bz as int) as bz", "cast(by as int) as by", "cast(bx as int) as bx", "n", "label_sum")
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    rows = fx.dense(spark, sf).withColumn("source", F.expr("vol % 25"))
+    op.write_blocks(op.block_keys(rows, op.capped((3, 12, 12), (8, 32, 32))), path)
+    return op.block_sums(spark.read.parquet(path)).selectExpr("vol", "cast(bz as int) as bz", "cast(by as int) as by", "cast(bx as int) as bx", "n", "label_sum")
 
 
 @query("sink_cache_name", """
@@ -111,21 +118,36 @@ def sink_cache_name(spark, sf):
 
 @query("sink_skip_existing", """
 with have as (select l_orderkey as item, count(distinct l_linenumber % 4) as k from lineitem group by 1)
-select o_orderkey as item, case when coalesce(k, 0) >= 4 then 'skip' else 'write' end as status from orders left join have on item = o_orderkey""")
+select o_orderkey as item, skip, overwrite, case when coalesce(k, 0) < 4 then 'write' when skip then 'skip' when overwrite then 'write' else 'fail' end as status
+from orders cross join (values (true), (false)) s(skip) cross join (values (true), (false)) o(overwrite) left join have on item = o_orderkey""")
 def sink_skip_existing(spark, sf):
-    items = fx.table(spark, sf, "orders").selectExpr("o_orderkey as item")
-    return op.resume_status(items, fx.table(spark, sf, "lineitem").selectExpr("l_orderkey as item", "l_linenumber % 4 as kind"), 4, True, True)
+    modes = "explode(array(true, false)) as"
+    items = fx.table(spark, sf, "orders").selectExpr("o_orderkey as item", f"{modes} skip").selectExpr("*", f"{modes} overwrite")
+    return op.resume_status(items, fx.table(spark, sf, "lineitem").selectExpr("l_orderkey as item", "l_linenumber % 4 as kind"), 4, F.col("skip"), F.col("overwrite"))
 
 
 @query("sink_prompt_tables", DUCK + """
-, b as (select vol, z, label, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from voxels group by all)
-select vol % 25 as source, lpad(cast(vol * 8 + z as varchar), 6, '0') as layer, label as label_id, x0, y0, x1, y1 from b""")
+, n as (select vol % 25 as source, lpad(cast(vol * 8 + z as varchar), 6, '0') as layer, label as label_id, y, x from voxels),
+b as (select source, layer, label_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from n group by all),
+p as (select source, layer, label_id, x, y from n qualify row_number() over (partition by source, layer, label_id order by y, x) = 1)
+select 'box' as kind, source, layer, label_id, null::int as point_id, x0, y0, x1, y1 from b
+union all select 'point', source, layer, label_id, 0, x, y, null, null from p
+union all select 'slice', source, layer, cast(count(distinct label_id) as int), null, null, null, 32, 32 from n group by source, layer""")
 def sink_prompt_tables(spark, sf):
-    boxes = fx.voxels(spark, sf).groupBy("vol", "z", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    named = boxes.selectExpr("vol % 25 as source", "lpad(cast(vol * 8 + z as string), 6, '0') as layer", "label as label_id", "x0", "y0", "x1", "y1")
+    named = fx.voxels(spark, sf).selectExpr("vol % 25 as source", "lpad(cast(vol * 8 + z as string), 6, '0') as layer", "label as label_id", "y", "x")
+    each = named.groupBy("source", "layer", "label_id")
+    tables = {
+        "box": each.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")),
+        "point": each.agg(F.min(F.struct("y", "x")).alias("p")).selectExpr("source", "layer", "label_id", "0 as point_id", "p.x as x", "p.y as y"),
+        "slice": named.groupBy("source", "layer").agg(F.count_distinct("label_id").alias("instance_count")).selectExpr("source", "layer", "32 as width", "32 as height", "instance_count"),
+    }
     path = f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}"
-    named.repartition("source").write.partitionBy("source").csv(path, header=True)
-    return spark.read.schema("layer string, label_id int, x0 int, y0 int, x1 int, y1 int, source int").csv(path, header=True).select(named.columns)
+    op.write_prompts(path, tables)
+    back = lambda name, columns: spark.read.schema(f"layer string, {columns}, source int").csv(f"{path}/{name}", header=True).withColumn("kind", F.lit(name))
+    boxes = back("box", "label_id int, x0 int, y0 int, x1 int, y1 int")
+    points = back("point", "label_id int, point_id int, x0 int, y0 int")
+    slices = back("slice", "x1 int, y1 int, label_id int")
+    return boxes.unionByName(points, True).unionByName(slices, True).select("kind", "source", "layer", "label_id", "point_id", "x0", "y0", "x1", "y1")
 
 
 @query("sink_manifest", DUCK + """

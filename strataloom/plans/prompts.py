@@ -91,13 +91,16 @@ def prm_mask_3d(spark, sf):
 @query("prm_point_map", """
 with e as (select user_id % 200 as sample, cast(event_id % 17 as int) as x, cast(event_id % 13 as int) as y, event_id as n, case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity from events),
 p as (select * from e qualify row_number() over (partition by sample, x, y order by n) = 1),
-g as (select sample, cast(a.i as int) as y, cast(b.i as int) as x, sum(exp(-(power(b.i - x, 2) + power(a.i - y, 2)) / 60) * (2 * polarity - 1)) as v, max(polarity) as m from p, range(13) a(i), range(17) b(i) group by all)
-select sample, y, x, round(case when m = 0 then 2 * v + 1 else v end, 5) + 0e0 as prompt from g""")
+g as (select sample, cast(a.i as int) as y, cast(b.i as int) as x, sum(exp(-(power(b.i - x, 2) + power(a.i - y, 2)) / 60) * (2 * polarity - 1)) as v, max(polarity) as m from p, range(13) a(i), range(17) b(i) group by all),
+s as (select distinct o_orderkey % 220 as sample from orders where o_orderkey % 220 not in (select sample from p))
+select sample, y, x, round(case when m = 0 then 2 * v + 1 else v end, 5) + 0e0 as prompt from g
+union all select sample, cast(a.i as int), cast(b.i as int), case when sample % 2 = 0 then 0e0 else 1e0 end from s, range(13) a(i), range(17) b(i)""")
 def prm_point_map(spark, sf):
     from strataloom.operators import scores
 
     rows = fx.table(spark, sf, "events").selectExpr("user_id % 200 as sample", "cast(event_id % 17 as int) as x", "cast(event_id % 13 as int) as y", "event_id as n", "case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity")
-    found = op.point_map(scores.first_points(rows, ["sample"]), ["sample"], 13, 17, 30.0)
+    samples = fx.table(spark, sf, "orders").selectExpr("o_orderkey % 220 as sample").distinct().selectExpr("sample", "sample % 2 = 0 as prompted")
+    found = op.point_map(scores.first_points(rows, ["sample"]), ["sample"], 13, 17, 30.0, samples)
     return found.withColumn("prompt", F.round("prompt", 5) + 0.0)
 
 
@@ -138,6 +141,21 @@ def prm_one_click(spark, sf):
     return op.one_click(stencil.instance_edt(fx.voxels(spark, sf)), 0.2)
 
 
+@query("prm_one_click_apart", BAND + """
+, f as (select vol, z, label, y as fy, x as fx from voxels qualify row_number() over (partition by vol, z, label order by y, x) = 1),
+d as (select cand.*, (y - fy) * (y - fy) + (x - fx) * (x - fx) >= 9 as far from cand join f using (vol, z, label))
+select vol, z, label, y, x from d where far qualify row_number() over (partition by vol, z, label order by d2 desc, y, x) = 1""")
+def prm_one_click_apart(spark, sf):
+    rows = fx.voxels(spark, sf)
+    taken = rows.groupBy("vol", "z", "label").agg(F.min(F.struct("y", "x")).alias("p")).select("vol", "z", "label", "p.y", "p.x")
+    return op.one_click(stencil.instance_edt(rows), 0.2, taken=taken, apart=3.0)
+
+
+@query("prm_one_click_biased")
+def prm_one_click_biased(spark, sf):
+    return op.one_click(stencil.instance_edt(fx.voxels(spark, sf)), 0.2, SEED, 0.75)
+
+
 @query("prm_next_click")
 def prm_next_click(spark, sf):
     return op.next_clicks(fx.voxels(spark, sf), SEED)

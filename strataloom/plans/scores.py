@@ -92,53 +92,69 @@ def agg_weighted_bce(spark, sf):
     return rows.groupBy("label").agg(F.round(op.weighted_mean(op.bce(F.col("x"), F.col("t")), F.col("w")), 6).alias("bce"))
 
 
-@query("agg_boundary_loss", DUCK + """
+#: The dense grid with made probabilities, 0 where there is none, and the boundary terms of both forms.
+BOUNDARY = """
 , q as (select d.vol, d.z, d.y, d.x, d.label, coalesce(p, 0) as p from dense d left join pred using (vol, z, y, x)),
-b as (select vol, z, coalesce(abs(lead(p) over wy - p), 0) - coalesce(cast(lead(label) over wy <> label as int), 0) as dy,
-  coalesce(abs(lead(p) over wx - p), 0) - coalesce(cast(lead(label) over wx <> label as int), 0) as dx
-  from q window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x))
-select vol, round(avg(case when abs(dy) < 1 then 0.5 * dy * dy else abs(dy) - 0.5 end + case when abs(dx) < 1 then 0.5 * dx * dx else abs(dx) - 0.5 end) / 2, 6) as loss from b group by vol""")
+step as (select *, coalesce(abs(lead(p) over wy - p), 0) py, coalesce(abs(lead(p) over wx - p), 0) px, coalesce(abs(lead(p) over wz - p), 0) pz,
+  coalesce(cast(lead(label) over wy <> label as int), 0) ay, coalesce(cast(lead(label) over wx <> label as int), 0) ax, coalesce(cast(lead(label) over wz <> label as int), 0) az
+  from q window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x), wz as (partition by vol, y, x order by z)),
+b as (select *, py - ay as dy, px - ax as dx, py - case when label = 0 then 1 else ay end as vy, px - case when label = 0 then 1 else ax end as vx, pz - case when label = 0 then 1 else az end as vz from step)
+"""
+
+
+def smooth(*names: str) -> str:
+    return "(" + " + ".join(f"case when abs({n}) < 1 then 0.5 * {n} * {n} else abs({n}) - 0.5 end" for n in names) + f") / {len(names)}"
+
+
+def guessed(spark, sf):
+    found = fx.dense(spark, sf).join(fx.predictions(spark, sf).select("vol", "z", "y", "x", "p"), ["vol", "z", "y", "x"], "left")
+    return found.withColumn("p", F.coalesce("p", F.lit(0.0)))
+
+
+@query("agg_boundary_loss", DUCK + BOUNDARY + f"select vol, round(avg({smooth('dy', 'dx')}), 6) as loss, round(avg({smooth('vy', 'vx', 'vz')}), 6) as loss_3d from b group by vol")
 def agg_boundary_loss(spark, sf):
-    rows = fx.dense(spark, sf).join(fx.predictions(spark, sf).select("vol", "z", "y", "x", "p"), ["vol", "z", "y", "x"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    rows = stencil.affinity_2d(rows)
-    for name, axis in (("b0", "y"), ("b1", "x")):
-        rows = rows.withColumn(name, F.coalesce(F.abs(F.lead("p").over(stencil._line(axis)) - F.col("p")), F.lit(0.0)))
-    loss = op.smooth_l1(F.col("b0") - F.col("aff0")) + op.smooth_l1(F.col("b1") - F.col("aff1"))
-    return rows.groupBy("vol").agg(F.round(F.avg(loss) / 2, 6).alias("loss"))
+    rows = op.boundary_loss(guessed(spark, sf), "yx").withColumnRenamed("boundary", "flat")
+    rows = op.boundary_loss(rows.drop("aff0", "aff1"), "yxz")
+    return rows.groupBy("vol").agg(F.round(F.avg("flat"), 6).alias("loss"), F.round(F.avg("boundary"), 6).alias("loss_3d"))
 
 
 @query("agg_mse", """
-with e as (select label, unnest(embedding)::double as x from embeddings)
-select label, round(avg((1 / (1 + exp(-x)) - case when x > 0 then 1 else 0 end) * (1 / (1 + exp(-x)) - case when x > 0 then 1 else 0 end)), 6) as mse from e group by label""")
+with e as (select label, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as k, len(embedding) as n from embeddings),
+s as (select label, k > n - 2 as affinity, avg((1 / (1 + exp(-x)) - case when x > 0 then 1 else 0 end) * (1 / (1 + exp(-x)) - case when x > 0 then 1 else 0 end)) as mse from e group by all)
+select label, round(sum(mse), 6) as mse from s group by label""")
 def agg_mse(spark, sf):
+    # The last two channels stand for the affinity, the others for the descriptor.
     pred, target = F.expr("transform(embedding, v -> 1 / (1 + exp(-cast(v as double))))"), F.expr("transform(embedding, v -> if(v > 0, 1D, 0D))")
-    error = F.explode(F.zip_with(pred, target, lambda a, b: (a - b) * (a - b)))
-    return fx.table(spark, sf, "embeddings").select("label", error.alias("e")).groupBy("label").agg(F.round(F.avg("e"), 6).alias("mse"))
+    head, tail = (lambda c: F.slice(c, 1, F.size(c) - 2)), (lambda c: F.slice(c, -2, 2))
+    return fx.table(spark, sf, "embeddings").groupBy("label").agg(F.round(op.summed_mse([(head(pred), head(target)), (tail(pred), tail(target))]), 6).alias("mse"))
 
 
-@query("agg_total_loss", DUCK + DICE + """
-, b as (select vol, avg(-ln(greatest(case when label % 3 = 0 then p else 1 - p end, 0.000001))) as bce, avg(p * (1 - p)) as boundary from pred group by vol)
-select vol, round(1.0 * bce + 1.0 * dice + 0.3 * boundary, 6) as loss from b join (select vol, avg(dice) as dice from s group by vol) using (vol)""")
+@query("agg_total_loss", DUCK + BOUNDARY + f"""
+, l as (select vol, z, 8 * p - 4 as logit, 1 / (1 + exp(4 - 8 * p)) as prob, case when label > 0 and label % 3 = 0 then 1e0 else 0e0 end as t, {smooth('dy', 'dx')} as boundary from b)
+select vol, z, round(avg(greatest(logit, 0) - logit * t + ln(1 + exp(-abs(logit)))) + 1 - (2 * sum(prob * t) + 1) / (sum(prob) + sum(t) + 1) + 0.3 * avg(boundary), 6) as loss from l group by vol, z""")
 def agg_total_loss(spark, sf):
-    rows = fx.predictions(spark, sf)
-    dice = rows.groupBy("vol", "z").agg(op.soft_dice(F.col("p"), F.expr(TRUTH).cast("double")).alias("d")).groupBy("vol").agg(F.avg("d").alias("dice"))
-    right = F.when(F.col("label") % 3 == 0, F.col("p")).otherwise(1 - F.col("p"))
-    parts = rows.groupBy("vol").agg(F.avg(-F.log(F.greatest(right, F.lit(0.000001)))).alias("bce"), F.avg(F.col("p") * (1 - F.col("p"))).alias("boundary"))
-    return parts.join(dice, "vol").select("vol", F.round(1.0 * F.col("bce") + 1.0 * F.col("dice") + 0.3 * F.col("boundary"), 6).alias("loss"))
-
-
-STEPS = "user_id % 50 as run, cast(event_id % 5 as int) as step, value as loss, case when (user_id % 50 + event_id % 5) % 6 = 0 then 0 else 1 end as valid"
+    truth = F.expr("if(label > 0 and label % 3 = 0, 1D, 0D)")
+    rows = op.boundary_loss(guessed(spark, sf), "yx")
+    return rows.groupBy("vol", "z").agg(F.round(op.total_loss(8 * F.col("p") - 4, truth, F.col("boundary")), 6).alias("loss"))
 
 
-@query("agg_multistep_loss", f"""
-with r as (select {STEPS} from events),
-s as (select run, step, sum(valid) as n, sum(loss * valid) / greatest(sum(valid), 1) as l from r group by all),
+@query("agg_multistep_loss", """
+with r as (select user_id % 50 as run, user_id as sample, cast(event_id % 5 as int) as step, avg(value) as bce, avg(value) / 2 as dice, avg(value) / 4 as boundary,
+    case when (user_id % 50 + event_id % 5) % 6 = 0 or (user_id // 50 + event_id % 5) % 4 = 3 then 0 else 1 end as valid from events group by all),
+s as (select run, step, sum(valid) as n, sum(bce * valid) / greatest(sum(valid), 1) as bce, sum(dice * valid) / greatest(sum(valid), 1) as dice, sum(boundary * valid) / greatest(sum(valid), 1) as boundary from r group by all),
 g as (select run, min(step) as gap from s where n = 0 group by run),
-k as (select s.* from s left join g using (run) where gap is null or step < gap)
-select run, round(sum(power(0.8, step) * l) / sum(power(0.8, step)), 6) as loss, max(step) as last_step from k group by run""")
+k as (select s.* from s left join g using (run) where gap is null or step < gap),
+t as (select run, sum(power(0.8, step) * (bce + case when step = 0 then 1.5 else 1 end * dice + 0.3 * boundary)) / sum(power(0.8, step)) as loss, max(step) as last_step from k group by run),
+o as (select r.* from r left join g using (run) where gap is null or step < gap qualify row_number() over (partition by run, sample order by valid desc, case when valid = 1 then -step else step end) = 1),
+f as (select run, avg(bce) + avg(dice) + 0.3 * avg(boundary) as final_loss from o group by run)
+select run, round(loss, 6) as loss, last_step, round(final_loss, 6) as final_loss from t join f using (run)""")
 def agg_multistep_loss(spark, sf):
-    rows = fx.table(spark, sf, "events").selectExpr(*STEPS.split(", "))
-    return op.multistep_loss(rows, 0.8).withColumn("loss", F.round("loss", 6))
+    valid = "case when (user_id % 50 + event_id % 5) % 6 = 0 or (user_id div 50 + event_id % 5) % 4 = 3 then 0 else 1 end as valid"
+    rows = fx.table(spark, sf, "events").selectExpr("user_id % 50 as run", "user_id as sample", "cast(event_id % 5 as int) as step", "value", valid)
+    rows = rows.groupBy("run", "sample", "step", "valid").agg(F.avg("value").alias("bce")).selectExpr("*", "bce / 2 as dice", "bce / 4 as boundary")
+    # Runs whose first step has no valid sample have no row.
+    found = op.multistep_loss(rows, 0.8, 1.5, strict=False)
+    return found.withColumns({c: F.round(c, 6) for c in ("loss", "final_loss")})
 
 
 LOG = "user_id % 10 as run, cast(floor(epoch(ts) / 86400) as bigint) as epoch, event_type as split, value as loss, 1 + event_id % 8 as n"

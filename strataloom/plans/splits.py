@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import splits as op
+from strataloom.operators.clean import uniform
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
@@ -76,9 +77,8 @@ def spl_patch_slab_join(spark, sf):
 @query("spl_union_pool", DUCK + """
 select vol % 25 as source, vol, orientation, n, cast(row_number() over (order by vol % 25, vol, orientation, n) - 1 as bigint) as position from slices where vol % 25 % 3 <> 0""")
 def spl_union_pool(spark, sf):
-    rows = fx.slices(spark, sf).withColumn("source", F.expr("vol % 25")).filter("source % 3 <> 0")
-    even, odd = rows.filter("source % 2 = 0"), rows.filter("source % 2 = 1")
-    return op.numbered(even.unionByName(odd), ["source", "vol"], ["orientation", "n"], "position").select("source", "vol", "orientation", "n", "position")
+    rows = fx.slices(spark, sf).withColumn("source", F.expr("vol % 25"))
+    return op.union_pool(rows, [s for s in range(25) if s % 3], ["vol"], ["orientation", "n"], strict=False).select("source", "vol", "orientation", "n", "position")
 
 
 @query("spl_subset_targets", DUCK + """
@@ -116,7 +116,10 @@ def smp_round_robin_shard(spark, sf):
 def smp_retry_fallback(spark, sf):
     keys = ["vol", "orientation", "n"]
     rows = every(spark, sf)
-    return op.retry_fallback(rows.select(*keys), rows.filter("n_fg >= 20").select(*keys), keys, 3)
+    # The fuller a slice, the likelier an attempt is valid; from 64 places on it always is.
+    attempts = rows.filter("n_fg > 0").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    valid = attempts.filter(uniform(7, *keys, "attempt") < F.col("n_fg") / 64)
+    return op.retry_fallback(rows.select(*keys), valid.select(*keys, "attempt"), keys, 3)
 
 
 @query("bat_collate", """

@@ -97,7 +97,9 @@ def test_point_maps_take_all_events(spark):
         total, most = maps.get(sample, ([0.0] * 221, 0))
         maps[sample] = [s + g for s, g in zip(total, grid, strict=True)], max(most, polarity)
     found = {(r.sample, r.y, r.x): r.prompt for r in run(spark, "prm_point_map").collect()}
-    assert len(found) == 221 * len(maps)
+    bare = {r.k for r in fx.table(spark, DATA, "orders").selectExpr("o_orderkey % 220 as k").distinct().collect()} - set(maps)
+    assert bare and len(found) == 221 * (len(maps) + len(bare))
+    assert all(v == s % 2 for (s, *_), v in found.items() if s in bare)
     for sample, (total, most) in maps.items():
         for i, v in enumerate(total):
             assert abs(found[sample, i // 17, i % 17] - (v if most else 2 * v + 1)) < 2e-5
