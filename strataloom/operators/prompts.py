@@ -132,41 +132,81 @@ def target_points(rows: DataFrame, seed: int) -> DataFrame:
     return by_slice(rows, seed, run, "label int, cap int, point_id int, x int, y int")
 
 
-def random_mix(rows: DataFrame, seed: int, whole_slice: bool = True) -> DataFrame:
-    """(vol, z, label, polarity, x, y, included): half of the slices without a prompt, else points of included and excluded instances.
+def mixed_instances(instances: DataFrame, keys: list[str], seed: int, whole: bool) -> DataFrame:
+    """``instances`` (keys, label, ..) with ``whole``, ``style`` (+, - or +-), ``included`` and ``n_included`` of their group.
 
-    A slice without a prompt gives one row with nulls. Styles: positive, negative or both.
+    Half of the groups take all instances if ``whole``; the others take each with
+    the group's share (0.1 to 0.9): the first of ten rounds that takes any, else one at random.
     """
-
-    def run(labels, origin, rng_of):
-        rng, ids = rng_of("mix"), _targets(labels)
-        if whole_slice and rng.random() < 0.5:
-            return [{"label": None, "polarity": None, "x": None, "y": None, "included": None}]
-        for _ in range(10):
-            chosen = [i for i in ids if rng.random() < (share if _ else (share := rng.integers(1, 10) / 10))]
-            if chosen:
-                break
-        chosen = chosen or [int(rng.choice(ids))]
-        style, out = ("+", "-", "+-")[rng.integers(3)], []
-        for i in ids:
-            positive = i in chosen
-            if ("+" if positive else "-") in style:
-                y, x = episodes.any_place(labels == i, rng)
-                out.append({"label": i, "polarity": int(positive), "x": x + origin[1], "y": y + origin[0], "included": positive})
-        return out or [{"label": 0, "polarity": 0, "x": 0, "y": 0, "included": False}]
-
-    return by_slice(rows, seed, run, "label int, polarity int, x int, y int, included boolean")
+    share = (F.floor(uniform(seed, *keys) * 9) + 1) / 10
+    rounds = sum((F.when(uniform(seed + 10 + r, *keys, "label") < share, 1 << r).otherwise(0) for r in range(10)), F.lit(0))
+    rows = instances.withColumn("_rounds", rounds)
+    group = rows.groupBy(*keys).agg(F.bit_or("_rounds").alias("_any"), F.min(F.struct(F.xxhash64(F.lit(seed), *keys, "label").alias("lot"), "label")).alias("_one"))
+    group = group.withColumn("whole", F.lit(whole) & (uniform(seed + 1, *keys) < 0.5))
+    group = group.withColumn("style", F.element_at(F.array(*map(F.lit, ("+", "-", "+-"))), (F.floor(uniform(seed + 2, *keys) * 3) + 1).cast("int")))
+    # The lowest bit of ``_any`` is the first round that takes an instance.
+    first = F.col("_any").bitwiseAND(-F.col("_any"))
+    taken = F.when(F.col("_any") > 0, F.col("_rounds").bitwiseAND(first) > 0).otherwise(F.col("label") == F.col("_one.label"))
+    found = rows.join(group, keys).withColumn("included", F.col("whole") | taken).drop("_rounds", "_any", "_one")
+    sizes = found.groupBy(*keys).agg(F.count_if("included").alias("n_included"))
+    return found.join(sizes, keys)
+
+
+def _one_place(seed: int, *keys: str) -> Column:
+    """Aggregate: a random place (y, x) of each group."""
+    return F.min(F.struct(F.xxhash64(F.lit(seed), *keys, "y", "x").alias("lot"), "y", "x"))
+
+
+def random_mix(rows: DataFrame, seed: int, slices: DataFrame | None = None, sam: bool = False) -> DataFrame:
+    """(vol, z, label, whole, included, polarity, x, y, x0, y0, x1, y1): the prompt of every slice, a row for each instance.
+
+    A ``whole`` slice has no points and boxes, its mask is all foreground; no slice
+    is whole if ``sam``. Else included instances have a box and, in a style with +
+    or as the only one, a positive point; excluded ones a negative point in a style
+    with -. ``slices`` (vol, z) without foreground have a row of nulls, or of label 0 and zeros if ``sam``.
+    """
+    ends = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    found = mixed_instances(rows.groupBy(*INSTANCE).agg(_one_place(seed + 3, *INSTANCE).alias("p"), *ends), ["vol", "z"], seed, not sam)
+    positive = F.col("included") & (F.col("style").contains("+") | (F.col("n_included") == 1))
+    negative = ~F.col("included") & F.col("style").contains("-")
+    pointed, boxed = ~F.col("whole") & (positive | negative), ~F.col("whole") & F.col("included")
+    columns = [F.when(pointed, F.col("included").cast("int")).alias("polarity"), *(F.when(pointed, F.col(f"p.{k}")).alias(k) for k in "xy"), *(F.when(boxed, F.col(k)).alias(k) for k in ("x0", "y0", "x1", "y1"))]
+    found = found.select(*INSTANCE, "whole", "included", *columns)
+    if slices is None:
+        return found
+    zero = F.lit(0 if sam else None).cast("int")
+    bare = slices.select("vol", "z").join(rows, ["vol", "z"], "left_anti")
+    return found.unionByName(bare.select("vol", "z", zero.alias("label"), F.lit(False).alias("whole"), F.lit(False).alias("included"), *(zero.alias(k) for k in ("polarity", "x", "y", "x0", "y0", "x1", "y1"))))
 
 
 def mask_3d(slab: DataFrame, seed: int) -> DataFrame:
-    """(vol, z0, label): instances of the slab's first slice that make its mask; half of the slabs take all."""
-    first = slab.filter("z = z0").select("vol", "z0", "label").distinct()
-    u = lambda s, *k: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), *k), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = (F.floor(u("share", "vol", "z0") * 9) + 1) / 10
-    rows = first.withColumn("_u", u("one", "vol", "z0", "label")).withColumn("_all", u("all", "vol", "z0") < 0.5)
-    least = rows.groupBy("vol", "z0").agg(F.min("_u").alias("_least"))
-    # At least one instance: that of the least number.
-    return rows.join(least, ["vol", "z0"]).filter(F.col("_all") | (F.col("_u") < share) | (F.col("_u") == F.col("_least"))).select("vol", "z0", "label")
+    """(vol, z0, label, whole, included, polarity, x, y): the prompt of every slab, a row for each instance of its first slice.
+
+    A ``whole`` slab has no points; else included instances have a positive point
+    of the first slice in a style with +, excluded ones a negative one in a style with -.
+    """
+    keys = ["vol", "z0"]
+    first = slab.filter("z = z0").groupBy(*keys, "label").agg(_one_place(seed + 3, *keys, "label").alias("p"))
+    found = mixed_instances(first, keys, seed, True)
+    pointed = ~F.col("whole") & F.when(F.col("included"), F.col("style").contains("+")).otherwise(F.col("style").contains("-"))
+    return found.select(*keys, "label", "whole", "included", F.when(pointed, F.col("included").cast("int")).alias("polarity"), *(F.when(pointed, F.col(f"p.{k}")).alias(k) for k in "xy"))
+
+
+def prompt_mask(rows: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
+    """Places of the instances that a prompt includes."""
+    return rows.join(prompts.filter("included").select(*keys, "label"), [*keys, "label"], "left_semi")
+
+
+def one_instance(boxes: DataFrame, seed: int) -> DataFrame:
+    """(instance): a random instance of every slice."""
+    lot = F.xxhash64(F.lit(seed), *INSTANCE)
+    return boxes.groupBy("vol", "z").agg(F.min(F.struct(lot.alias("lot"), "label")).alias("b")).select("vol", "z", "b.label")
+
+
+def slice_crops(slices: DataFrame, crops: DataFrame, size: int, shape: tuple[int, int]) -> DataFrame:
+    """(vol, z, label, y0, x0): the window of every slice; in the middle and without a label where there is no crop."""
+    middle = [F.lit(max(n - size, 0) // 2) for n in shape]
+    return slices.select("vol", "z").join(crops, ["vol", "z"], "left").select("vol", "z", "label", F.coalesce("y0", middle[0]).alias("y0"), F.coalesce("x0", middle[1]).alias("x0"))
 
 
 def farthest(edt: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -290,15 +330,18 @@ def episode_plus_rows(rows: DataFrame, seed: int) -> DataFrame:
     return by_slice(rows, seed, run, "label int, step int, mode string, x int, y int, polarity int, fp int, fn int")
 
 
-def instance_crops(boxes: DataFrame, pairs: DataFrame, size: int, shape: tuple[int, int], seed: int, draws: int = 48, halo: int = 28, jitter: int = 10) -> DataFrame:
-    """(instance, y0, x0, overlap): the window of ``size`` around each instance that covers most of it and its neighbours.
+def instance_crops(boxes: DataFrame, pairs: DataFrame, size: int, shape: tuple[int, int], seed: int, draws: int = 48, halo: int = 28, jitter: int = 10, chosen: DataFrame | None = None) -> DataFrame:
+    """(instance, y0, x0, overlap): the window of ``size`` around each instance (of ``chosen``) that covers most of it and its neighbours.
 
     Of ``draws`` jittered windows that cover the instance's box the one with the
     largest overlap with the joint box, grown by the halo.
     """
+    targets = boxes
+    if chosen is not None:
+        targets, pairs = (rows.join(chosen, INSTANCE, "left_semi") for rows in (boxes, pairs))
     near = pairs.join(boxes.select("vol", "z", F.col("label").alias("other"), *(F.col(c).alias(f"n_{c}") for c in ("lo_y", "lo_x", "hi_y", "hi_x"))), ["vol", "z", "other"])
     joint = near.groupBy(*INSTANCE).agg(*(F.min(f"n_lo_{k}").alias(f"m_lo_{k}") for k in "yx"), *(F.max(f"n_hi_{k}").alias(f"m_hi_{k}") for k in "yx"))
-    rows = boxes.join(joint, INSTANCE, "left")
+    rows = targets.join(joint, INSTANCE, "left")
     u = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), *INSTANCE, "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     overlap = F.lit(1)

@@ -77,15 +77,33 @@ def prm_no_prompt(spark, sf):
     return op.no_prompt(fx.dense(spark, sf))
 
 
+def slabs(spark, sf):
+    starts = F.explode(F.sequence(F.greatest(F.col("z") - 3, F.lit(0)), F.least(F.col("z"), F.lit(4))))
+    return fx.voxels(spark, sf).withColumn("z0", starts)
+
+
 @query("prm_random_mix")
 def prm_random_mix(spark, sf):
-    return op.random_mix(fx.voxels(spark, sf), SEED)
+    rows, slices = fx.voxels(spark, sf), fx.grid(spark, sf).select("vol", "z").distinct()
+    forms = [op.random_mix(rows, SEED, slices, sam).withColumn("sam", F.lit(sam)) for sam in (False, True)]
+    return forms[0].unionByName(forms[1])
+
+
+@query("prm_random_mix_mask")
+def prm_random_mix_mask(spark, sf):
+    rows = fx.voxels(spark, sf)
+    return op.prompt_mask(rows, op.random_mix(rows, SEED), ["vol", "z"])
 
 
 @query("prm_mask_3d")
 def prm_mask_3d(spark, sf):
-    starts = F.explode(F.sequence(F.greatest(F.col("z") - 3, F.lit(0)), F.least(F.col("z"), F.lit(4))))
-    return op.mask_3d(fx.voxels(spark, sf).withColumn("z0", starts), SEED)
+    return op.mask_3d(slabs(spark, sf), SEED)
+
+
+@query("prm_mask_3d_voxels")
+def prm_mask_3d_voxels(spark, sf):
+    rows = slabs(spark, sf)
+    return op.prompt_mask(rows, op.mask_3d(rows, SEED), ["vol", "z0"])
 
 
 @query("prm_point_map", """
@@ -166,8 +184,20 @@ def prm_episode_plus(spark, sf):
     return op.episode_plus_rows(fx.voxels(spark, sf), SEED)
 
 
+def slice_boxes(rows):
+    return rows.groupBy("vol", "z", "label").agg(*(F.min(k).alias(f"lo_{k}") for k in "yx"), *((F.max(k) + 1).alias(f"hi_{k}") for k in "yx"))
+
+
 @query("prm_instance_crop")
 def prm_instance_crop(spark, sf):
     rows = fx.voxels(spark, sf)
-    boxes = rows.groupBy("vol", "z", "label").agg(*(F.min(k).alias(f"lo_{k}") for k in "yx"), *((F.max(k) + 1).alias(f"hi_{k}") for k in "yx"))
+    boxes = slice_boxes(rows)
     return op.instance_crops(boxes, stencil.touching_pairs(rows), 20, (32, 32), SEED, halo=2, jitter=3)
+
+
+@query("prm_instance_crop_one")
+def prm_instance_crop_one(spark, sf):
+    rows = fx.voxels(spark, sf)
+    boxes = slice_boxes(rows)
+    crops = op.instance_crops(boxes, stencil.touching_pairs(rows), 20, (32, 32), SEED, halo=2, jitter=3, chosen=op.one_instance(boxes, SEED))
+    return op.slice_crops(fx.grid(spark, sf).select("vol", "z").distinct(), crops, 20, (32, 32))

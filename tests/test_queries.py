@@ -133,3 +133,97 @@ def test_empty_tables(spark):
     assert stencil.slice_components(empty).count() == 0
     assert stencil.touching_pairs(empty).count() == 0
     assert stencil.instance_edt(empty).count() == 0
+
+
+def by_slice(spark):
+    found = {}
+    for r in fx.voxels(spark, DATA).collect():
+        found.setdefault((r.vol, r.z), {}).setdefault(r.label, set()).add((r.y, r.x))
+    return found
+
+
+def test_random_mixes_follow_their_rules(spark):
+    labels, mixes = by_slice(spark), {}
+    for r in run(spark, "prm_random_mix").collect():
+        mixes.setdefault(r.sam, {}).setdefault((r.vol, r.z), []).append(r)
+    every = {tuple(r) for r in fx.grid(spark, DATA).select("vol", "z").distinct().collect()}
+    for sam, slices in mixes.items():
+        assert set(slices) == every
+        wholes, styles = 0, set()
+        for key, rows in slices.items():
+            if key not in labels:
+                assert [tuple(r)[5:12] for r in rows] == [(0,) * 7 if sam else (None,) * 7]
+                continue
+            assert sorted(r.label for r in rows) == sorted(labels[key])
+            assert len({r.whole for r in rows}) == 1
+            whole, inside = rows[0].whole, [r for r in rows if r.included]
+            wholes += whole
+            assert inside and not (sam and whole)
+            if whole:
+                assert len(inside) == len(rows) and all(r.polarity is None and r.x0 is None for r in rows)
+                continue
+            for r in rows:
+                places = labels[key][r.label]
+                assert r.polarity is None or ((r.y, r.x) in places and r.polarity == r.included)
+                box = (min(x for _, x in places), min(y for y, _ in places), max(x for _, x in places), max(y for y, _ in places))
+                assert (r.x0, r.y0, r.x1, r.y1) == (box if r.included else (None,) * 4)
+            # All or none of the included (excluded) instances have a point; a single included one always.
+            assert len({r.polarity is None for r in inside}) == 1 and len({r.polarity is None for r in rows if not r.included}) <= 1
+            assert len(inside) > 1 or inside[0].polarity == 1
+            styles.add((inside[0].polarity, next((r.polarity for r in rows if not r.included), None)))
+        assert {(1, 0), (1, None), (None, 0)} <= styles
+        assert wholes == 0 if sam else 0.25 * len(labels) < wholes < 0.75 * len(labels)
+
+
+def test_masks_hold_the_included_instances(spark):
+    for name, mask, keys in (("prm_random_mix", "prm_random_mix_mask", ["vol", "z"]), ("prm_mask_3d", "prm_mask_3d_voxels", ["vol", "z0"])):
+        prompts = run(spark, name)
+        prompts = prompts.filter("not sam") if "sam" in prompts.columns else prompts
+        inside = {tuple(r) for r in prompts.filter("included").select(*keys, "label").collect()}
+        rows = fx.voxels(spark, DATA)
+        if "z0" in keys:
+            rows = rows.withColumn("z0", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("z between z0 and z0 + 3")
+        want = Counter(tuple(r) for r in rows.select(*keys, *(c for c in PLACE if c not in keys), "label").collect() if (r[keys[0]], r[keys[1]], r.label) in inside)
+        found = run(spark, mask)
+        assert Counter(tuple(r) for r in found.select(*keys, *(c for c in PLACE if c not in keys), "label").collect()) == want
+
+
+def test_slab_points_lie_in_the_first_slice(spark):
+    labels = by_slice(spark)
+    rows = run(spark, "prm_mask_3d").collect()
+    assert {(r.vol, r.z0, r.label) for r in rows} == {(*k, label) for k, found in labels.items() if k[1] <= 4 for label in found}
+    assert all(r.polarity is None if r.whole else r.polarity is None or (r.polarity == r.included and (r.y, r.x) in labels[r.vol, r.z0][r.label]) for r in rows)
+    assert {r.whole for r in rows} == {True, False}
+
+
+def test_one_window_for_every_slice(spark):
+    labels = by_slice(spark)
+    rows = run(spark, "prm_instance_crop_one").collect()
+    assert len(rows) == len({(r.vol, r.z) for r in rows}) == fx.grid(spark, DATA).select("vol", "z").distinct().count()
+    every = {tuple(r) for r in run(spark, "prm_instance_crop").select("vol", "z", "label", "y0", "x0").collect()}
+    for r in rows:
+        if (r.vol, r.z) in labels:
+            assert tuple(r) in every
+            assert all(0 <= y - r.y0 < 20 and 0 <= x - r.x0 < 20 for y, x in labels[r.vol, r.z][r.label]) or max(max(c) - min(c) for c in zip(*labels[r.vol, r.z][r.label], strict=True)) >= 20
+        else:
+            assert (r.label, r.y0, r.x0) == (None, 6, 6)
+
+
+def test_random_crops_are_windows_of_the_slices(spark):
+    labels, found = by_slice(spark), {}
+    for r in run(spark, "prj_random_crop").collect():
+        found.setdefault((r.vol, r.z), set()).add((r.y, r.x, r.label))
+    starts = set()
+    for key, rows in found.items():
+        every = {(y, x, label) for label, places in labels[key].items() for y, x in places}
+        fits = [(a, b) for a in range(13) for b in range(13) if {(y - a, x - b, v) for y, x, v in every if 0 <= y - a < 20 and 0 <= x - b < 20} == rows]
+        assert fits
+        starts.add(fits[0])
+    assert len(starts) > len(found) / 3
+
+
+def test_plans_stay_in_their_ranges(spark):
+    rows = run(spark, "prj_aug_plan").collect()
+    assert all(r.turns in range(4) and 0.8 <= r.alpha <= 1.2 and -0.2 <= r.beta <= 0.2 and r.y0 >= 0 and r.x0 >= 0 for r in rows)
+    for share in (sum(r.flip_rows for r in rows), sum(r.flip_cols for r in rows), sum(r.turns > 0 for r in rows), sum(r.transpose for r in rows), sum(r.alpha != 1 for r in rows)):
+        assert abs(share - 0.3 * len(rows)) < 5 * (0.21 * len(rows)) ** 0.5
