@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -100,8 +101,11 @@ def _targets(labels: np.ndarray) -> list[int]:
     return [int(v) for v in np.unique(labels) if v]
 
 
-def export_points(rows: DataFrame, seed: int, threshold: float, stride: int) -> DataFrame:
-    """(vol, z, label_id, point_id, x, y): five points of each exported slice instance, the centre first."""
+def export_points(rows: DataFrame, seed: int, threshold: float, stride: int, shape: tuple[int, int], named: Callable[[int, int], tuple], least_area: int = 10, least_side: int = 5, most: float = 0.95) -> DataFrame:
+    """(vol, z, label_id, point_id, x, y): five points of each exported slice instance, the centre first.
+
+    ``named(vol, z)`` gives the parts of a slice's name that its seeds take.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         vol, z = int(part["vol"].iloc[0]), int(part["z"].iloc[0])
@@ -111,10 +115,10 @@ def export_points(rows: DataFrame, seed: int, threshold: float, stride: int) ->
             mask = found == k
             at = np.argwhere(mask)
             h, w = at.max(axis=0) - at.min(axis=0) + 1
-            if len(at) < 10 or min(h, w) < 5 or max(h, w) > 0.95 * 32:
+            if len(at) < least_area or min(h, w) < least_side or max(h, w) > most * max(shape):
                 continue
             number += 1
-            rng = np.random.default_rng(kernels.stable_seed(seed, vol % 25, f"{vol * 8 + z:06d}", number))
+            rng = np.random.default_rng(kernels.stable_seed(seed, *named(vol, z), number))
             points = episodes.export_points(mask, threshold, stride, rng)
             out += [(vol, z, number, i, int(x + ox), int(y + oy)) for i, (y, x) in enumerate(points)]
         return pd.DataFrame(out, columns=["vol", "z", "label_id", "point_id", "x", "y"])
@@ -236,17 +240,37 @@ def initial_prompts(rows: DataFrame, seed: int) -> DataFrame:
     return by_slice(rows, seed, run, "label int, x int, y int, polarity int")
 
 
-def simulated(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, area, fp, fn): a bad prediction of every instance."""
-
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            pred, mask = episodes.simulated(labels, t, rng_of(t)), labels == t
-            out.append({"label": t, "area": int(mask.sum()), "fp": int((pred & ~mask).sum()), "fn": int((mask & ~pred).sum())})
-        return out
+def simulated_places(rows: DataFrame, pairs: DataFrame, seed: int, rules: episodes.Rules = episodes.RULES) -> DataFrame:
+    """(vol, z, y, x, label, mine): the bad prediction of every instance; ``mine`` marks its own places.
 
-    return by_slice(rows, seed, run, "label int, area int, fp int, fn int")
+    A share of a random one of the touching ``pairs`` is merged in, or the mask is
+    eroded; instances that touch none are eroded.
+    """
+    lot = F.struct(F.xxhash64(F.lit(seed), *INSTANCE, "other").alias("lot"), "other")
+    near = pairs.groupBy(*INSTANCE).agg(F.min(lot).alias("n")).select(*INSTANCE, F.col("n.other").alias("other"))
+    plan = rows.select(*INSTANCE).distinct().join(near, INSTANCE, "left")
+    merges = F.col("other").isNotNull() & (uniform(seed + 1, *INSTANCE) < rules.merge_odds)
+    erodes = F.col("other").isNull() | (uniform(seed + 2, *INSTANCE) < 1 - rules.merge_odds)
+    times = F.when(erodes, F.floor(uniform(seed + 3, *INSTANCE) * rules.most_erosion) + 1).otherwise(0).cast("int")
+    plan = plan.select(*INSTANCE, F.when(merges, F.col("other")).alias("other"), times.alias("times"))
+    place = ["vol", "z", "y", "x"]
+    own = rows.select(*place, "label").join(plan.drop("other"), INSTANCE).withColumn("mine", F.lit(True))
+    other = rows.select(*place, F.col("label").alias("other")).join(plan.filter("other is not null"), ["vol", "z", "other"])
+    other = other.filter(uniform(seed + 4, *INSTANCE, "y", "x") < rules.merge_share).select(*own.columns[:-1], F.lit(False).alias("mine"))
+    whole = own.unionByName(other)
+    # A place survives k erosions if all 2 k (k + 1) places around it within L1 distance k are there.
+    ball = [(abs(dy) + abs(dx), dy, dx) for dy, dx in product(range(-rules.most_erosion, rules.most_erosion + 1), repeat=2) if 0 < abs(dy) + abs(dx) <= rules.most_erosion]
+    around = F.explode(F.filter(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for d, dy, dx in ball)), lambda b: b.d <= F.col("times")))
+    seen = whole.filter("times > 0").select("*", around.alias("b")).select("vol", "z", (F.col("y") + F.col("b.dy")).alias("y"), (F.col("x") + F.col("b.dx")).alias("x"), "label", F.lit(1).alias("n"))
+    counted = whole.unionByName(seen, True).groupBy(*place, "label").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), F.max("times").alias("times"))
+    return counted.filter("mine is not null and (times = 0 or n = 2 * times * (times + 1))").select(*place, "label", "mine")
+
+
+def simulated(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(instance, area, fp, fn): errors of the predictions ``places``."""
+    found = places.groupBy(*INSTANCE).agg(F.count_if(~F.col("mine")).alias("fp"), F.count_if("mine").alias("tp"))
+    area = rows.groupBy(*INSTANCE).agg(F.count("*").alias("area")).join(found, INSTANCE, "left")
+    return area.select(*INSTANCE, "area", F.coalesce("fp", F.lit(0)).alias("fp"), (F.col("area") - F.coalesce("tp", F.lit(0))).alias("fn"))
 
 
 def correction_prompts(rows: DataFrame, seed: int) -> DataFrame:

@@ -64,7 +64,7 @@ def prm_component_center_train(spark, sf):
 
 @query("prm_export_points")
 def prm_export_points(spark, sf):
-    return op.export_points(fx.merged(spark, sf), SEED, 0.2, 3)
+    return op.export_points(fx.merged(spark, sf), SEED, 0.2, 3, (32, 32), lambda vol, z: (vol % 25, f"{vol * 8 + z:06d}"))
 
 
 @query("prm_target_points")
@@ -141,7 +141,14 @@ def prm_initial(spark, sf):
 
 @query("prm_simulate_pred")
 def prm_simulate_pred(spark, sf):
-    return op.simulated(fx.voxels(spark, sf), SEED)
+    rows = fx.voxels(spark, sf)
+    return op.simulated(rows, op.simulated_places(rows, stencil.touching_pairs(rows), SEED))
+
+
+@query("prm_simulate_pred_mask")
+def prm_simulate_pred_mask(spark, sf):
+    rows = fx.voxels(spark, sf)
+    return op.simulated_places(rows, stencil.touching_pairs(rows), SEED)
 
 
 @query("prm_correction")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
 import glob
 import math
 import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom import registry
-from strataloom.operators import descriptors, splits, stencil
+from strataloom.functions import episodes, kernels
+from strataloom.operators import descriptors, prompts, splits, stencil
 from strataloom.sources import fixture as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -227,3 +230,57 @@ def test_plans_stay_in_their_ranges(spark):
     assert all(r.turns in range(4) and 0.8 <= r.alpha <= 1.2 and -0.2 <= r.beta <= 0.2 and r.y0 >= 0 and r.x0 >= 0 for r in rows)
     for share in (sum(r.flip_rows for r in rows), sum(r.flip_cols for r in rows), sum(r.turns > 0 for r in rows), sum(r.transpose for r in rows), sum(r.alpha != 1 for r in rows)):
         assert abs(share - 0.3 * len(rows)) < 5 * (0.21 * len(rows)) ** 0.5
+
+
+@pytest.mark.parametrize("odds", [0.0, 0.55, 1.0])
+def test_bad_predictions_follow_their_rules(spark, odds):
+    labels, near = by_slice(spark), {}
+    rows = fx.voxels(spark, DATA)
+    pairs = stencil.touching_pairs(rows).cache()
+    for r in pairs.collect():
+        near.setdefault((r.vol, r.z, r.label), set()).add(r.other)
+    places = prompts.simulated_places(rows, pairs, 5, dataclasses.replace(episodes.RULES, merge_odds=odds)).cache()
+    pred = {}
+    for r in places.collect():
+        pred.setdefault((r.vol, r.z, r.label), {})[r.y, r.x] = r.mine
+    shares, kinds = [], Counter()
+    for (vol, z), found in labels.items():
+        for label, own in found.items():
+            mask, got = np.zeros((32, 32), bool), pred.get((vol, z, label), {})
+            mask[tuple(np.array(sorted(own)).T)] = True
+            assert all(mine == (at in own) for at, mine in got.items())
+            others = {next(k for k, v in found.items() if at in v) for at, mine in got.items() if not mine}
+            assert len(others) <= 1 and others <= near.get((vol, z, label), set())
+            eroded = [{tuple(map(int, at)) for at in np.argwhere(kernels.erode(mask, k, False))} for k in range(5)]
+            if odds == 0 or (vol, z, label) not in near:
+                assert set(got) in eroded[1:]
+                kinds["eroded"] += 1
+            elif odds == 1:
+                assert {at for at, mine in got.items() if mine} == own
+                kinds["merged"] += len(others)
+                shares += [(sum(not m for m in got.values()), len(found[o])) for o in others]
+    if odds == 1:
+        merged, of = map(sum, zip(*shares, strict=True))
+        assert kinds["merged"] > 20 and abs(merged / of - 0.45) < 0.05
+    errors = {(r.vol, r.z, r.label): (r.area, r.fp, r.fn) for r in prompts.simulated(rows, places).collect()}
+    for (vol, z), found in labels.items():
+        for label, own in found.items():
+            got = pred.get((vol, z, label), {})
+            assert errors[vol, z, label] == (len(own), sum(not m for m in got.values()), len(own) - sum(got.values()))
+
+
+def test_merged_predictions_erode_as_a_whole(spark):
+    # Two 9 x 9 squares side by side; merging everything and eroding k times leaves the joint rectangle's inside.
+    rows = spark.createDataFrame([(v, 0, y, x, 1 + x // 9) for v in range(40) for y in range(9) for x in range(18)], "vol int, z int, y int, x int, label int")
+    rules = dataclasses.replace(episodes.RULES, merge_odds=0.5, merge_share=1.0)
+    found = {}
+    for r in prompts.simulated_places(rows, stencil.touching_pairs(rows), 5, rules).collect():
+        found.setdefault((r.vol, r.label), set()).add((r.y, r.x))
+    shapes = Counter()
+    for (_, label), got in found.items():
+        joint = any(x // 9 + 1 != label for _, x in got)
+        low, high = (0, 18) if joint else (9 * (label - 1), 9 * label)
+        fits = [k for k in range(5) if got == {(y, x) for y in range(k, 9 - k) for x in range(low + k, high - k)}]
+        assert len(fits) == 1
+        shapes[joint, fits[0] > 0] += 1
+    assert len(found) == 80 and len(shapes) == 4
