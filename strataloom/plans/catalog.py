@@ -85,14 +85,15 @@ def src_pick_largest_3d(spark, sf):
 
 
 @query("src_npy_blocks", DUCK + """
-select vol, case when vol % 5 <> 4 then 4 end as dims, case when vol % 5 <> 4 then cast(count(*) as bigint) end as elements,
-  case when vol % 5 <> 4 then cast(sum(label) as bigint) end as total, vol % 5 = 4 as failed from dense group by vol""")
+select vol, case when vol % 5 <> 4 then 4 else 0 end as dims, case when vol % 5 <> 4 then count(*) else 0 end as elements,
+  case when vol % 5 <> 4 then cast(sum(label) as bigint) else 0 end as total, vol % 5 = 4 as failed from dense group by vol""")
 def src_npy_blocks(spark, sf):
     files = fx.dense(spark, sf).groupBy("vol").applyInPandas(kernels.volume_to_npy, "vol int, content binary")
     # Every fifth file is cut off.
     files = files.withColumn("content", F.expr("if(vol % 5 = 4, substring(content, 1, 1000), content)"))
     blocks = files.mapInPandas(kernels.npy_blocks, "vol int, dims int, block int, data array<double>, failed boolean")
-    return blocks.groupBy("vol", "dims", "failed").agg(F.sum(F.expr("cardinality(data)")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
+    found = blocks.groupBy("vol", "dims", "failed").agg(F.sum(F.expr("cardinality(data)")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
+    return found.fillna(0)
 
 
 @query("sink_rechunk", DUCK + """
@@ -130,9 +131,9 @@ def sink_skip_existing(spark, sf):
 , n as (select vol % 25 as source, lpad(cast(vol * 8 + z as varchar), 6, '0') as layer, label as label_id, y, x from voxels),
 b as (select source, layer, label_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from n group by all),
 p as (select source, layer, label_id, x, y from n qualify row_number() over (partition by source, layer, label_id order by y, x) = 1)
-select 'box' as kind, source, layer, label_id, null::int as point_id, x0, y0, x1, y1 from b
-union all select 'point', source, layer, label_id, 0, x, y, null, null from p
-union all select 'slice', source, layer, cast(count(distinct label_id) as int), null, null, null, 32, 32 from n group by source, layer""")
+select 'box' as kind, source, layer, label_id, -1 as point_id, x0, y0, x1, y1 from b
+union all select 'point', source, layer, label_id, 0, x, y, -1, -1 from p
+union all select 'slice', source, layer, cast(count(distinct label_id) as int), -1, -1, -1, 32, 32 from n group by source, layer""")
 def sink_prompt_tables(spark, sf):
     named = fx.voxels(spark, sf).selectExpr("vol % 25 as source", "lpad(cast(vol * 8 + z as string), 6, '0') as layer", "label as label_id", "y", "x")
     each = named.groupBy("source", "layer", "label_id")
@@ -147,7 +148,8 @@ def sink_prompt_tables(spark, sf):
     boxes = back("box", "label_id int, x0 int, y0 int, x1 int, y1 int")
     points = back("point", "label_id int, point_id int, x0 int, y0 int")
     slices = back("slice", "x1 int, y1 int, label_id int")
-    return boxes.unionByName(points, True).unionByName(slices, True).select("kind", "source", "layer", "label_id", "point_id", "x0", "y0", "x1", "y1")
+    # Columns that a table lacks are -1.
+    return boxes.unionByName(points, True).unionByName(slices, True).fillna(-1).select("kind", "source", "layer", "label_id", "point_id", "x0", "y0", "x1", "y1")
 
 
 @query("sink_manifest", DUCK + """
