@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls, toxicity
+from strataloom.llm import binary_ids, exact_dedup, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    """The ten operators by query name."""
+    """The operators by query name."""
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "op9_tool_calls": tool_calls.OP9_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }
