@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import binary_ids, exact_dedup, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls, toxicity
+from strataloom.llm import binary_ids, collocations, exact_dedup, hidden_markov, merkle, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, tool_calls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_collocations": collocations.op11_collocations,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_hidden_markov": hidden_markov.op13_hidden_markov,
     }
 
 
@@ -35,5 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.OP6_SQL,
         "op8_quality_rules": quality.OP8_SQL,
         "op9_tool_calls": tool_calls.OP9_SQL,
+        "op11_collocations": collocations.OP11_SQL,
         "op12_merkle_manifest": merkle.OP12_SQL,
     }
