@@ -13,7 +13,7 @@ bits at any size: what it lets through wrongly is rare as a whole, so it is
 dropped by its own count. Counts are of words, not of hashes, so they are exact.
 
 Cases: a null text has no words, a null language is ``und``; a text of any
-length is taken in parts of some 4 MB, each with the words before it that a
+length is taken in parts of some 2 MB, each with the words before it that a
 phrase may begin with; a piece of any length may be cut so, a word is never
 cut; repeated rows count again; ties go by the phrase's bytes; columns besides
 text and lang are ignored; an empty table gives no rows.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import tables, textkit
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 GAP, BREAK = 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = GAP
@@ -42,12 +42,13 @@ LOWER = bytes(textkit.LOWER)
 RELATION = "lang string, words array<string>, steps binary, ids binary, context long"
 
 
-def streams(langs: list[str | None], texts: list[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[str, bytes, bool]]:
+def streams(langs: pa.Array, texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[str, bytes, bool]]:
     """(language, bytes, whether they go on) of runs of texts, a line feed between two; long texts come in several runs."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for lang, text in zip(langs, texts, strict=True):
-        lang, data = "und" if lang is None else lang, (text or "").encode().translate(LOWER)
+    for at in range(len(texts)):
+        lang, data = langs[at].as_py(), (texts[at].as_py() or "").encode().translate(LOWER)
+        lang = "und" if lang is None else lang
         if len(data) > limit:
             begin = 0
             while begin < len(data):
@@ -90,12 +91,13 @@ def relation(documents: DataFrame, longest: int, limit: int = BLOCK_BYTES) -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before = b""
-            for lang, data, more in streams(batch.column(0).to_pylist(), batch.column(1).to_pylist(), limit):
+            for lang, data, more in streams(batch.column(0), batch.column(1), limit):
                 words, ids, steps, starts = occurrences(before + data)
                 context = int(np.searchsorted(starts, len(before)))
                 if len(ids) > context:
                     yield row(lang, words, steps, ids, context)
                 before = (before + data)[starts[-longest + 1 :][0] :] if more and longest > 1 and len(starts) else b""
+            pa.default_memory_pool().release_unused()
 
     return tables.staged(documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(read, RELATION), "occurrences")
 
@@ -141,6 +143,8 @@ def counted(occurring: DataFrame, length: int) -> DataFrame:
                 phrases = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
                 found = pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), phrases.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
                 yield from (found.slice(at, 1 << 16) for at in range(0, len(n), 1 << 16))
+                del found, phrases, parts
+                pa.default_memory_pool().release_unused()
 
     return occurring.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
