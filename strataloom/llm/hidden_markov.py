@@ -72,11 +72,10 @@ def read(texts: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[int, np.nda
             inside = np.zeros(len(part) + 2, bool)
             inside[1:-1] = ~textkit.WHITE[part]
             # A text's first word is not joined to the last one of the text before.
-            change = inside[1:] != inside[:-1]
-            joint = bounds[1:-1][inside[bounds[1:-1]] & inside[bounds[1:-1] + 1]] if len(bounds) > 2 else bounds[:0]
-            joint = np.unique(joint)
-            starts = np.union1d(np.flatnonzero(change & inside[1:]), joint)
-            ends = np.union1d(np.flatnonzero(change & inside[:-1]), joint)
+            fresh = np.zeros(len(part) + 1, bool)
+            fresh[bounds] = True
+            starts = np.flatnonzero(inside[1:-1] & (fresh[:-1] | ~inside[:-2]))
+            ends = np.flatnonzero(inside[1:-1] & (fresh[1:] | ~inside[2:])) + 1
             spans = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
             words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(textkit.LOWER[part[inside[1:-1]]].tobytes())])
             coded = words.dictionary_encode()
@@ -176,40 +175,46 @@ def encoded(documents: DataFrame, known: Classes) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.own
         logs = np.concatenate([np.log10(shared.value.own_counts + 1.0), np.log10(shared.value.shared + 1.0)])
-        seen = shared.value.own_counts > 0
+        seen = np.append(shared.value.own_counts > 0, np.zeros(BUCKETS, bool))
+        end = len(own) - 1
         for batch in batches:
-            out: list[tuple] = []
-            held: list[tuple] = []
+            held: list[pa.RecordBatch] = []
             for first, sizes, ended, words, numbers in read(batch.column(3)):
                 own_class = pc.index_in(words, value_set=own).fill_null(-1).to_numpy().astype(np.int64)
-                kind = np.where(own_class < 0, len(own) + bucket(words), own_class)
-                is_own = own_class >= 0
-                at = 0
-                for k, size in enumerate(sizes.tolist()):
-                    mine, at = numbers[at : at + size], at + size
-                    o = is_own[mine]
-                    rare, times = np.unique(mine[~o], return_counts=True)
-                    value = logs[kind[mine]]
-                    held.append((kind[mine].astype(np.uint16), int(seen[kind[mine[o]]].sum()), float(value[o].sum()), float(value[~o].sum()), words.take(pa.array(rare)), times))
-                    if k < len(sizes) - 1 or ended:
-                        row = first + k
-                        end = np.uint16(len(own) - 1)
-                        ids = np.append(np.concatenate([x[0] for x in held]), end)
-                        out.append((row, len(ids), ids.astype("<u2").tobytes(), sum(x[1] for x in held) + int(seen[-1]), sum(x[2] for x in held) + logs[end], sum(x[3] for x in held), [w for x in held for w in x[4].to_pylist()], [n for x in held for n in x[5].tolist()]))
-                        held = []
-                if len(out) >= 512:
-                    yield made(batch, out)
-                    out = []
-            if out:
-                yield made(batch, out)
-
-    def made(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        rows = pa.array([x[0] for x in out])
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        columns = [pa.array([x[i + 1] for x in out], k) for i, k in enumerate(kinds)]
-        names = ["doc_id", "row", "held_out", "n_tokens", "ids", "known", "weight", "apart", "rare", "times"]
-        return pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *columns], names=names)
-
+                kind = np.where(own_class < 0, len(own) + bucket(words), own_class)[numbers]
+                n, texts = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                mine, value = kind < len(own), logs[kind]
+                total = lambda x: np.bincount(texts, weights=x, minlength=n)  # noqa: E731, B023
+                ids = np.full(len(kind) + n * ended, end, "<u2")
+                ids[np.arange(len(kind)) + texts * ended] = kind
+                lengths = sizes + ended
+                # A text's rare words, each once.
+                key, times = np.unique(texts[~mine] * len(words) + numbers[~mine], return_counts=True)
+                offsets = pa.array(np.searchsorted(key, np.arange(n + 1) * len(words)).astype(np.int32))
+                rare = words.take(pa.array(key % max(len(words), 1))).cast(pa.string())
+                columns = [
+                    pa.array(lengths.astype(np.int64)), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(2 * lengths)]).astype(np.int32)), pa.py_buffer(ids)]),
+                    pa.array((total(seen[kind]) + ended * bool(seen[end])).astype(np.int64)), pa.array(total(value * mine) + ended * logs[end]), pa.array(total(value * ~mine)),
+                    pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+                ]
+                rows = batch.select(range(3)).slice(first, n)
+                found = pa.RecordBatch.from_arrays([*rows.columns, *columns], names=names)
+                if held or not ended:
+                    held.append(found)
+                    found = merged(held) if ended else None
+                if ended:
+                    held = []
+                    yield found
+
+    def merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One text's row of the rows of its parts."""
+        column = lambda i: [p.column(i)[0].as_py() for p in parts]
+        chained = lambda i: [[x for part in column(i) for x in part]]
+        values = [sum(column(3)), b"".join(column(4)), *(sum(column(i)) for i in range(5, 8))]
+        columns = [pa.array([v], parts[0].schema.field(i + 3).type) for i, v in enumerate(values)] + [pa.array(chained(i), parts[0].schema.field(i).type) for i in (8, 9)]
+        return pa.RecordBatch.from_arrays([*parts[0].columns[:3], *columns], names=names)
+
+    names = ["doc_id", "row", "held_out", "n_tokens", "ids", "known", "weight", "apart", "rare", "times"]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (~learned_from(documents)).alias("held_out"), tables.text_or_empty().alias("text"))
     return tables.staged(rows.mapInArrow(encode, ENCODED), "classes")
 
@@ -283,10 +288,7 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     before = later - np.repeat(laid.active[:-1], laid.active[1:])
     moves = model.move * (forward[before].T @ seen[first:])
     forward *= back
-    used, numbers = np.unique(laid.ids, return_inverse=True)
-    emissions = np.zeros((len(model.emit), len(model.start)))
-    for k in range(len(model.start)):
-        emissions[used, k] = np.bincount(numbers, weights=forward[:, k], minlength=len(used))
+    emissions = np.column_stack([np.bincount(laid.ids, weights=forward[:, k], minlength=len(model.emit)) for k in range(len(model.start))])
     return forward[:first].sum(0), moves, emissions, float(np.log10(scales).sum())
 
 
