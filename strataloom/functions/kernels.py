@@ -174,14 +174,14 @@ def erode(mask: np.ndarray, times: int, outside: bool) -> np.ndarray:
 
 
 def spread(seed: np.ndarray, right: np.ndarray, down: np.ndarray, rounds: int) -> np.ndarray:
-    """Largest product of edge weights from a seed, after so many rounds over the four directions."""
+    """Largest product of edge weights from a seed, after so many rounds over the four directions of the last two axes."""
     reach = seed.astype(float)
     for _ in range(rounds):
         new = reach.copy()
-        new[:, 1:] = np.maximum(new[:, 1:], reach[:, :-1] * right[:, :-1])
-        new[:, :-1] = np.maximum(new[:, :-1], reach[:, 1:] * right[:, :-1])
-        new[1:] = np.maximum(new[1:], reach[:-1] * down[:-1])
-        new[:-1] = np.maximum(new[:-1], reach[1:] * down[:-1])
+        new[..., 1:] = np.maximum(new[..., 1:], reach[..., :-1] * right[..., :-1])
+        new[..., :-1] = np.maximum(new[..., :-1], reach[..., 1:] * right[..., :-1])
+        new[..., 1:, :] = np.maximum(new[..., 1:, :], reach[..., :-1, :] * down[..., :-1, :])
+        new[..., :-1, :] = np.maximum(new[..., :-1, :], reach[..., 1:, :] * down[..., :-1, :])
         reach = new
     return reach
 

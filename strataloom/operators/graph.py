@@ -7,6 +7,10 @@ never grows, and few rounds end in one star for each component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,33 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b): label is the component's least node."""
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task as stars: every node with its component's least node."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate([np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in held])
+    nodes, numbers = np.unique(ends, return_inverse=True)
+    parent, (a, b) = np.arange(len(nodes)), numbers.reshape(ends.shape).T
+    while True:
+        ra, rb = parent[a], parent[b]
+        live = ra != rb
+        if not live.any():
+            break
+        np.minimum.at(parent, np.maximum(ra, rb)[live], np.minimum(ra, rb)[live])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[parent])], names=["node", "label"])
+
+
+def components(edges: DataFrame, most: int = 0) -> DataFrame:
+    """(node, label) of every node of ``edges`` (a, b): label is the component's least node.
+
+    Up to ``most`` edges, by count, are contracted in one task; beyond that, and
+    always if ``most`` is 0, in rounds of stars.
+    """
+    if most and edges.count() <= most:
+        return staged(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_contracted, "node long, label long"), "stars")
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:

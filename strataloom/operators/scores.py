@@ -14,9 +14,11 @@ def instance_boxes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vol", "label").agg(*ends)
 
 
-def region_props(rows: DataFrame, keys: list[str], shape: tuple[int, int], least_area: int = 10, least_side: int = 5, most: float = 0.95) -> DataFrame:
-    """Area, box and centroid of every component; small and nearly frame-filling ones are dropped."""
-    found = rows.groupBy(*keys).agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") + 1).alias("y1"), (F.max("x") + 1).alias("x1"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
+def region_props(runs: DataFrame, keys: list[str], shape: tuple[int, int], least_area: int = 10, least_side: int = 5, most: float = 0.95) -> DataFrame:
+    """Area, box and centroid of every component of runs (keys, y, x0, x1); small and nearly frame-filling ones are dropped."""
+    n = F.expr("cast(x1 - x0 + 1 as long)")
+    found = runs.groupBy(*keys).agg(F.sum(n).alias("area"), F.min("y").alias("y0"), F.min("x0").alias("_x0"), (F.max("y") + 1).alias("y1"), (F.max("x1") + 1).alias("_x1"), F.sum(F.col("y") * n).alias("_cy"), F.sum(F.expr("(x0 + x1) * cast(x1 - x0 + 1 as long) div 2")).alias("_cx"))
+    found = found.select(*keys, "area", "y0", F.col("_x0").alias("x0"), "y1", F.col("_x1").alias("x1"), (F.col("_cy") / F.col("area")).alias("cy"), (F.col("_cx") / F.col("area")).alias("cx"))
     h, w, side = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), F.lit(most * max(shape))
     return found.filter((F.col("area") >= least_area) & (h >= least_side) & (w >= least_side) & (h <= side) & (w <= side))
 

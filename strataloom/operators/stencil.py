@@ -1,14 +1,12 @@
-"""Neighbourhood operators on voxel rows: windows, offset joins, tiles."""
+"""Neighbourhood operators on voxel rows: windows, offset joins, runs. Those on dense tiles are in ``blocks``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions import kernels
 from strataloom.operators import graph
+from strataloom.sources.stage import staged
 
 PLACE = ["vol", "z", "y", "x"]
 
@@ -87,54 +85,51 @@ def touching_pairs(rows: DataFrame, reach: int = 2) -> DataFrame:
     return near.join(edge.withColumnRenamed("label", "other"), PLACE).filter("label <> other").select("vol", "z", "label", "other").distinct()
 
 
-def slice_components(rows: DataFrame) -> DataFrame:
-    """(place, label, component): 4-connected components of every slice, in raster order. A slice is one task's group."""
+def slice_runs(rows: DataFrame) -> DataFrame:
+    """(vol, z, y, label, x0, x1): a slice's rows as runs of one label, ends included. Windows of one row's labels."""
+    line = Window.partitionBy("vol", "z", "y", "label").orderBy("x")
+    return rows.withColumn("_run", F.col("x") - F.row_number().over(line)).groupBy("vol", "z", "y", "label", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        frame, origin = kernels.to_array(part, ["y", "x"], "label")
-        found = kernels.components(frame, full=False)
-        at = (part[["y", "x"]].to_numpy() - origin).T
-        return part[["vol", "z", "y", "x", "label"]].assign(component=found[tuple(at)].astype(np.int32))
 
-    return rows.groupBy("vol", "z").applyInPandas(label, "vol int, z int, y int, x int, label int, component int")
+#: Runs of neighbouring rows are joined by cells of so many places: at most half as many runs of a label share one.
+CELL = 64
 
 
-def linear(shape: tuple[int, int, int]) -> Column:
-    """Raster number of a place over all volumes."""
-    d, h, w = shape
-    return ((F.col("vol").cast("long") * d + F.col("z")) * h + F.col("y")) * w + F.col("x")
+def run_components(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(vol, z, y, label, x0, x1, component), staged: 4-connected components of every slice in raster order, as runs.
 
+    Runs of one label that overlap in neighbouring rows are edges, found by an
+    equi-join on cells of the row; the edges are contracted, up to ``most`` of
+    them in one task. A place may have several labels.
+    """
+    # Numbers that are written once tell runs apart.
+    runs = staged(slice_runs(rows).withColumn("node", F.monotonically_increasing_id()), "runs")
+    cells = runs.withColumn("cell", F.explode(F.expr(f"sequence(x0 div {CELL}, x1 div {CELL})")))
+    below = cells.select("vol", "z", (F.col("y") - 1).alias("y"), "label", "cell", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("node").alias("b"))
+    meet = F.expr(f"x0 <= _x1 and _x0 <= x1 and greatest(x0, _x0) div {CELL} = cell")
+    edges = staged(cells.join(below, ["vol", "z", "y", "label", "cell"]).filter(meet).select(F.col("node").alias("a"), "b"), "run-edges")
+    joined = runs.join(graph.components(edges, most=most).withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = joined.groupBy("vol", "z", "root").agg(F.min(F.struct("y", "x0", "label")).alias("_first"))
+    named = firsts.select("vol", "z", "root", F.row_number().over(Window.partitionBy("vol", "z").orderBy("_first")).alias("component"))
+    return staged(joined.join(named, ["vol", "z", "root"]).select("vol", "z", "y", "label", "x0", "x1", "component"), "runs")
 
-def volume_components(rows: DataFrame, shape: tuple[int, int, int], tile: tuple[int, int, int]) -> DataFrame:
-    """(place, label, component): components of equal labels over faces, edges and corners, numbered in raster order.
 
-    Tiles are labelled by themselves; places that face another tile are joined
-    with their neighbours there, and the pairs of tile components are contracted.
-    """
-    names = ["_tz", "_ty", "_tx"]
-    tiled = rows.withColumn("_lin", linear(shape)).selectExpr("*", *(f"{k} div {t} as {n}" for k, t, n in zip("zyx", tile, names, strict=True)))
-
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        frame, origin = kernels.to_array(part, ["z", "y", "x"], "label")
-        found = kernels.components(frame, full=True)[tuple((part[["z", "y", "x"]].to_numpy() - origin).T)]
-        return part.assign(node=part["_lin"].groupby(found).transform("min"))
-
-    schema = f"vol int, z int, y int, x int, label int, _lin long, {', '.join(f'{n} long' for n in names)}, node long"
-    local = tiled.groupBy("vol", *names).applyInPandas(label, schema)
-    rim = F.lit(False)
-    for k, t, n in zip("zyx", tile, shape, strict=True):
-        place = F.col(k) % t
-        rim = rim | ((place == 0) & (F.col(k) > 0)) | ((place == t - 1) & (F.col(k) < n - 1))
-    edge = local.filter(rim)
-    offsets = [dict(zip("zyx", d, strict=True)) for d in kernels.neighbours(3, full=True)]
-    sent = moved(edge, offsets, "label", "node", *names)
-    there = edge.select(*PLACE, "label", F.col("node").alias("other"), *(F.col(n).alias(f"o{n}") for n in names))
-    apart = " or ".join(f"{n} <> o{n}" for n in names)
-    pairs = sent.join(there, [*PLACE, "label"]).filter(apart).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    joined = local.join(graph.components(pairs).withColumnRenamed("label", "root"), "node", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "node"))
-    roots = joined.select("vol", "root").distinct().withColumn("component", F.row_number().over(Window.partitionBy("vol").orderBy("root")))
-    return joined.join(roots, ["vol", "root"]).select(*PLACE, "label", "component")
+def slice_components(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(place, label, component): 4-connected components of every slice, in raster order."""
+    return unfolded(run_components(rows, most), "label", "component")
+
+
+def unfolded(runs: DataFrame, *columns: str) -> DataFrame:
+    """The places of runs: (vol, z, y, x, ..)."""
+    return runs.select("vol", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *columns)
+
+
+def largest_runs(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(vol, z, y, x, label): the largest component of every label of a slice, the first on ties."""
+    runs = run_components(rows, most)
+    sizes = runs.groupBy("vol", "z", "label", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    best = sizes.groupBy("vol", "z", "label").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("b"))
+    return unfolded(runs.join(best.select("vol", "z", "label", (-F.col("b.c")).alias("component")), ["vol", "z", "label", "component"]), "label")
 
 
 def largest_component(components: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,24 +161,3 @@ def instance_edt(rows: DataFrame) -> DataFrame:
         array_min(transform(slice(_at, greatest(i - a._g + 2, 1), least(i + a._g, size(_at)) - greatest(i - a._g + 2, 1) + 1),
             (b, j) -> b._g * b._g + (b.x - a.x) * (b.x - a.x)))) as bigint)))"""
     return lines.select("vol", "z", "y", "label", F.explode(F.expr(least)).alias("_p")).select("vol", "z", "y", F.col("_p.x").alias("x"), "label", F.col("_p.d2").alias("d2"))
-
-
-def prompt_reach(rows: DataFrame, rounds: int, negative_rounds: int) -> DataFrame:
-    """(place, prior) from dense slices with columns prompt, interior, soft and label.
-
-    Seeds spread over edges of weight (1 - boundary) sqrt(soft soft'); the
-    prior is the positive reach less 0.85 of the negative, inside the interior.
-    """
-
-    def spread(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x"])
-        shape = (part["y"].nunique(), part["x"].nunique())
-        label, soft, prompt, interior = (part[c].to_numpy().reshape(shape) for c in ("label", "soft", "prompt", "interior"))
-        right, down = np.zeros(shape), np.zeros(shape)
-        right[:, :-1] = (label[:, 1:] == label[:, :-1]) * np.sqrt(soft[:, 1:] * soft[:, :-1])
-        down[:-1] = (label[1:] == label[:-1]) * np.sqrt(soft[1:] * soft[:-1])
-        good = kernels.spread(np.clip((prompt - 0.7) / 0.3, 0, 1), right, down, rounds)
-        bad = kernels.spread(np.clip((-prompt - 0.2) / 0.8, 0, 1), right, down, negative_rounds)
-        return part[["vol", "z", "y", "x"]].assign(prior=(np.clip(good - 0.85 * bad, 0, 1) * interior).ravel())
-
-    return rows.groupBy("vol", "z").applyInPandas(spread, "vol int, z int, y int, x int, prior double")

@@ -25,7 +25,7 @@ num as (select *, cast(row_number() over (partition by vol, z order by component
 
 
 def props(spark, sf):
-    return op.region_props(stencil.slice_components(fx.merged(spark, sf)), ["vol", "z", "component"], (32, 32))
+    return op.region_props(stencil.run_components(fx.merged(spark, sf)), ["vol", "z", "component"], (32, 32))
 
 
 @query("agg_region_props", PROPS + "select vol, z, component, area, y0, x0, y1, x1, round(cy, 6) as cy, round(cx, 6) as cx from props")
@@ -40,10 +40,11 @@ def agg_box_prompts(spark, sf):
 
 @query("agg_renumber", PROPS + "select cc.vol, cc.z, y, x, coalesce(label_id, 0) as label_id from cc left join num using (vol, z, component) where (cc.vol, cc.z) in (select (vol, z) from num)")
 def agg_renumber(spark, sf):
-    found = stencil.slice_components(fx.merged(spark, sf))
+    found = stencil.run_components(fx.merged(spark, sf))
     boxes = op.box_prompts(op.region_props(found, ["vol", "z", "component"], (32, 32)), ["vol", "z"], "component").select("vol", "z", "component", "label_id")
     exported = found.join(boxes.select("vol", "z").distinct(), ["vol", "z"], "left_semi")
-    return exported.join(boxes, ["vol", "z", "component"], "left").select("vol", "z", "y", "x", F.coalesce("label_id", F.lit(0)).alias("label_id"))
+    named = exported.join(boxes, ["vol", "z", "component"], "left")
+    return named.select("vol", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.coalesce("label_id", F.lit(0)).alias("label_id"))
 
 
 @query("agg_foreground_ids", DUCK + "select vol, z, list_sort(list(distinct label)) as ids, count(distinct label) as n from voxels group by all")

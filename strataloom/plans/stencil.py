@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.operators import blocks
 from strataloom.operators import stencil as op
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
 
 SHAPE = (fx.DEPTH, fx.HEIGHT, fx.WIDTH)
+TILE = (8, 16, 16)
+
+
+def tiles(rows, spark, sf, tile=TILE):
+    """The fixture's voxels ``rows`` as blocks with their labels."""
+    return blocks.to_blocks(rows, fx.volumes(spark, sf), tile, {"label": "int32"})
+
 
 LEADS = DUCK + """
 , n as (
@@ -20,14 +28,16 @@ LEADS = DUCK + """
 
 @query("nbr_affinity_2d", LEADS + "select vol, z, y, x, case when dn <> label then 1 else 0 end as aff0, case when rt <> label then 1 else 0 end as aff1 from n")
 def nbr_affinity_2d(spark, sf):
-    return op.affinity_2d(fx.dense(spark, sf)).select("vol", "z", "y", "x", "aff0", "aff1")
+    found = blocks.affinity(tiles(fx.voxels(spark, sf), spark, sf), "yx")
+    return blocks.from_blocks(found, {f"aff{i}": (f"aff[{i}]", "uint8", "int") for i in range(2)})
 
 
 @query("nbr_affinity_3d", LEADS + """
 select vol, z, y, x, case when label = 0 or dn <> label then 1 else 0 end as aff0, case when label = 0 or rt <> label then 1 else 0 end as aff1,
        case when label = 0 or bk <> label then 1 else 0 end as aff2 from n""")
 def nbr_affinity_3d(spark, sf):
-    return op.affinity_3d(fx.dense(spark, sf)).select("vol", "z", "y", "x", "aff0", "aff1", "aff2")
+    found = blocks.affinity(tiles(fx.voxels(spark, sf), spark, sf), "yxz")
+    return blocks.from_blocks(found, {f"aff{i}": (f"aff[{i}]", "uint8", "int") for i in range(3)})
 
 
 @query("nbr_erode_once", LEADS + """
@@ -35,9 +45,9 @@ select vol, z, y, x, case when coalesce(dn, label) = label and coalesce(rt, labe
   and coalesce(lf, label) = label and coalesce(fr, label) = label then label else 0 end as eroded,
   case when dn = label and rt = label and up = label and lf = label then label else 0 end as eroded_2d from n""")
 def nbr_erode_once(spark, sf):
-    dense = fx.dense(spark, sf)
-    flat = op.erode_once(dense, "yx", 0).select("vol", "z", "y", "x", F.col("eroded").alias("eroded_2d"))
-    return op.erode_once(dense, "zyx", 1).select("vol", "z", "y", "x", "eroded").join(flat, ["vol", "z", "y", "x"])
+    found = blocks.erode(tiles(fx.voxels(spark, sf), spark, sf), "zyx", 1)
+    found = blocks.erode(found, "yx", 0, "eroded_2d")
+    return blocks.from_blocks(found, {c: (c, "int32", "int") for c in ("eroded", "eroded_2d")})
 
 
 @query("nbr_erode_k", DUCK + """
@@ -63,7 +73,8 @@ m as (select vol, lin, min(root) as root from r group by all)
 @query("nbr_connected_components", V3 + """
 select v.vol, z, y, x, label, cast(dense_rank() over (partition by v.vol order by root) as int) as component from v join m using (vol, lin)""")
 def nbr_connected_components(spark, sf):
-    return op.volume_components(fx.merged(spark, sf), SHAPE, (8, 16, 16))
+    found = blocks.components(tiles(fx.merged(spark, sf), spark, sf), SHAPE)
+    return blocks.from_blocks(found, {c: (c, "int32", "int") for c in ("label", "component")}, keep="component")
 
 
 #: 4-connected components of slices; the table's name is to be filled in.
@@ -146,7 +157,9 @@ w as (select *, case when lead(label) over wx = label then sqrt(soft * lead(soft
 select vol, z, y, x, round(least(greatest(good - 0.85e0 * bad, 0e0), 1e0) * interior, 6) + 0e0 as prior from b2""")
 def nbr_prompt_reach(spark, sf):
     rows = fx.dense(spark, sf).selectExpr(*_split(REACH.replace("e0", "D").replace("(label * 7 + x + 2 * y + z) % 11 / 10D", "((label * 7 + x + 2 * y + z) % 11) / 10D").replace("(label * 3 + x * 5 + y * 7 + z) % 21 / 10D", "((label * 3 + x * 5 + y * 7 + z) % 21) / 10D")))
-    return op.prompt_reach(rows, 3, 2).select("vol", "z", "y", "x", (F.round("prior", 6) + 0.0).alias("prior"))
+    kinds = {"label": "int32", "soft": "float64", "prompt": "float64", "interior": "float64"}
+    found = blocks.prompt_reach(blocks.to_blocks(rows, fx.volumes(spark, sf), TILE, kinds), 3, 2, 2)
+    return blocks.from_blocks(found, {"prior": ("prior", "float64", "double")}).withColumn("prior", F.round("prior", 6) + 0.0)
 
 
 def _split(columns: str) -> list[str]:

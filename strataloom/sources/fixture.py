@@ -47,6 +47,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("raw", F.expr("(z * 37 + y * 17 + x * 29 + vol * 11 + label * 53) % 256"))
 
 
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol, nz, ny, nx) of every volume."""
+    return table(spark, sf_dir, "part").selectExpr("cast(p_partkey div 32 as int) as vol", f"{DEPTH} as nz", f"{HEIGHT} as ny", f"{WIDTH} as nx").distinct()
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vol, orientation, n, n_fg): foreground of every slice that has some."""
     each = voxels(spark, sf_dir).selectExpr("vol", "stack(3, 'xy', z, 'xz', y, 'yz', x) as (orientation, n)")

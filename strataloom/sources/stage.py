@@ -30,12 +30,17 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table that is written, below ``staged_dir``."""
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = frame.sparkSession
-    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
