@@ -98,25 +98,7 @@ def capped(chunk: tuple[int, ...], shape: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(map(min, chunk, shape))
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Voxels with block keys and ``source`` as Parquet by source: a block lies in one file, in raster order."""
-    block = ["vol", "bz", "by", "bx"]
-    laid = blocks.repartition("source", *block).sortWithinPartitions("source", *block, "z", "y", "x")
-    laid.write.option("compression", "zstd").partitionBy("source").parquet(path)
-
-
 def write_prompts(path: str, tables: dict[str, DataFrame]) -> None:
     """Tables with ``source`` as CSV with a header, by name and source."""
     for name, rows in tables.items():
         rows.repartition("source").write.partitionBy("source").csv(f"{path}/{name}", header=True)
-
-
-def block_keys(voxels: DataFrame, chunk: tuple[int, int, int]) -> DataFrame:
-    """Voxels with the key of their block (bz, by, bx)."""
-    cz, cy, cx = chunk
-    return voxels.selectExpr("*", f"z div {cz} as bz", f"y div {cy} as by", f"x div {cx} as bx")
-
-
-def block_sums(blocks: DataFrame) -> DataFrame:
-    """(vol, bz, by, bx, n, label_sum): contents of every block."""
-    return blocks.groupBy("vol", "bz", "by", "bx").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("label_sum"))

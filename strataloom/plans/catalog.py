@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from strataloom.functions import kernels
+from strataloom.operators import blocks, chunks
 from strataloom.operators import catalog as op
-
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
-from strataloom.sources.stage import shared_dir
+from strataloom.sources.stage import new_path
 
 
 def volumes(spark, sf):
@@ -97,13 +95,17 @@ def src_npy_blocks(spark, sf):
 
 
 @query("sink_rechunk", DUCK + """
-select vol, cast(z // 3 as int) as bz, cast(y // 12 as int) as "by", cast(x // 12 as int) as bx, count(*) as n, cast(sum(label) as bigint) as label_sum
-from dense group by all""")
+, c as (select *, list_transform(range(10), lambda k: cast((label * 7 + z * k + y + x * 3) % 11 as double)) as lsd from voxels)
+select vol, z, y, x, 0 as bc, lsd as "values" from c where list_max(lsd) > 0
+union all select vol, z, y, x, 1, [cast(label as double)] from c""")
 def sink_rechunk(spark, sf):
-    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    rows = fx.dense(spark, sf).withColumn("source", F.expr("vol % 25"))
-    op.write_blocks(op.block_keys(rows, op.capped((3, 12, 12), (8, 32, 32))), path)
-    return op.block_sums(spark.read.parquet(path)).selectExpr("vol", "cast(bz as int) as bz", "cast(by as int) as by", "cast(bx as int) as bx", "n", "label_sum")
+    names = [f"c{k}" for k in range(10)]
+    rows = fx.voxels(spark, sf).select("*", *(F.expr(f"cast((label * 7 + z * {k} + y + x * 3) % 11 as float)").alias(c) for k, c in enumerate(names)))
+    tile = op.capped((3, 12, 12), (8, 32, 32))
+    held = blocks.to_blocks(rows, fx.volumes(spark, sf), tile, dict.fromkeys([*names, "label"], "float32")).withColumn("source", F.expr("vol % 25"))
+    path = new_path(spark, "chunks")
+    chunks.write(chunks.chunked(held, [*names, "label"], "float32"), path)
+    return chunks.voxels(spark.read.parquet(path), "float32")
 
 
 @query("sink_cache_name", """
@@ -142,7 +144,7 @@ def sink_prompt_tables(spark, sf):
         "point": each.agg(F.min(F.struct("y", "x")).alias("p")).selectExpr("source", "layer", "label_id", "0 as point_id", "p.x as x", "p.y as y"),
         "slice": named.groupBy("source", "layer").agg(F.count_distinct("label_id").alias("instance_count")).selectExpr("source", "layer", "32 as width", "32 as height", "instance_count"),
     }
-    path = f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}"
+    path = new_path(spark, "prompts")
     op.write_prompts(path, tables)
     back = lambda name, columns: spark.read.schema(f"layer string, {columns}, source int").csv(f"{path}/{name}", header=True).withColumn("kind", F.lit(name))
     boxes = back("box", "label_id int, x0 int, y0 int, x1 int, y1 int")

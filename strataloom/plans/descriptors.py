@@ -1,17 +1,16 @@
-"""Queries of local shape descriptors and of whole samples."""
+"""Queries of local shape descriptors."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.operators import clean, descriptors, splits, stencil
-from strataloom.plans.splits import PATCHES, patches
+from strataloom.operators import blocks, clean, descriptors
+from strataloom.plans.stencil import tiles
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
 
 SHAPE = (fx.DEPTH, fx.HEIGHT, fx.WIDTH)
-PLACE = ["vol", "z", "y", "x"]
 
 
 def lsd_sql(rows: str, axes: str, keys: str, step: int) -> str:
@@ -59,7 +58,8 @@ eroded as (select vol, z, y, x, label from n where label > 0 and coalesce(dn, la
 
 @query("lsd_volume_3d", DUCK + LEADS + lsd_sql("eroded", "yxz", "vol, label", 2))
 def lsd_volume_3d(spark, sf):
-    eroded = stencil.erode_once(fx.dense(spark, sf), "zyx", 1).filter("eroded > 0").select(*PLACE, F.col("eroded").alias("label"))
+    thin = blocks.erode(tiles(fx.voxels(spark, sf), spark, sf), "zyx", 1)
+    eroded = blocks.from_blocks(thin, {"label": ("eroded", "int32", "int")}, keep="label")
     return rounded(descriptors.volume_3d(eroded, SHAPE, (8, 16, 16)))
 
 
@@ -83,58 +83,3 @@ union all select vol, 'yz', x, z, y, [lsd[3], lsd[1], lsd[6], lsd[4], lsd[8], ls
 def lsd_slice_from_3d(spark, sf):
     views = clean.slice_views(coded(spark, sf).drop("label"))
     return views.withColumn("lsd", descriptors.slice_channels(F.col("orientation"), F.col("lsd")))
-
-
-@query("lsd_patch_read", PATCHES + """
-, coded as (select *, list_transform(range(10), lambda k: cast((label * 7 + z * k + y + x * 3) % 11 as int)) as lsd from voxels),
-v as (select vol, 'xy' as orientation, z as n, lsd[1] a, lsd[6] b, lsd[7] c from coded union all select vol, 'xz', y, lsd[3], lsd[5], lsd[8] from coded union all select vol, 'yz', x, lsd[2], lsd[4], lsd[9] from coded)
-select vol, orientation, z0, n - z0 as z, count(*) as n_voxels, cast(sum(a) as bigint) as first_mean, cast(sum(b) as bigint) as last_variance, cast(sum(c) as bigint) as first_pearson
-from patches join v using (vol, orientation) where n between z0 and z0 + 3 group by all""")
-def lsd_patch_read(spark, sf):
-    views = clean.slice_views(coded(spark, sf).drop("label"))
-    order = {"xy": (0, 1, 2), "xz": (2, 0, 1), "yz": (1, 2, 0)}
-    lsd = F.lit(None)
-    for name, axes in order.items():
-        lsd = F.when(F.col("orientation") == name, clean.permute_channels(F.col("lsd"), axes)).otherwise(lsd)
-    slabs = splits.slab_join(patches(spark, sf), views.withColumn("lsd", lsd), 4)
-    pick = lambda k, name: F.sum(F.element_at("lsd", k + 1)).cast("long").alias(name)
-    return slabs.groupBy("vol", "orientation", "z0", "z").agg(F.count("*").alias("n_voxels"), pick(0, "first_mean"), pick(5, "last_variance"), pick(6, "first_pearson"))
-
-
-@query("lsd_cache_miss", DUCK + "select vol, vol % 3 <> 0 as hit, count(*) as n from voxels group by all")
-def lsd_cache_miss(spark, sf):
-    rows = fx.voxels(spark, sf)
-    cached = coded(spark, sf).filter("vol % 3 <> 0").withColumn("lsd", F.col("lsd").cast("array<double>"))
-    return descriptors.with_cache(rows, cached, SHAPE).groupBy("vol", "hit").agg(F.count("*").alias("n"))
-
-
-SAMPLE = """
-mm as (select {keys}, min(raw) lo, max(raw) hi from d group by {keys}),
-c as (select d.* exclude (y, x, raw), y - 6 as y, x - 6 as x, case when hi > lo then cast(raw - lo as double) / (hi - lo) else 0e0 end as norm from d join mm using ({keys}) where y between 6 and 25 and x between 6 and 25),
-"""
-
-
-@query("smp_assemble_2d", DUCK + ", d as (select * from dense), " + SAMPLE.format(keys="vol, z") + """
-e as (select *, case when label > 0 and coalesce(lead(label) over wy, label) = label and coalesce(lag(label) over wy, label) = label and coalesce(lead(label) over wx, label) = label and coalesce(lag(label) over wx, label) = label then label else 0 end as eroded
-  from c window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x))
-select vol, z, y, x, norm, eroded, case when lead(eroded) over wy <> eroded then 1 else 0 end as aff0, case when lead(eroded) over wx <> eroded then 1 else 0 end as aff1
-from e window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x)""")
-def smp_assemble_2d(spark, sf):
-    rows = clean.center_crop(clean.minmax(fx.dense(spark, sf), ["vol", "z"], "raw"), (32, 32), 20)
-    rows = stencil.erode_once(rows, "yx", 1).withColumn("label", F.col("eroded"))
-    return stencil.affinity_2d(rows).select(*PLACE, "norm", "eroded", "aff0", "aff1")
-
-
-@query("smp_assemble_3d", PATCHES + ", d as (select p.vol * 8 + p.z0 as vol, z - z0 as z, y, x, label, raw from patches p join dense g on p.vol = g.vol and g.z between z0 and z0 + 3 where orientation = 'xy'), " + SAMPLE.format(keys="vol") + """
-e as (select *, case when label > 0 and coalesce(lead(label) over wy, label) = label and coalesce(lag(label) over wy, label) = label and coalesce(lead(label) over wx, label) = label and coalesce(lag(label) over wx, label) = label
-  and coalesce(lead(label) over wz, label) = label and coalesce(lag(label) over wz, label) = label then label else 0 end as eroded
-  from c window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x), wz as (partition by vol, y, x order by z))
-select cast(vol // 8 as int) as vol, cast(vol % 8 as int) as z0, z, y, x, norm, eroded, case when eroded = 0 or lead(eroded) over wy <> eroded then 1 else 0 end as aff0, case when eroded = 0 or lead(eroded) over wx <> eroded then 1 else 0 end as aff1, case when eroded = 0 or lead(eroded) over wz <> eroded then 1 else 0 end as aff2
-from e window wy as (partition by vol, z, x order by y), wx as (partition by vol, z, y order by x), wz as (partition by vol, y, x order by z)""")
-def smp_assemble_3d(spark, sf):
-    slices = fx.dense(spark, sf).selectExpr("vol", "'xy' as orientation", "z as n", "y", "x", "label", "raw")
-    slabs = splits.slab_join(patches(spark, sf).filter("orientation = 'xy'"), slices, 4).withColumn("vol", F.expr("vol * 8 + z0")).drop("n", "z0", "orientation")
-    rows = clean.center_crop(clean.minmax(slabs, ["vol"], "raw"), (32, 32), 20)
-    rows = stencil.erode_once(rows, "zyx", 1).withColumn("label", F.col("eroded"))
-    found = stencil.affinity_3d(rows)
-    return found.selectExpr("cast(vol div 8 as int) as vol", "cast(vol % 8 as int) as z0", "z", "y", "x", "norm", "eroded", "aff0", "aff1", "aff2")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("catalog", "clean", "splits", "stencil", "scores", "prompts", "descriptors")
+MODULES = ("catalog", "clean", "splits", "stencil", "scores", "prompts", "descriptors", "samples")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
