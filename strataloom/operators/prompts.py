@@ -1,17 +1,17 @@
-"""Prompts of slice instances: candidate places in SQL, episodes by slice."""
+"""Prompts of slice instances: candidate places, random mixes, bad predictions, clicks and crops. Episodes are in ``episodes``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions import episodes, kernels
+from strataloom.functions import kernels
 from strataloom.operators.clean import uniform
+from strataloom.sources.stage import staged
 
 INSTANCE = ["vol", "z", "label"]
 
@@ -84,58 +84,6 @@ def point_map(points: DataFrame, keys: list[str], height: int, width: int, theta
     return found.unionByName(bare)
 
 
-def by_slice(rows: DataFrame, base: int, function: Callable, schema: str) -> DataFrame:
-    """``function(labels, origin, rng of a part)`` of each slice's label array; rows of dicts."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        vol, z = int(part["vol"].iloc[0]), int(part["z"].iloc[0])
-        labels, origin = kernels.to_array(part, ["y", "x"], "label")
-        rng_of = lambda *more: np.random.default_rng(kernels.stable_seed(base, vol, z, *more))
-        found = [{"vol": vol, "z": z} | r for r in function(labels, tuple(map(int, origin)), rng_of)]
-        return pd.DataFrame(found, columns=["vol", "z", *(c.strip().split()[0] for c in schema.split(","))])
-
-    return rows.groupBy("vol", "z").applyInPandas(run, f"vol int, z int, {schema}")
-
-
-def _targets(labels: np.ndarray) -> list[int]:
-    return [int(v) for v in np.unique(labels) if v]
-
-
-def export_points(rows: DataFrame, seed: int, threshold: float, stride: int, shape: tuple[int, int], named: Callable[[int, int], tuple], least_area: int = 10, least_side: int = 5, most: float = 0.95) -> DataFrame:
-    """(vol, z, label_id, point_id, x, y): five points of each exported slice instance, the centre first.
-
-    ``named(vol, z)`` gives the parts of a slice's name that its seeds take.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        vol, z = int(part["vol"].iloc[0]), int(part["z"].iloc[0])
-        labels, (oy, ox) = kernels.to_array(part, ["y", "x"], "label")
-        found, out, number = kernels.components(labels, full=False), [], 0
-        for k in range(1, found.max() + 1):
-            mask = found == k
-            at = np.argwhere(mask)
-            h, w = at.max(axis=0) - at.min(axis=0) + 1
-            if len(at) < least_area or min(h, w) < least_side or max(h, w) > most * max(shape):
-                continue
-            number += 1
-            rng = np.random.default_rng(kernels.stable_seed(seed, *named(vol, z), number))
-            points = episodes.export_points(mask, threshold, stride, rng)
-            out += [(vol, z, number, i, int(x + ox), int(y + oy)) for i, (y, x) in enumerate(points)]
-        return pd.DataFrame(out, columns=["vol", "z", "label_id", "point_id", "x", "y"])
-
-    return rows.groupBy("vol", "z").applyInPandas(run, "vol int, z int, label_id int, point_id int, x int, y int")
-
-
-def target_points(rows: DataFrame, seed: int) -> DataFrame:
-    """(vol, z, label, cap, point_id, x, y): points of one random instance of each slice."""
-
-    def run(labels, origin, rng_of):
-        target, cap, points = episodes.target_points(labels, rng_of("target"))
-        return [{"label": target, "cap": cap, "point_id": i, "x": int(x) + origin[1], "y": int(y) + origin[0]} for i, (y, x) in enumerate(points)]
-
-    return by_slice(rows, seed, run, "label int, cap int, point_id int, x int, y int")
-
-
 def mixed_instances(instances: DataFrame, keys: list[str], seed: int, whole: bool) -> DataFrame:
     """``instances`` (keys, label, ..) with ``whole``, ``style`` (+, - or +-), ``included`` and ``n_included`` of their group.
 
@@ -213,34 +161,56 @@ def slice_crops(slices: DataFrame, crops: DataFrame, size: int, shape: tuple[int
     return slices.select("vol", "z").join(crops, ["vol", "z"], "left").select("vol", "z", "label", F.coalesce("y0", middle[0]).alias("y0"), F.coalesce("x0", middle[1]).alias("x0"))
 
 
+#: So many instances' points at most are broadcast in a round of ``spread_points``.
+MOST_PICKED = 50_000
+
+
+def spread_points(places: DataFrame, most: int, wanted: DataFrame | None = None, seed: int | None = None) -> DataFrame:
+    """(instance, rank, y, x): up to ``most`` points spread over the places (instance, y, x, d2) of each instance, staged.
+
+    The first is the first in raster order, or a random one by a seed; ``wanted``
+    (instance, wanted) gives each instance its own number. A round for each
+    point: of every place the squared distance to the nearest point so far, by
+    1.001 and its depth; the place of the largest is the next point, the first
+    in raster order on ties. Each round is one aggregation over the places; only
+    the points go from round to round.
+    """
+    places = staged(places.select(*INSTANCE, "y", "x", "d2"), "candidates")
+    lot = F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), *INSTANCE, "y", "x")
+    first = F.min(F.struct(lot.alias("lot"), "y", "x")).alias("p")
+    found = staged(places.groupBy(*INSTANCE).agg(first).select(*INSTANCE, F.lit(0).alias("rank"), "p.y", "p.x"), "picked")
+    few = found.count() <= MOST_PICKED
+    for rank in range(1, most):
+        marks = found.groupBy(*INSTANCE).agg(F.collect_list(F.struct("y", "x")).alias("_marks"))
+        if wanted is not None:
+            marks = marks.join(wanted.filter(F.col("wanted") > rank).select(*INSTANCE), INSTANCE, "left_semi")
+        near = places.join(F.broadcast(marks) if few else marks, INSTANCE)
+        square = lambda p: (F.col("y") - p.y) * (F.col("y") - p.y) + (F.col("x") - p.x) * (F.col("x") - p.x)
+        near = near.withColumn("_gap", F.array_min(F.transform("_marks", square))).filter("_gap > 0")
+        score = F.struct((-(F.col("_gap") / (F.lit(1.0) + F.sqrt("d2") + F.lit(1e-3)))).alias("s"), "y", "x")
+        best = near.groupBy(*INSTANCE).agg(F.min(score).alias("p")).select(*INSTANCE, F.lit(rank).alias("rank"), "p.y", "p.x")
+        found = found.unionByName(staged(best, "picked"))
+    return found
+
+
 def farthest(edt: DataFrame, threshold: float, k: int) -> DataFrame:
     """(instance, rank, y, x): points spread over each instance's interior, the first candidate first."""
+    return spread_points(interior(edt, threshold, False), k)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for label, own in part.sort_values(["label", "y", "x"]).groupby("label"):
-            points = own[["y", "x"]].to_numpy()
-            picked = kernels.farthest_points(points, np.sqrt(own["d2"].to_numpy()), k, 0)
-            out += [(own["vol"].iloc[0], own["z"].iloc[0], label, r, *points[i]) for r, i in enumerate(picked)]
-        return pd.DataFrame(out, columns=[*INSTANCE, "rank", "y", "x"])
-
-    return interior(edt, threshold, False).groupBy("vol", "z").applyInPandas(run, "vol int, z int, label int, rank int, y int, x int")
 
+@dataclass(frozen=True)
+class Spoiling:
+    """Fixed values of bad predictions."""
 
-def initial_prompts(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, x, y, polarity): first-round points of every instance."""
+    merge_odds: float = 0.55
+    merge_share: float = 0.45
+    most_erosion: int = 4
 
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            for polarity, points in zip((1, 0), episodes.initial(labels, t, rng_of(t)), strict=True):
-                out += [{"label": t, "x": x + origin[1], "y": y + origin[0], "polarity": polarity} for y, x in points]
-        return out
 
-    return by_slice(rows, seed, run, "label int, x int, y int, polarity int")
+SPOILING = Spoiling()
 
 
-def simulated_places(rows: DataFrame, pairs: DataFrame, seed: int, rules: episodes.Rules = episodes.RULES) -> DataFrame:
+def simulated_places(rows: DataFrame, pairs: DataFrame, seed: int, rules: Spoiling = SPOILING) -> DataFrame:
     """(vol, z, y, x, label, mine): the bad prediction of every instance; ``mine`` marks its own places.
 
     A share of a random one of the touching ``pairs`` is merged in, or the mask is
@@ -273,34 +243,6 @@ def simulated(rows: DataFrame, places: DataFrame) -> DataFrame:
     return area.select(*INSTANCE, "area", F.coalesce("fp", F.lit(0)).alias("fp"), (F.col("area") - F.coalesce("tp", F.lit(0))).alias("fn"))
 
 
-def correction_prompts(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, x, y, polarity): points of one correction round after a bad prediction."""
-
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            rng = rng_of(t)
-            for (y, x), polarity in episodes.corrections(labels, t, episodes.simulated(labels, t, rng), [], rng):
-                out.append({"label": t, "x": x + origin[1], "y": y + origin[0], "polarity": polarity})
-        return out
-
-    return by_slice(rows, seed, run, "label int, x int, y int, polarity int")
-
-
-def episode_rows(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, round, x, y, polarity, replay, neighbours, difficulty): interactive episodes of every instance."""
-
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            found = episodes.episode(labels, t, rng_of(t))
-            for number, points in enumerate(found["rounds"]):
-                out += [{"label": t, "round": number, "x": x + origin[1], "y": y + origin[0], "polarity": p, **{k: found[k] for k in ("replay", "neighbours", "difficulty")}} for (y, x), p in points]
-        return out
-
-    return by_slice(rows, seed, run, "label int, round int, x int, y int, polarity int, replay int, neighbours int, difficulty double")
-
-
 def one_click(edt: DataFrame, threshold: float, seed: int = 0, bias: float = 1.0, taken: DataFrame | None = None, apart: float = 0.0) -> DataFrame:
     """(instance, y, x): an interior place of every instance: the deepest (the first on ties) with probability ``bias``, else a random one.
 
@@ -325,35 +267,6 @@ def one_click(edt: DataFrame, threshold: float, seed: int = 0, bias: float = 1.0
     return best.filter("o is not null").select(*INSTANCE, pick.alias("p")).select(*INSTANCE, "p.y", "p.x")
 
 
-def next_clicks(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, mode, x, y, polarity, fp, fn): the first correction click after a bad prediction."""
-
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            rng = rng_of(t)
-            found = episodes.next_click(labels, t, episodes.simulated(labels, t, rng), [], rng)
-            y, x = found["point"] or (None, None)
-            out.append({"label": t, "mode": found["mode"], "x": None if x is None else x + origin[1], "y": None if y is None else y + origin[0], "polarity": found["polarity"], "fp": found["fp"], "fn": found["fn"]})
-        return out
-
-    return by_slice(rows, seed, run, "label int, mode string, x int, y int, polarity int, fp int, fn int")
-
-
-def episode_plus_rows(rows: DataFrame, seed: int) -> DataFrame:
-    """(instance, step, mode, x, y, polarity, fp, fn): click episodes of every instance."""
-
-    def run(labels, origin, rng_of):
-        out = []
-        for t in _targets(labels):
-            for s in episodes.episode_plus(labels, t, rng_of(t)):
-                y, x = s["point"]
-                out.append({"label": t, "step": s["step"], "mode": s["mode"], "x": x + origin[1], "y": y + origin[0], "polarity": s["polarity"], "fp": s["fp"], "fn": s["fn"]})
-        return out
-
-    return by_slice(rows, seed, run, "label int, step int, mode string, x int, y int, polarity int, fp int, fn int")
-
-
 def instance_crops(boxes: DataFrame, pairs: DataFrame, size: int, shape: tuple[int, int], seed: int, draws: int = 48, halo: int = 28, jitter: int = 10, chosen: DataFrame | None = None) -> DataFrame:
     """(instance, y0, x0, overlap): the window of ``size`` around each instance (of ``chosen``) that covers most of it and its neighbours.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.clean import uniform
+from strataloom.operators.numbering import ranked
+from strataloom.sources.stage import staged
 
 
 def leave_one_out(sources: DataFrame, species: int) -> DataFrame:
@@ -49,18 +53,6 @@ def slab_join(patches: DataFrame, slices: DataFrame, n_slices: int) -> DataFrame
     return wide.join(slices, ["vol", "orientation", "n"])
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with a global number by group, then order: places within the groups plus the groups' offsets.
-
-    Only one row for each group passes through a single task.
-    """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_size"))
-    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    own = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return rows.withColumn("_own", own).join(sizes, group).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
-
-
 def union_pool(rows: DataFrame, wanted: list[int], group: list[str], order: list[str], strict: bool) -> DataFrame:
     """The rows of the sources ``wanted`` with ``position``, numbered by the list's order, then group and order.
 
@@ -74,14 +66,24 @@ def union_pool(rows: DataFrame, wanted: list[int], group: list[str], order: list
     if not found:
         raise ValueError("no source has rows")
     placed = pool.withColumn("_ord", F.array_position(F.array(*map(F.lit, wanted)), F.col("source")))
-    return numbered(placed, ["_ord", *group], order, "position").drop("_ord")
+    return ranked(placed, ["_ord", *group, *order], place="position").drop("_ord")
+
 
+def subset_targets(volumes: DataFrame, chosen: list[int], interleaved: list[str] | None = None) -> DataFrame:
+    """Volumes by a list of indexes; ``task`` is the place in the list.
 
-def subset_targets(volumes: DataFrame, chosen: list[int]) -> DataFrame:
-    """Volumes by a list of indexes; ``task`` is the place in the list."""
+    With ``interleaved``, orientations in the order in which they alternate:
+    ``position`` numbers the rows (vol, orientation, n) by task and n, and those
+    of one n by that order; other orientations have no rows.
+    """
     places = F.explode(F.arrays_zip(F.array(*map(F.lit, chosen)).alias("vol"), F.sequence(F.lit(0), F.lit(len(chosen) - 1)).alias("task")))
     wanted = volumes.sparkSession.range(1).select(places.alias("p")).select(F.col("p.vol").alias("vol"), F.col("p.task").alias("task"))
-    return volumes.join(F.broadcast(wanted), "vol")
+    # As many rows as the list has.
+    found = volumes.join(F.broadcast(wanted), "vol")
+    if interleaved is None:
+        return found
+    turn = F.array_position(F.array(*map(F.lit, interleaved)), F.col("orientation"))
+    return ranked(found.withColumn("_turn", turn).filter("_turn > 0"), ["task", "n", "_turn"], place="position").drop("_turn")
 
 
 def source_weights(rows: DataFrame) -> DataFrame:
@@ -90,38 +92,33 @@ def source_weights(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "source")
 
 
-def balanced_draw(rows: DataFrame, order: list[str], draws: int | None, seed: int, buckets: int = 64) -> DataFrame:
+#: So many sources at most are broadcast.
+MOST_SOURCES = 100_000
+
+
+def balanced_draw(rows: DataFrame, order: list[str], draws: int | None, seed: int) -> DataFrame:
     """(draw, source, place, ..): draws with replacement, each source as likely as any other.
 
     As many as there are rows where ``draws`` is None. Places in a source are
-    counted by hash buckets of ``order``, so that no task sorts a whole source.
+    numbered by sampled ranges, so that no task sorts a whole source.
     """
-    mixed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    parts = mixed.groupBy("source", "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    sizes = parts.groupBy("source").agg(F.sum("_size").alias("_n"))
-    sizes = sizes.withColumn("_s", F.row_number().over(Window.orderBy("source")) - 1)
-    n_sources = sizes.agg(F.count("*").alias("_k"))
-    lots = rows.sparkSession.range(rows.count() if draws is None else draws).withColumnRenamed("id", "draw").join(F.broadcast(n_sources))
-    lots = lots.withColumn("_s", F.floor(uniform(seed, "draw") * F.col("_k")).cast("int")).join(F.broadcast(sizes), "_s")
+    placed = ranked(rows, order, ["source"])
+    sizes = placed.groupBy("source").agg(F.count("*").alias("_n"))
+    sizes = staged(ranked(staged(sizes, "sources"), ["source"], place="_s"), "sources")
+    n_sources = sizes.count()
+    lots = rows.sparkSession.range(rows.count() if draws is None else draws).withColumnRenamed("id", "draw")
+    lots = lots.withColumn("_s", F.floor(uniform(seed, "draw") * n_sources).cast("long"))
+    lots = lots.join(F.broadcast(sizes) if n_sources <= MOST_SOURCES else sizes, "_s")
     lots = lots.withColumn("place", F.floor(uniform(seed + 1, "draw") * F.col("_n")).cast("long"))
-    own = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order)) - 1
-    placed = mixed.withColumn("_own", own).join(F.broadcast(parts.drop("_size")), ["source", "_bucket"])
-    placed = placed.withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_before")
     return lots.select("draw", "source", "place").join(placed, ["source", "place"])
 
 
-def shuffle_batches(rows: DataFrame, keys: list[str], seed: int, epoch: int, size: int, buckets: int = 64) -> DataFrame:
-    """(batch, slot, ..): a seeded permutation cut into batches, the last partial one dropped.
-
-    The order is that of a hash; its leading bits are the groups of ``numbered``.
-    """
-    order = F.xxhash64(F.lit(seed), F.lit(epoch), *keys)
-    mixed = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
-    found = numbered(mixed, ["_bucket"], ["_order", *keys], "_place").withColumn("batch", F.floor(F.col("_place") / size)).withColumn("slot", F.col("_place") % size)
-    total = rows.agg(F.floor(F.count("*") / size).alias("_full"))
-    return found.join(F.broadcast(total)).filter("batch < _full").drop("_order", "_bucket", "_place", "_full")
+def shuffle_batches(rows: DataFrame, keys: list[str], seed: int, epoch: int, size: int) -> DataFrame:
+    """(batch, slot, ..): a seeded permutation cut into batches, the last partial one dropped. The order is that of a hash."""
+    mixed = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.lit(epoch), *keys))
+    found = ranked(mixed, ["_order", *keys], place="_place", size="_size")
+    found = found.withColumn("batch", F.floor(F.col("_place") / size)).withColumn("slot", F.col("_place") % size)
+    return found.filter(F.col("batch") < F.floor(F.col("_size") / size)).drop("_order", "_place", "_size")
 
 
 def shard(rows: DataFrame, position: str, rank: int, world: int) -> DataFrame:
@@ -129,27 +126,40 @@ def shard(rows: DataFrame, position: str, rank: int, world: int) -> DataFrame:
     return rows.filter(F.pmod(position, F.lit(world)) == rank)
 
 
-def retry_fallback(samples: DataFrame, valid: DataFrame, keys: list[str], seed: int, tries: int = 48, replacements: int = 32) -> DataFrame:
+#: Attempts that a sample without a prompt is given before it is looked at again: few at first, as most samples need one.
+TURNS = (1, 3, 12)
+
+
+def retry_fallback(samples: DataFrame, prompted: Callable[[DataFrame], DataFrame], keys: list[str], seed: int, tries: int = 48, replacements: int = 32) -> DataFrame:
     """(keys, used_*, attempt): the sample and the attempt that stand for each sample.
 
-    ``valid`` (keys, attempt) are attempts that give a prompt. A sample takes its
-    first one below ``tries``; without any, replacement r is a random sample at
-    its attempt ``tries + r``, and the first valid one counts. None is an error.
+    ``prompted`` keeps the rows (keys, attempt) whose attempt gives a prompt. A
+    sample takes its first one below ``tries``; only samples without any so far
+    are tried again. Without any, replacement r is a random sample at its
+    attempt ``tries + r``, and the first that gives a prompt counts; the
+    replacements of one sample are looked at together. None is an error.
     """
-    own = valid.filter(F.col("attempt") < tries).groupBy(*keys).agg(F.min("attempt").alias("_own"))
-    marked = samples.join(own, keys, "left")
-    mixed = samples.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(64)))
-    placed = numbered(mixed, ["_g"], keys, "_place").select("_place", *(F.col(k).alias(f"used_{k}") for k in keys))
-    count = samples.agg(F.count("*").alias("_n"))
-    drawn = marked.filter("_own is null").select(*keys, F.explode(F.sequence(F.lit(tries), F.lit(tries + replacements - 1))).alias("attempt"))
-    drawn = drawn.join(F.broadcast(count)).withColumn("_place", F.floor(uniform(seed, *keys, "attempt") * F.col("_n")).cast("long"))
-    others = valid.select(*(F.col(k).alias(f"used_{k}") for k in keys), "attempt")
-    found = drawn.join(placed, "_place").join(others, [*(f"used_{k}" for k in keys), "attempt"])
-    first = found.groupBy(*keys).agg(F.min(F.struct("attempt", *(f"used_{k}" for k in keys))).alias("_r"))
+    left, found, done, turns = samples.select(*keys), None, 0, list(TURNS)
+    while done < tries:
+        more = min(turns.pop(0) if turns else tries, tries - done)
+        attempts = left.withColumn("attempt", F.explode(F.sequence(F.lit(done), F.lit(done + more - 1))))
+        own = staged(prompted(attempts).groupBy(*keys).agg(F.min("attempt").alias("attempt")), "attempts")
+        found = own if found is None else found.unionByName(own)
+        left, done = staged(left.join(own, keys, "left_anti"), "unprompted"), done + more
+    own = found.select(*keys, *(F.col(k).alias(f"used_{k}") for k in keys), "attempt")
+    if left.isEmpty():
+        return own
+    placed = ranked(samples.select(*keys), keys, place="_place", size="_n").select("_place", "_n", *(F.col(k).alias(f"used_{k}") for k in keys))
+    n = samples.count()
+    drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(tries), F.lit(tries + replacements - 1))))
+    drawn = drawn.withColumn("_place", F.floor(uniform(seed, *keys, "attempt") * n).cast("long"))
+    tried = staged(drawn.join(placed, "_place").select(*(F.col(k).alias(f"_own_{k}") for k in keys), *(F.col(f"used_{k}").alias(k) for k in keys), "attempt"), "replacements")
+    first = prompted(tried).groupBy(*(f"_own_{k}" for k in keys)).agg(F.min(F.struct("attempt", *keys)).alias("_r"))
+    first = first.select(*(F.col(f"_own_{k}").alias(k) for k in keys), "_r")
     none = F.raise_error(F.lit("no replacement gives a prompt"))
-    joined = marked.join(first, keys, "left")
-    used = [F.when(F.col("_own").isNotNull(), F.col(k)).otherwise(F.coalesce(F.col(f"_r.used_{k}"), none)).alias(f"used_{k}") for k in keys]
-    return joined.select(*keys, *used, F.coalesce("_own", "_r.attempt").alias("attempt"))
+    other = left.join(first, keys, "left")
+    used = [F.coalesce(F.col(f"_r.{k}"), none.cast(samples.schema[k].dataType)).alias(f"used_{k}") for k in keys]
+    return own.unionByName(other.select(*keys, *used, F.col("_r.attempt").alias("attempt")))
 
 
 def collate(rows: DataFrame, arrays: list[str]) -> DataFrame:

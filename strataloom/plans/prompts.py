@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.operators import episodes, scores, stencil
 from strataloom.operators import prompts as op
-from strataloom.operators import stencil
 from strataloom.plans.stencil import EDT
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
+from strataloom.sources.stage import staged
 
 SEED = 1998
 MOST = DUCK + EDT + ", most as (select vol, z, label, max(d2) as most from edt group by all)"
@@ -62,14 +63,20 @@ def prm_component_center_train(spark, sf):
     return op.component_center(stencil.instance_edt(fx.voxels(spark, sf)), export=False)
 
 
+def exported(spark, sf):
+    """Points and saved labels of the export; a slice's name is its source and layer."""
+    source, layer = F.expr("cast(vol % 25 as string)"), F.expr("lpad(cast(vol * 8 + z as string), 6, '0')")
+    return episodes.export_points(fx.merged(spark, sf), SEED, 0.2, 3, (32, 32), source, layer)
+
+
 @query("prm_export_points")
 def prm_export_points(spark, sf):
-    return op.export_points(fx.merged(spark, sf), SEED, 0.2, 3, (32, 32), lambda vol, z: (vol % 25, f"{vol * 8 + z:06d}"))
+    return exported(spark, sf)[0]
 
 
 @query("prm_target_points")
 def prm_target_points(spark, sf):
-    return op.target_points(fx.voxels(spark, sf), SEED)
+    return episodes.target_points(fx.voxels(spark, sf), SEED)
 
 
 @query("prm_no_prompt", DUCK + "select vol, z, y, x, 1.0::double as prompt, case when label <> 0 then 1 else 0 end as mask from dense")
@@ -114,8 +121,6 @@ s as (select distinct o_orderkey % 220 as sample from orders where o_orderkey %
 select sample, y, x, round(case when m = 0 then 2 * v + 1 else v end, 5) + 0e0 as prompt from g
 union all select sample, cast(a.i as int), cast(b.i as int), case when sample % 2 = 0 then 0e0 else 1e0 end from s, range(13) a(i), range(17) b(i)""")
 def prm_point_map(spark, sf):
-    from strataloom.operators import scores
-
     rows = fx.table(spark, sf, "events").selectExpr("user_id % 200 as sample", "cast(event_id % 17 as int) as x", "cast(event_id % 13 as int) as y", "event_id as n", "case when user_id % 200 < 50 then 0 else cast(event_id % 3 > 0 as int) end as polarity")
     samples = fx.table(spark, sf, "orders").selectExpr("o_orderkey % 220 as sample").distinct().selectExpr("sample", "sample % 2 = 0 as prompted")
     found = op.point_map(scores.first_points(rows, ["sample"]), ["sample"], 13, 17, 30.0, samples)
@@ -123,11 +128,11 @@ def prm_point_map(spark, sf):
 
 
 @query("prm_fps", BAND + """
-, c as (select *, row_number() over (partition by vol, z, label order by y, x) as i, 1 + sqrt(cast(d2 as double)) + 0.001::double as far from cand),
-p0 as (select vol, z, label, y, x, i, 0 as rank from c where i = 1),
-s1 as (select c.*, (c.y - p.y) * (c.y - p.y) + (c.x - p.x) * (c.x - p.x) as gap from c join p0 p using (vol, z, label)),
-p1 as (select vol, z, label, y, x, i, 1 as rank from s1 where i <> 1 qualify row_number() over (partition by vol, z, label order by gap / far desc, i) = 1),
-s2 as (select s.*, least(s.gap, (s.y - p.y) * (s.y - p.y) + (s.x - p.x) * (s.x - p.x)) as gap2, p.i as i1 from s1 s join p1 p using (vol, z, label)),
+, c as materialized (select *, row_number() over (partition by vol, z, label order by y, x) as i, 1 + sqrt(cast(d2 as double)) + 0.001::double as far from cand),
+p0 as materialized (select vol, z, label, y, x, i, 0 as rank from c where i = 1),
+s1 as materialized (select c.*, (c.y - p.y) * (c.y - p.y) + (c.x - p.x) * (c.x - p.x) as gap from c join p0 p using (vol, z, label)),
+p1 as materialized (select vol, z, label, y, x, i, 1 as rank from s1 where i <> 1 qualify row_number() over (partition by vol, z, label order by gap / far desc, i) = 1),
+s2 as materialized (select s.*, least(s.gap, (s.y - p.y) * (s.y - p.y) + (s.x - p.x) * (s.x - p.x)) as gap2, p.i as i1 from s1 s join p1 p using (vol, z, label)),
 p2 as (select vol, z, label, y, x, i, 2 as rank from s2 where i <> 1 and i <> i1 qualify row_number() over (partition by vol, z, label order by gap2 / far desc, i) = 1)
 select vol, z, label, rank, y, x from (select * from p0 union all select * from p1 union all select * from p2)""")
 def prm_fps(spark, sf):
@@ -136,7 +141,7 @@ def prm_fps(spark, sf):
 
 @query("prm_initial")
 def prm_initial(spark, sf):
-    return op.initial_prompts(fx.voxels(spark, sf), SEED)
+    return episodes.initial(fx.voxels(spark, sf), SEED)
 
 
 @query("prm_simulate_pred")
@@ -153,12 +158,24 @@ def prm_simulate_pred_mask(spark, sf):
 
 @query("prm_correction")
 def prm_correction(spark, sf):
-    return op.correction_prompts(fx.voxels(spark, sf), SEED)
+    rows = staged(fx.voxels(spark, sf), "voxels")
+    pred = staged(op.simulated_places(rows, stencil.touching_pairs(rows), SEED + 100), "predictions")
+    return episodes.corrections(rows, pred, None, SEED)
 
 
 @query("prm_episode")
 def prm_episode(spark, sf):
-    return op.episode_rows(fx.voxels(spark, sf), SEED)
+    return episodes.episode(staged(fx.voxels(spark, sf), "voxels"), SEED)
+
+
+@query("prm_episode_map")
+def prm_episode_map(spark, sf):
+    """The prompt map of every instance's replayed rounds, over the places of its slice's foreground."""
+    rows = staged(fx.voxels(spark, sf), "voxels")
+    points = episodes.replayed(episodes.episode(rows, SEED))
+    maps = op.point_map(scores.first_points(points, op.INSTANCE), op.INSTANCE, fx.HEIGHT, fx.WIDTH, 30.0)
+    inside = rows.select("vol", "z", "y", "x", "label").withColumn("mask", F.lit(1))
+    return maps.join(inside, ["vol", "z", "y", "x", "label"]).withColumn("prompt", F.round("prompt", 6))
 
 
 @query("prm_one_click", BAND + "select vol, z, label, y, x from cand qualify row_number() over (partition by vol, z, label order by d2 desc, y, x) = 1")
@@ -183,12 +200,20 @@ def prm_one_click_biased(spark, sf):
 
 @query("prm_next_click")
 def prm_next_click(spark, sf):
-    return op.next_clicks(fx.voxels(spark, sf), SEED)
+    rows = staged(fx.voxels(spark, sf), "voxels")
+    pred = staged(op.simulated_places(rows, stencil.touching_pairs(rows), SEED + 100), "predictions")
+    return episodes.next_click(rows, pred, None, SEED)[0]
 
 
 @query("prm_episode_plus")
 def prm_episode_plus(spark, sf):
-    return op.episode_plus_rows(fx.voxels(spark, sf), SEED)
+    return episodes.episode_plus(staged(fx.voxels(spark, sf), "voxels"), SEED)[0]
+
+
+@query("prm_episode_plus_state")
+def prm_episode_plus_state(spark, sf):
+    """What is left of the predictions after the last click: places of every instance."""
+    return episodes.episode_plus(staged(fx.voxels(spark, sf), "voxels"), SEED)[1]
 
 
 def slice_boxes(rows):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import splits as op
 from strataloom.operators.clean import uniform
+from strataloom.operators.numbering import ranked
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
+from strataloom.sources.stage import staged
 
 ALL = DUCK + """
 , every as (
@@ -88,6 +90,13 @@ def spl_subset_targets(spark, sf):
     return op.subset_targets(fx.slices(spark, sf), [5, 0, 3, 61]).select("vol", "task", "orientation", "n")
 
 
+@query("spl_subset_interleaved", DUCK + """
+, c as (select unnest([5, 0, 3, 61]) as vol, unnest([0, 1, 2, 3]) as task)
+select vol, task, orientation, n, row_number() over (order by task, n, orientation = 'yz') - 1 as position from slices join c using (vol) where orientation <> 'xy'""")
+def spl_subset_interleaved(spark, sf):
+    return op.subset_targets(fx.slices(spark, sf), [5, 0, 3, 61], ["xz", "yz"]).select("vol", "task", "orientation", "n", "position")
+
+
 @query("smp_source_weights", DUCK + "select vol % 25 as source, vol, orientation, n, 1.0::double / count(*) over (partition by vol % 25) as weight from slices")
 def smp_source_weights(spark, sf):
     return op.source_weights(fx.slices(spark, sf).withColumn("source", F.expr("vol % 25"))).select("source", "vol", "orientation", "n", "weight")
@@ -108,18 +117,17 @@ def smp_shuffle_batches(spark, sf):
 , p as (select vol, orientation, n, row_number() over (order by vol, orientation, n) - 1 as position from slices)
 select vol, orientation, n, cast(position as bigint) as position from p where position % 3 = 1""")
 def smp_round_robin_shard(spark, sf):
-    rows = op.numbered(fx.slices(spark, sf), ["vol"], ["orientation", "n"], "position")
+    rows = ranked(fx.slices(spark, sf), ["vol", "orientation", "n"], place="position")
     return op.shard(rows, "position", 1, 3).select("vol", "orientation", "n", "position")
 
 
 @query("smp_retry_fallback")
 def smp_retry_fallback(spark, sf):
     keys = ["vol", "orientation", "n"]
-    rows = every(spark, sf)
+    rows = staged(every(spark, sf), "slices")
     # The fuller a slice, the likelier an attempt is valid; from 64 places on it always is.
-    attempts = rows.filter("n_fg > 0").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(79))))
-    valid = attempts.filter(uniform(7, *keys, "attempt") < F.col("n_fg") / 64)
-    return op.retry_fallback(rows.select(*keys), valid.select(*keys, "attempt"), keys, 3)
+    prompted = lambda attempts: attempts.join(rows, keys).filter((F.col("n_fg") > 0) & (uniform(7, *keys, "attempt") < F.col("n_fg") / 64))
+    return op.retry_fallback(rows.select(*keys), prompted, keys, 3)
 
 
 @query("bat_collate", """

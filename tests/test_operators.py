@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import kernels
-from strataloom.operators import catalog, clean, prompts, scores, splits
+from strataloom.operators import blocks, catalog, chunks, clean, prompts, scores, splits
 
 
 def rows_of(frame):
@@ -44,16 +44,28 @@ def test_chunks_are_no_longer_than_the_volume():
     assert catalog.capped((10, 512, 512, 32), (6, 600, 40, 32)) == (6, 512, 40, 32)
 
 
-def test_blocks_are_written_whole_and_in_order(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, z, y, x, 100 * z + 10 * y + x) for z in range(3) for y in range(5) for x in range(4)], "source int, vol int, z int, y int, x int, label int")
-    catalog.write_blocks(catalog.block_keys(rows, (2, 3, 4)), str(tmp_path / "b"))
+def test_chunks_are_written_whole_and_in_order(spark, tmp_path):
+    rng, shape, n = np.random.default_rng(1), (5, 7, 6), 13
+    array = rng.integers(0, 5, (n, *shape)).astype(np.float32)
+    names = [f"c{k}" for k in range(n)]
+    rows = spark.createDataFrame([(v, z, y, x, *array[:, z, y, x].tolist()) for v in (3, 4) for z, y, x in np.ndindex(shape)], "vol int, z int, y int, x int, " + ", ".join(f"{c} float" for c in names))
+    volumes = spark.createDataFrame([(v, *shape) for v in (3, 4)], "vol int, nz int, ny int, nx int")
+    tile = catalog.capped((2, 16, 4), shape)
+    held = blocks.to_blocks(rows, volumes, tile, dict.fromkeys(names, "float32")).withColumn("source", F.lit(8))
+    chunks.write(chunks.chunked(held, names, "float32"), str(tmp_path / "b"))
     back = spark.read.parquet(str(tmp_path / "b"))
-    assert rows_of(back.select(*rows.columns)) == rows_of(rows)
-    per_file = back.withColumn("file", F.input_file_name())
-    assert per_file.groupBy("vol", "bz", "by", "bx").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
-    for file in {r.file for r in per_file.select("file").distinct().collect()}:
-        places = [(r.bz, r.by, r.bx, r.z, r.y, r.x) for r in spark.read.parquet(file).coalesce(1).collect()]
-        assert places == sorted(places)
+    assert {r.dc for r in back.filter("bc = 0").collect()} == {10} and {r.dc for r in back.filter("bc = 1").collect()} == {3}
+    assert back.count() == 2 * 2 * 3 * 1 * 2
+    for r in back.collect():
+        part = array[10 * r.bc : 10 * r.bc + r.dc, r.z0 : r.z0 + r.dz, r.y0 : r.y0 + r.dy, r.x0 : r.x0 + r.dx]
+        assert (np.frombuffer(r.data, np.float32).reshape(r.dc, r.dy, r.dx, r.dz) == part.transpose(0, 2, 3, 1)).all()
+    for file in {r.f for r in back.select(F.input_file_name().alias("f")).distinct().collect()}:
+        keys = [tuple(r[c] for c in chunks.ORDER) for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert keys == sorted(keys)
+    found = {(r.vol, r.z, r.y, r.x, r.bc): r["values"] for r in chunks.voxels(back, "float32").collect()}
+    for v, (z, y, x), bc in ((v, at, bc) for v in (3, 4) for at in np.ndindex(shape) for bc in (0, 1)):
+        own = array[10 * bc : 10 * bc + 10, z, y, x].tolist()
+        assert found.get((v, z, y, x, bc)) == (own if any(own) else None)
 
 
 def test_bad_array_files_give_failed_rows():
@@ -102,12 +114,23 @@ def test_retries_then_replacements(spark):
     # Even samples have a first valid attempt k % 3; a few odd ones only give replacements.
     valid = samples.filter("k % 2 = 0").withColumn("attempt", F.explode(F.sequence((F.col("k") % 3).cast("int"), F.lit(2))))
     valid = valid.unionByName(samples.filter("k in (4, 7)").withColumn("attempt", F.explode(F.sequence(F.lit(tries), F.lit(tries + more * 10 - 1)))))
-    found = {r.k: r for r in splits.retry_fallback(samples, valid, ["k"], 3, tries, more * 10).collect()}
+    asked = []
+
+    def among(rows):
+        def prompted(attempts):
+            asked.append(attempts.count())
+            return attempts.join(rows, ["k", "attempt"], "left_semi")
+
+        return prompted
+
+    found = {r.k: r for r in splits.retry_fallback(samples, among(valid), ["k"], 3, tries, more * 10).collect()}
+    # Samples with a prompt are not tried again.
+    assert asked[:2] == [40, 2 * (40 - 7)]
     assert len(found) == 40
     for k, r in found.items():
         assert (r.used_k, r.attempt) == (k, k % 3) if k % 2 == 0 else (r.used_k in (4, 7) and r.attempt >= tries)
     with pytest.raises(Exception, match="no replacement"):
-        splits.retry_fallback(samples, valid.filter("attempt < 3"), ["k"], 3, tries, more).collect()
+        splits.retry_fallback(samples, among(valid.filter("attempt < 3")), ["k"], 3, tries, more).collect()
 
 
 def test_multistep_loss_by_hand(spark):

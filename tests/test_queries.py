@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom import registry
-from strataloom.functions import episodes, kernels
+from strataloom.functions import kernels
 from strataloom.operators import descriptors, prompts, splits, stencil
 from strataloom.sources import fixture as fx
 
@@ -125,15 +125,8 @@ def test_tiles_equal_whole_instances(spark):
         assert pairs.count() == whole.count() and worst < 1e-9
 
 
-def test_components_do_not_depend_on_tiles(spark):
-    rows, shape = fx.merged(spark, DATA).filter("vol < 2"), (fx.DEPTH, fx.HEIGHT, fx.WIDTH)
-    one, other = (set(map(tuple, stencil.volume_components(rows, shape, t).collect())) for t in (shape, (4, 8, 16)))
-    assert one == other
-
-
 def test_empty_tables(spark):
     empty = fx.voxels(spark, DATA).filter("vol < 0")
-    assert stencil.slice_components(empty).count() == 0
     assert stencil.touching_pairs(empty).count() == 0
     assert stencil.instance_edt(empty).count() == 0
 
@@ -239,7 +232,7 @@ def test_bad_predictions_follow_their_rules(spark, odds):
     pairs = stencil.touching_pairs(rows).cache()
     for r in pairs.collect():
         near.setdefault((r.vol, r.z, r.label), set()).add(r.other)
-    places = prompts.simulated_places(rows, pairs, 5, dataclasses.replace(episodes.RULES, merge_odds=odds)).cache()
+    places = prompts.simulated_places(rows, pairs, 5, dataclasses.replace(prompts.SPOILING, merge_odds=odds)).cache()
     pred = {}
     for r in places.collect():
         pred.setdefault((r.vol, r.z, r.label), {})[r.y, r.x] = r.mine
@@ -272,7 +265,7 @@ def test_bad_predictions_follow_their_rules(spark, odds):
 def test_merged_predictions_erode_as_a_whole(spark):
     # Two 9 x 9 squares side by side; merging everything and eroding k times leaves the joint rectangle's inside.
     rows = spark.createDataFrame([(v, 0, y, x, 1 + x // 9) for v in range(40) for y in range(9) for x in range(18)], "vol int, z int, y int, x int, label int")
-    rules = dataclasses.replace(episodes.RULES, merge_odds=0.5, merge_share=1.0)
+    rules = dataclasses.replace(prompts.SPOILING, merge_odds=0.5, merge_share=1.0)
     found = {}
     for r in prompts.simulated_places(rows, stencil.touching_pairs(rows), 5, rules).collect():
         found.setdefault((r.vol, r.label), set()).add((r.y, r.x))
