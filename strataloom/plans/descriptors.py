@@ -45,7 +45,7 @@ def rounded(frame):
 
 @query("lsd_instance_3d", DUCK + lsd_sql("voxels", "yxz", "vol, label", 2))
 def lsd_instance_3d(spark, sf):
-    return rounded(descriptors.instance_3d(fx.voxels(spark, sf), SHAPE))
+    return rounded(descriptors.volume_3d(fx.voxels(spark, sf), SHAPE, (8, 16, 16)))
 
 
 LEADS = """

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.operators import blocks, stencil
 from strataloom.operators import scores as op
-from strataloom.operators import stencil
-from strataloom.plans.stencil import EDT, PAIRS, V2
+from strataloom.plans.stencil import EDT, PAIRS, V2, tiles
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
@@ -176,11 +176,10 @@ def agg_epoch_mean(spark, sf):
 t as (select vol, z, label, count(*) as n from touch group by all)
 select vol, z, label, coalesce(t.n, 0) as neighbours, round(least(1, 0.15 * coalesce(t.n, 0) + 0.5 * ratio), 6) as difficulty from b left join t using (vol, z, label)""")
 def agg_difficulty(spark, sf):
-    rows = fx.voxels(spark, sf)
-    ratio = stencil.instance_edt(rows).groupBy("vol", "z", "label").agg((F.count_if(F.col("d2") <= 4) / F.count("*")).alias("ratio"))
-    near = stencil.touching_pairs(rows).groupBy("vol", "z", "label").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return ratio.join(near, ["vol", "z", "label"], "left").select("vol", "z", "label", n.alias("neighbours"), F.round(F.least(F.lit(1.0), 0.15 * n + 0.5 * F.col("ratio")), 6).alias("difficulty"))
+    found = blocks.contacts(tiles(fx.voxels(spark, sf), spark, sf))
+    # Steps of 2 at most are the offsets of a squared distance of 4 at most.
+    n, ratio = F.size("others").cast("long"), F.col("near") / F.col("places")
+    return found.select("vol", "z", "label", n.alias("neighbours"), F.round(F.least(F.lit(1.0), 0.15 * n + 0.5 * ratio), 6).alias("difficulty"))
 
 
 @query("agg_run_summary", """

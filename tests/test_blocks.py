@@ -109,6 +109,26 @@ def test_long_runs_meet_once(spark):
     assert runs.count() == 4 and {r.component for r in runs.collect()} == {1}
 
 
+@pytest.mark.parametrize("tile", TILES)
+def test_contacts_equal_whole_slices(rows, volumes, arrays, tile):
+    if min(tile[1:]) < 2:
+        return
+    got = {(r.vol, r.z, r.label): (r.places, r.near, r.others) for r in blocks.contacts(tiled(rows, volumes, tile)).collect()}
+    want = {}
+    for v, a in arrays.items():
+        for z, frame in enumerate(a):
+            for label in set(frame.ravel().tolist()) - {0}:
+                mask = frame == label
+                hit = np.pad(frame, 2, constant_values=-1)
+                close, others = np.zeros(mask.shape, bool), set()
+                for dy, dx in ((y, x) for y in range(-2, 3) for x in range(-2, 3) if 0 < abs(y) + abs(x) <= 2):
+                    there = hit[2 + dy : 2 + dy + frame.shape[0], 2 + dx : 2 + dx + frame.shape[1]]
+                    close |= there != label
+                    others |= set(there[mask].tolist())
+                want[v, z, label] = (mask.sum(), (close & mask).sum(), sorted(others - {0, -1, label}))
+    assert got == want
+
+
 @pytest.mark.parametrize(("tile", "deep"), [((2, 8, 8), 8), ((1, 8, 16), 5), ((8, 64, 64), 64), ((3, 16, 8), 3)])
 def test_prompt_reach_equals_whole_slices(spark, tile, deep):
     rng = np.random.default_rng(2)

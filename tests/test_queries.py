@@ -117,7 +117,7 @@ def test_batches_are_full_permutations(spark):
 def test_tiles_equal_whole_instances(spark):
     rows = fx.voxels(spark, DATA).filter("vol < 2")
     shape = (fx.DEPTH, fx.HEIGHT, fx.WIDTH)
-    whole = descriptors.instance_3d(rows, shape)
+    whole = descriptors.volume_3d(rows, shape, shape)
     for tile in ((4, 8, 8), (8, 32, 10)):
         tiled = descriptors.volume_3d(rows, shape, tile).withColumnRenamed("lsd", "other")
         pairs = whole.join(tiled, [*PLACE, "label"])
