@@ -15,12 +15,14 @@ def minmax(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return found.withColumn("norm", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))).drop("_lo", "_hi")
 
 
-def raw_uint8(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rows`` with ``byte``: finite values scaled to 0..255, half to even; others 0."""
+def raw_uint8(rows: DataFrame, keys: list[str], value: str, is_byte: Column | None = None) -> DataFrame:
+    """``rows`` with ``byte``: finite values scaled to 0..255, half to even; others 0. Rows that hold bytes already (``is_byte``) keep them."""
     finite = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.col(value))
     ends = rows.groupBy(*keys).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
     scaled = (finite - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255
     byte = F.when((F.col("_hi") > F.col("_lo")) & finite.isNotNull(), F.least(F.greatest(F.bround(scaled), F.lit(0.0)), F.lit(255.0))).otherwise(F.lit(0.0))
+    if is_byte is not None:
+        byte = F.when(is_byte, F.col(value)).otherwise(byte)
     return rows.join(ends, keys).withColumn("byte", byte.cast("int")).drop("_lo", "_hi")
 
 
@@ -133,6 +135,18 @@ def center_crop(rows: DataFrame, shape: tuple[int, int], size: int) -> DataFrame
     return rows
 
 
+def padded(rows: DataFrame, planes: DataFrame, keys: list[str], sides: dict[str, Column | int], value: str = "label") -> DataFrame:
+    """(keys, axes of ``sides``, value): every place of each row of ``planes`` up to its sides, 0 where ``rows`` has none.
+
+    What a crop or a network needs that is larger than the plane or volume: zeros at the end.
+    """
+    grid = planes.select(*keys, *(F.lit(n).alias(f"_n_{a}") if isinstance(n, int) else n.alias(f"_n_{a}") for a, n in sides.items()))
+    for axis in sides:
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0), F.col(f"_n_{axis}") - 1)))
+    found = grid.join(rows.select(*keys, *sides, value), [*keys, *sides], "left")
+    return found.select(*keys, *sides, F.coalesce(value, F.lit(0)).alias(value))
+
+
 def uniform(seed: int, *keys: str) -> Column:
     """A number in [0, 1) by a hash of the seed and the keys, whatever the partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import kernels
@@ -165,6 +165,24 @@ def slice_crops(slices: DataFrame, crops: DataFrame, size: int, shape: tuple[int
 MOST_PICKED = 50_000
 
 
+def surviving(crops: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``crops`` (vol, z, label, y0, x0) whose label is null where erosion inside the window leaves nothing of it.
+
+    A place goes where a neighbour in its window has another label or none;
+    beyond the window nothing erodes.
+    """
+    window = crops.filter("label is not null").select(*INSTANCE, "y0", "x0")
+    inside = F.col("y").between(F.col("y0"), F.col("y0") + size - 1) & F.col("x").between(F.col("x0"), F.col("x0") + size - 1)
+    own = rows.select("vol", "z", "y", "x", "label").join(window, INSTANCE).filter(inside)
+    place = ["vol", "z", "y", "x", "label"]
+    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))))
+    met = own.select("*", steps.alias("s")).select("vol", "z", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), "label")
+    met = met.groupBy(*place).agg(F.count("*").alias("_n"))
+    edges = sum((e.cast("int") for e in (F.col("y") == F.col("y0"), F.col("x") == F.col("x0"), F.col("y") == F.col("y0") + size - 1, F.col("x") == F.col("x0") + size - 1)), F.lit(0))
+    left = own.join(met, place).filter(F.col("_n") + edges == 4).select(*INSTANCE).distinct().withColumn("_left", F.lit(True))
+    return crops.join(left, INSTANCE, "left").withColumn("label", F.when(F.col("_left"), F.col("label"))).drop("_left")
+
+
 def spread_points(places: DataFrame, most: int, wanted: DataFrame | None = None, seed: int | None = None) -> DataFrame:
     """(instance, rank, y, x): up to ``most`` points spread over the places (instance, y, x, d2) of each instance, staged.
 
@@ -267,15 +285,18 @@ def one_click(edt: DataFrame, threshold: float, seed: int = 0, bias: float = 1.0
     return best.filter("o is not null").select(*INSTANCE, pick.alias("p")).select(*INSTANCE, "p.y", "p.x")
 
 
-def instance_crops(boxes: DataFrame, pairs: DataFrame, size: int, shape: tuple[int, int], seed: int, draws: int = 48, halo: int = 28, jitter: int = 10, chosen: DataFrame | None = None) -> DataFrame:
+def instance_crops(boxes: DataFrame, pairs: DataFrame, size: int, shape: tuple[int, int], seed: int, draws: int = 48, halo: int = 28, jitter: int = 10, chosen: DataFrame | None = None, most: int = 8) -> DataFrame:
     """(instance, y0, x0, overlap): the window of ``size`` around each instance (of ``chosen``) that covers most of it and its neighbours.
 
     Of ``draws`` jittered windows that cover the instance's box the one with the
-    largest overlap with the joint box, grown by the halo.
+    largest overlap with the joint box, grown by the halo. Of more than ``most``
+    touching neighbours random ones are in the joint box.
     """
     targets = boxes
     if chosen is not None:
         targets, pairs = (rows.join(chosen, INSTANCE, "left_semi") for rows in (boxes, pairs))
+    turn = F.row_number().over(Window.partitionBy(*INSTANCE).orderBy(F.xxhash64(F.lit(seed), *INSTANCE, "other"), "other"))
+    pairs = pairs.withColumn("_turn", turn).filter(F.col("_turn") <= most).drop("_turn")
     near = pairs.join(boxes.select("vol", "z", F.col("label").alias("other"), *(F.col(c).alias(f"n_{c}") for c in ("lo_y", "lo_x", "hi_y", "hi_x"))), ["vol", "z", "other"])
     joint = near.groupBy(*INSTANCE).agg(*(F.min(f"n_lo_{k}").alias(f"m_lo_{k}") for k in "yx"), *(F.max(f"n_hi_{k}").alias(f"m_hi_{k}") for k in "yx"))
     rows = targets.join(joint, INSTANCE, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import kernels
 from strataloom.operators import blocks, chunks
 from strataloom.operators import catalog as op
+from strataloom.plans.prompts import exported
 from strataloom.registry import query
 from strataloom.sources import fixture as fx
 from strataloom.sources.fixture import DUCK
@@ -154,6 +155,28 @@ def sink_prompt_tables(spark, sf):
     return boxes.unionByName(points, True).unionByName(slices, True).fillna(-1).select("kind", "source", "layer", "label_id", "point_id", "x0", "y0", "x1", "y1")
 
 
+@query("sink_prompt_export")
+def sink_prompt_export(spark, sf):
+    """The whole export written and reread: points, boxes, label slices (as runs of rows) and the list of slices; a row for each."""
+    points, saved = exported(spark, sf)
+    named = lambda rows: rows.withColumn("source", F.expr("vol % 25")).withColumn("layer", F.expr("lpad(cast(vol * 8 + z as string), 6, '0')")).drop("vol", "z")
+    saved = named(saved)
+    each = saved.groupBy("source", "layer")
+    tables = {
+        "point": named(points),
+        "box": saved.groupBy("source", "layer", "label_id").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1")),
+        "label": saved,
+        "slice": each.agg(F.count_distinct("label_id").alias("instance_count")),
+    }
+    kinds = {"point": "label_id int, point_id int, x int, y int", "box": "label_id int, x0 int, y0 int, x1 int, y1 int", "label": "y int, x0 int, x1 int, label_id int", "slice": "instance_count int"}
+    path, found = new_path(spark, "prompts"), None
+    op.write_prompts(path, {name: rows.select("source", "layer", *(c.split()[0] for c in kinds[name].split(", "))) for name, rows in tables.items()})
+    for name, columns in kinds.items():
+        own = spark.read.schema(f"layer string, {columns}, source int").csv(f"{path}/{name}", header=True).withColumn("kind", F.lit(name))
+        found = own if found is None else found.unionByName(own, True)
+    return found.select("kind", "source", "layer", "label_id", "point_id", "x", "y", "x0", "y0", "x1", "y1", "instance_count")
+
+
 @query("sink_manifest", DUCK + """
 , s as (select vol % 25 as source, case when n_fg is null then 'empty' when (vol + z) % 3 = 0 then 'skipped' else 'exported' end as status
   from (select distinct vol, z from grid) left join (select vol, n as z, n_fg from slices where orientation = 'xy') using (vol, z)),

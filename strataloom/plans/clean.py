@@ -20,16 +20,16 @@ def prj_minmax(spark, sf):
     return op.minmax(fx.dense(spark, sf), ["vol", "z"], "raw").select("vol", "z", "y", "x", "norm")
 
 
-RAW = "case when (z * 7 + y * 5 + x * 3 + vol) % 41 = 0 then {nan} when (y + x) % 97 = 5 then {inf} when vol % 9 = 0 then 3e0 else raw * 1.5e0 end"
+RAW = "case when vol % 9 <> 1 and (z * 7 + y * 5 + x * 3 + vol) % 41 = 0 then {nan} when vol % 9 <> 1 and (y + x) % 97 = 5 then {inf} when vol % 9 = 0 then 3e0 when vol % 9 = 1 then raw else raw * 1.5e0 end"
 
 
 @query("prj_raw_uint8", DUCK + f"""
 , r as (select vol, z, y, x, {RAW.format(nan="'nan'::double", inf="'inf'::double")} as v from dense),
 m as (select vol, z, min(v) filter (isfinite(v)) lo, max(v) filter (isfinite(v)) hi from r group by all)
-select vol, z, y, x, case when hi > lo and isfinite(v) then cast(round_even((v - lo) / (hi - lo) * 255, 0) as int) else 0 end as byte from r join m using (vol, z)""")
+select vol, z, y, x, case when vol % 9 = 1 then cast(v as int) when hi > lo and isfinite(v) then cast(round_even((v - lo) / (hi - lo) * 255, 0) as int) else 0 end as byte from r join m using (vol, z)""")
 def prj_raw_uint8(spark, sf):
     rows = fx.dense(spark, sf).withColumn("v", F.expr(RAW.format(nan="double('NaN')", inf="double('Infinity')")))
-    return op.raw_uint8(rows, ["vol", "z"], "v").select("vol", "z", "y", "x", "byte")
+    return op.raw_uint8(rows, ["vol", "z"], "v", F.expr("vol % 9 = 1")).select("vol", "z", "y", "x", "byte")
 
 
 RGB = DUCK + ", rgb as (select vol, z, y, x, label*37 % 256 r, label*91 % 256 g, label*151 % 256 b from dense)"
@@ -128,6 +128,28 @@ def prj_center_crop(spark, sf):
     return op.center_crop(fx.voxels(spark, sf), (32, 32), 20)
 
 
+PLANES = "(select distinct vol, z from grid) p"
+
+
+@query("prj_pad_crop", DUCK + f"""
+select p.vol, p.z, cast(a.i as int) as y, cast(b.i as int) as x, coalesce(v.label, 0) as label
+from {PLANES} cross join range(36) a(i) cross join range(36) b(i) left join voxels v on v.vol = p.vol and v.z = p.z and v.y = a.i and v.x = b.i""")
+def prj_pad_crop(spark, sf):
+    """A crop that is larger than the plane: rows of zeros at the end."""
+    planes = fx.grid(spark, sf).select("vol", "z").distinct()
+    cropped = op.center_crop(fx.voxels(spark, sf), (32, 32), 36)
+    return op.padded(cropped, planes, ["vol", "z"], {"y": 36, "x": 36}).select("vol", "z", "y", "x", "label")
+
+
+@query("prj_pad_voxels", DUCK + """
+select p.vol, cast(a.i as int) as z, cast(b.i as int) as y, cast(c.i as int) as x, coalesce(v.label, 0) as label
+from (select distinct vol from seeds) p cross join range(9) a(i) cross join range(33) b(i) cross join range(33) c(i) left join voxels v on v.vol = p.vol and v.z = a.i and v.y = b.i and v.x = c.i""")
+def prj_pad_voxels(spark, sf):
+    """Volumes padded at the end to sides that 3 divides."""
+    sides = {k: op.padded_size(F.col(f"n{k}"), 3) for k in "zyx"}
+    return op.padded(fx.voxels(spark, sf), fx.volumes(spark, sf), ["vol"], sides).select("vol", "z", "y", "x", "label")
+
+
 @query("prj_random_crop")
 def prj_random_crop(spark, sf):
     return op.random_crop(fx.voxels(spark, sf), (32, 32), 20, 1998, ["vol", "z"])

@@ -27,14 +27,14 @@ def lsd_sql(rows: str, axes: str, keys: str, step: int) -> str:
     channels = [clip(f"(u{a} - {a}t * {step}) / 5 * 0.5 + 0.5") for a in axes] + [clip(f"{var(a)} / 25") for a in axes]
     channels += [clip(f"(coalesce(s{a}{b}, 0) / mm - u{a} * u{b}) / sqrt({var(a)} * {var(b)}) * 0.5 + 0.5") for a, b in pairs] + [clip("mm")]
     origin = ", ".join(f"greatest(min({a}) - 15, 0) as o{a}" for a in axes)
-    return f""", {k}, base as (select * from {rows}),
+    return f""", {k}, base as materialized (select * from {rows}),
 org as (select {keys}, {origin} from base group by {keys}),
-place as (select base.*, {', '.join(f'{at(a)} as {a}t' for a in axes)}, {' and '.join(f'({a} - o{a}) % {step} = 0' for a in axes)} as on_grid from base join org using ({keys})),
+place as materialized (select base.*, {', '.join(f'{at(a)} as {a}t' for a in axes)}, {' and '.join(f'({a} - o{a}) % {step} = 0' for a in axes)} as on_grid from base join org using ({keys})),
 tgt as (select distinct {keys}, {', '.join(f'{a}t' for a in axes)} from place),
 src as (select {keys}, {', '.join(f'{a}t as {a}s' for a in axes)} from place where on_grid),
 pairs_ as (select {', '.join(f't.{c.strip()}' for c in keys.split(','))}, {', '.join(f't.{a}t, s.{a}s' for a in axes)}, {weight} as w
   from tgt t join src s using ({keys}) {' '.join(f'join kn k{a} on k{a}.d = s.{a}s - t.{a}t' for a in axes)}),
-mom as (select {keys}, {', '.join(f'{a}t' for a in axes)}, {', '.join(sums)} from pairs_ group by all),
+mom as materialized (select {keys}, {', '.join(f'{a}t' for a in axes)}, {', '.join(sums)} from pairs_ group by all),
 fin as (select tgt.*, coalesce(nullif(m, 0), 1) as mm, {', '.join(f'coalesce(s{a} / m, 0) as u{a}' for a in axes)}, * exclude ({keys}, m, {', '.join(f'{a}t, s{a}' for a in axes)}) from tgt left join mom using ({keys}, {', '.join(f'{a}t' for a in axes)}))
 select vol, z, y, x, label, [{', '.join(channels)}] as lsd from place join fin using ({keys}, {', '.join(f'{a}t' for a in axes)})"""
 

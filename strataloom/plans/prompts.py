@@ -232,4 +232,5 @@ def prm_instance_crop_one(spark, sf):
     rows = fx.voxels(spark, sf)
     boxes = slice_boxes(rows)
     crops = op.instance_crops(boxes, stencil.touching_pairs(rows), 20, (32, 32), SEED, halo=2, jitter=3, chosen=op.one_instance(boxes, SEED))
-    return op.slice_crops(fx.grid(spark, sf).select("vol", "z").distinct(), crops, 20, (32, 32))
+    found = op.slice_crops(fx.grid(spark, sf).select("vol", "z").distinct(), crops, 20, (32, 32))
+    return op.surviving(found, rows, 20)

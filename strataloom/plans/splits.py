@@ -71,7 +71,7 @@ def spl_patch_index(spark, sf):
     return patches(spark, sf)
 
 
-@query("spl_patch_slab_join", PATCHES + "select vol, orientation, z0, n - z0 as z, n_fg from patches join slices using (vol, orientation) where n between z0 and z0 + 3")
+@query("spl_patch_slab_join", PATCHES + "select p.vol, p.orientation, z0, k as z, n_fg from (select *, unnest([0, 1, 2, 3]) as k from patches) p join slices s on s.vol = p.vol and s.orientation = p.orientation and s.n = z0 + k")
 def spl_patch_slab_join(spark, sf):
     return op.slab_join(patches(spark, sf), fx.slices(spark, sf), 4).select("vol", "orientation", "z0", "z", "n_fg")
 

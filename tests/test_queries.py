@@ -277,3 +277,31 @@ def test_merged_predictions_erode_as_a_whole(spark):
         assert len(fits) == 1
         shapes[joint, fits[0] > 0] += 1
     assert len(found) == 80 and len(shapes) == 4
+
+
+def test_the_export_is_written_whole(spark):
+    found = run(spark, "sink_prompt_export").cache()
+    n = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    points = {(r.layer, r.label_id, r.point_id, r.x, r.y) for r in found.filter("kind = 'point'").collect()}
+    assert points == {(f"{r.vol * 8 + r.z:06d}", r.label_id, r.point_id, r.x, r.y) for r in run(spark, "prm_export_points").collect()}
+    boxes = {(r.layer, r.label_id): (r.x0, r.y0, r.x1, r.y1) for r in found.filter("kind = 'box'").collect()}
+    assert boxes == {(f"{r.vol * 8 + r.z:06d}", r.label_id): (r.x0, r.y0, r.x1, r.y1) for r in run(spark, "agg_box_prompts").collect()}
+    saved = {(r.layer, r.y, x): r.label_id for r in found.filter("kind = 'label'").collect() for x in range(r.x0, r.x1 + 1)}
+    assert saved == {(f"{r.vol * 8 + r.z:06d}", r.y, r.x): r.label_id for r in run(spark, "agg_renumber").filter("label_id > 0").collect()}
+    assert n["point"] == 5 * n["box"] and found.filter("kind = 'slice'").agg(F.sum("instance_count")).first()[0] == n["box"]
+
+
+def test_crops_lose_an_instance_that_erosion_removes(spark):
+    # A bar of two rows goes, a square of three stays, and at the window's edge nothing erodes.
+    rows = [(1, 0, y, x, 1) for y in (5, 6) for x in range(3, 9)] + [(1, 1, y, x, 2) for y in range(4, 7) for x in range(4, 7)] + [(1, 2, y, x, 3) for y in range(4, 6) for x in range(0, 8)]
+    rows = spark.createDataFrame(rows, "vol int, z int, y int, x int, label int")
+    crops = spark.createDataFrame([(1, 0, 1, 0, 0), (1, 1, 2, 2, 2), (1, 2, 3, 4, 2), (1, 3, None, 2, 2)], "vol int, z int, label int, y0 int, x0 int")
+    assert {r.z: r.label for r in prompts.surviving(crops, rows, 10).collect()} == {0: None, 1: 2, 2: 3, 3: None}
+
+
+def test_random_neighbours_of_a_crop(spark):
+    boxes = spark.createDataFrame([(1, 0, k, 10 * k, 0, 10 * k + 5, 5) for k in range(12)], "vol int, z int, label int, lo_y int, lo_x int, hi_y int, hi_x int")
+    pairs = spark.createDataFrame([(1, 0, 5, k) for k in range(12) if k != 5], "vol int, z int, label int, other int")
+    own = boxes.filter("label = 5").select("vol", "z", "label")
+    wide, narrow = (prompts.instance_crops(boxes, pairs, 130, (130, 130), 3, halo=0, chosen=own, most=n).first().overlap for n in (11, 1))
+    assert wide == 115 * 5 and narrow < wide
