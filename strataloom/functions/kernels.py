@@ -1,38 +1,12 @@
-"""Small numpy helpers for groups that fit one task: a slice, a tile, a crop."""
+"""Small numpy helpers for arrays that fit one task: a tile, a crop, a sample."""
 
 from __future__ import annotations
 
 import hashlib
-import io
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
-
-
-def volume_to_npy(rows: pd.DataFrame) -> pd.DataFrame:
-    """One volume's voxels as the bytes of a 4-D array file (channel, y, x, z)."""
-    out = np.zeros((1, *(int(rows[c].max()) + 1 for c in ("y", "x", "z"))), np.float32)
-    out[0, rows["y"], rows["x"], rows["z"]] = rows["label"]
-    file = io.BytesIO()
-    np.save(file, out)
-    return pd.DataFrame({"vol": [rows["vol"].iloc[0]], "content": [file.getvalue()]})
-
-
-def npy_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks (one for each row of the second axis) of 4-D array files; any other file gives one row marked failed."""
-    for batch in batches:
-        for vol, content in zip(batch["vol"], batch["content"], strict=True):
-            try:
-                data = np.load(io.BytesIO(content))
-            except (ValueError, EOFError, OSError):
-                data = None
-            if data is None or data.ndim != 4:
-                yield pd.DataFrame({"vol": [vol], "dims": [None], "block": [None], "data": [None], "failed": [True]})
-                continue
-            yield pd.DataFrame({"vol": vol, "dims": data.ndim, "block": range(data.shape[1]), "data": [data[:, i].astype(float).ravel() for i in range(data.shape[1])], "failed": False})
 
 
 def stable_seed(base: int, *parts) -> int:
@@ -80,27 +54,6 @@ def components(labels: np.ndarray, full: bool) -> np.ndarray:
     return out.reshape(labels.shape)
 
 
-def squared_edt(mask: np.ndarray) -> np.ndarray:
-    """Squared distance of each place of a mask to the nearest place outside it; beyond the frame is outside.
-
-    Exact and separable: the distance along each axis in turn, minimised over
-    all offsets of that axis (frames are crops, so the axes are short).
-    """
-    mask = np.pad(np.asarray(mask, bool), 1)
-    far = sum(s * s for s in mask.shape)
-    out = np.where(mask, far, 0).astype(np.int64)
-    for axis in range(mask.ndim):
-        line = np.moveaxis(out, axis, 0)
-        best = line.copy()
-        for step in range(1, line.shape[0]):
-            if step * step >= best.max():
-                break
-            best[step:] = np.minimum(best[step:], line[:-step] + step * step)
-            best[:-step] = np.minimum(best[:-step], line[step:] + step * step)
-        out = np.moveaxis(best, 0, axis)
-    return out[tuple(slice(1, -1) for _ in range(mask.ndim))]
-
-
 def gaussian(sigma: float, truncate: float = 3.0) -> np.ndarray:
     """Weights of radius int(truncate * sigma + 0.5), their sum 1."""
     radius = int(truncate * sigma + 0.5)
@@ -152,27 +105,6 @@ def shape_descriptor(mask: np.ndarray, sigma: float, step: int = 1, start: tuple
     return channels[(slice(None), *(slice(0, s) for s in shape))] * mask
 
 
-def to_array(rows: pd.DataFrame, columns: list[str], value: str, shape: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(array, origin) of sparse rows; the frame is their bounding box if no shape is given."""
-    at = rows[columns].to_numpy()
-    origin = np.zeros(len(columns), int) if shape else at.min(axis=0)
-    out = np.zeros(shape or tuple(at.max(axis=0) - origin + 1), rows[value].dtype)
-    out[tuple((at - origin).T)] = rows[value]
-    return out, origin
-
-
-def erode(mask: np.ndarray, times: int, outside: bool) -> np.ndarray:
-    """Binary erosion by the cross; ``outside``: whether places beyond the frame count as set."""
-    for _ in range(times):
-        padded = np.pad(mask, 1, constant_values=outside)
-        kept = mask.copy()
-        for axis in range(mask.ndim):
-            for d in (0, 2):
-                kept &= padded[tuple(slice(d, d + s) if i == axis else slice(1, 1 + s) for i, s in enumerate(mask.shape))]
-        mask = kept
-    return mask
-
-
 def spread(seed: np.ndarray, right: np.ndarray, down: np.ndarray, rounds: int) -> np.ndarray:
     """Largest product of edge weights from a seed, after so many rounds over the four directions of the last two axes."""
     reach = seed.astype(float)
@@ -184,15 +116,3 @@ def spread(seed: np.ndarray, right: np.ndarray, down: np.ndarray, rounds: int) -
         new[..., :-1, :] = np.maximum(new[..., :-1, :], reach[..., 1:, :] * down[..., :-1, :])
         reach = new
     return reach
-
-
-def farthest_points(points: np.ndarray, depth: np.ndarray, k: int, first: int) -> list[int]:
-    """Greedy choice: each next point has the largest minD**2 / (1 + depth + 1e-3), the first of equals."""
-    picked = [first]
-    gap = ((points - points[first]) ** 2).sum(axis=1).astype(float)
-    while len(picked) < min(k, len(points)):
-        score = gap / (1.0 + depth + 1e-3)
-        score[picked] = -1
-        picked.append(int(score.argmax()))
-        gap = np.minimum(gap, ((points - points[picked[-1]]) ** 2).sum(axis=1))
-    return picked

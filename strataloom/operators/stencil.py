@@ -32,15 +32,6 @@ def affinity_3d(dense: DataFrame) -> DataFrame:
     return dense
 
 
-def erode_once(dense: DataFrame, axes: str, border: int) -> DataFrame:
-    """``dense`` with ``eroded``: 0 beside another label; at the frame 0 only with border 0."""
-    keep = F.col("label") != 0
-    for axis in axes:
-        for side in (F.lag("label"), F.lead("label")):
-            keep = keep & F.coalesce(side.over(_line(axis)) == F.col("label"), F.lit(bool(border)))
-    return dense.withColumn("eroded", F.when(keep, F.col("label")).otherwise(0))
-
-
 def ball(k: int, axes: str) -> list[dict[str, int]]:
     """Offsets of an L1 distance of k at most, without the place itself."""
     spans = [range(-k, k + 1) if a in axes else [0] for a in "zyx"]

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.functions import kernels
-from strataloom.operators import blocks, chunks
+from strataloom.operators import arrays, blocks, chunks
 from strataloom.operators import catalog as op
 from strataloom.plans.prompts import exported
 from strataloom.registry import query
@@ -87,12 +86,11 @@ def src_pick_largest_3d(spark, sf):
 select vol, case when vol % 5 <> 4 then 4 else 0 end as dims, case when vol % 5 <> 4 then count(*) else 0 end as elements,
   case when vol % 5 <> 4 then cast(sum(label) as bigint) else 0 end as total, vol % 5 = 4 as failed from dense group by vol""")
 def src_npy_blocks(spark, sf):
-    files = fx.dense(spark, sf).groupBy("vol").applyInPandas(kernels.volume_to_npy, "vol int, content binary")
+    files = arrays.files(fx.dense(spark, sf), fx.volumes(spark, sf), F.col("label"))
     # Every fifth file is cut off.
     files = files.withColumn("content", F.expr("if(vol % 5 = 4, substring(content, 1, 1000), content)"))
-    blocks = files.mapInPandas(kernels.npy_blocks, "vol int, dims int, block int, data array<double>, failed boolean")
-    found = blocks.groupBy("vol", "dims", "failed").agg(F.sum(F.expr("cardinality(data)")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
-    return found.fillna(0)
+    found = arrays.blocks(files, "vol").groupBy("vol", "failed").agg(F.max(F.when(~F.col("failed"), F.size("shape"))).alias("dims"), F.sum(F.expr("cardinality(data)")).cast("long").alias("elements"), F.sum(F.expr("aggregate(data, 0D, (a, v) -> a + v)")).cast("long").alias("total"))
+    return found.select("vol", "dims", "elements", "total", "failed").fillna(0)
 
 
 @query("sink_rechunk", DUCK + """

@@ -18,6 +18,8 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from pyspark.sql import SparkSession
 
+    from strataloom.sources import stage
+
     scratch = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[*]")
@@ -33,4 +35,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    stage.clear(session)
     session.stop()

@@ -6,12 +6,10 @@ import io
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.functions import kernels
-from strataloom.operators import blocks, catalog, chunks, clean, prompts, scores, splits
+from strataloom.operators import arrays, blocks, catalog, chunks, clean, prompts, scores, splits
 
 
 def rows_of(frame):
@@ -68,17 +66,29 @@ def test_chunks_are_written_whole_and_in_order(spark, tmp_path):
         assert found.get((v, z, y, x, bc)) == (own if any(own) else None)
 
 
-def test_bad_array_files_give_failed_rows():
-    def content(data):
+def test_array_files(spark):
+    def content(data, version=None):
         file = io.BytesIO()
-        np.save(file, data)
+        np.lib.format.write_array(file, data, version)
         return file.getvalue()
 
-    whole = content(np.arange(24.0).reshape(1, 2, 3, 4))
-    files = pd.DataFrame({"vol": [0, 1, 2, 3], "content": [whole, whole[:-3], content(np.zeros((2, 2))), b""]})
-    found = pd.concat(kernels.npy_blocks(iter([files])))
-    assert list(found["failed"]) == [False, False, True, True, True]
-    assert found["data"].iloc[1].tolist() == list(range(12, 24))
+    rng, whole = np.random.default_rng(3), {}
+    for i, kind in enumerate(arrays.SIZES):
+        whole[i] = rng.integers(0, 200, (2, 3, 4, 5)).astype(kind)
+    whole[10] = rng.random((1, 2, 7, 1))
+    bad = [content(whole[0])[:-3], content(whole[0]) + b"x", content(np.zeros((2, 2))), b"", b"\x93NUMPY", content(np.asfortranarray(whole[0])), content(np.zeros((1, 0, 2, 2))), content(np.zeros((1, 1, 1, 1), complex)), None, b"no array file at all"]
+    files = [(k, bytearray(content(a, (2, 0) if k == 10 else None))) for k, a in whole.items()] + [(100 + i, None if b is None else bytearray(b)) for i, b in enumerate(bad)]
+    found = arrays.blocks(spark.createDataFrame(files, "name int, content binary"), "name").collect()
+    assert sorted(r.name for r in found if r.failed) == [100 + i for i in range(len(bad))] and all(r.data is None and r.block is None for r in found if r.failed)
+    good = {(r.name, r.block): r.data for r in found if not r.failed}
+    assert good == {(k, i): a[:, i].astype(float).ravel().tolist() for k, a in whole.items() for i in range(a.shape[1])}
+
+
+def test_written_array_files_are_numpy_files(spark):
+    array = np.random.default_rng(2).integers(0, 9, (3, 12, 11))
+    rows = spark.createDataFrame([(7, *map(int, at), int(array[at])) for at in np.ndindex(array.shape)], "vol int, z int, y int, x int, label int").repartition(4)
+    (file,) = arrays.files(rows, spark.createDataFrame([(7, *array.shape)], "vol int, nz int, ny int, nx int"), F.col("label")).collect()
+    assert (np.load(io.BytesIO(file.content)) == array.transpose(1, 2, 0)[None]).all()
 
 
 def test_shapes_that_differ_are_an_error_unless_trimmed(spark):

@@ -17,6 +17,7 @@ from strataloom import registry
 from strataloom.functions import kernels
 from strataloom.operators import descriptors, prompts, splits, stencil
 from strataloom.sources import fixture as fx
+from tests import plain as plain_forms
 
 DATA = "/root/testdata/sf0.001"
 PLACE = ["vol", "z", "y", "x"]
@@ -244,7 +245,7 @@ def test_bad_predictions_follow_their_rules(spark, odds):
             assert all(mine == (at in own) for at, mine in got.items())
             others = {next(k for k, v in found.items() if at in v) for at, mine in got.items() if not mine}
             assert len(others) <= 1 and others <= near.get((vol, z, label), set())
-            eroded = [{tuple(map(int, at)) for at in np.argwhere(kernels.erode(mask, k, False))} for k in range(5)]
+            eroded = [{tuple(map(int, at)) for at in np.argwhere(plain_forms.erode(mask, k, False))} for k in range(5)]
             if odds == 0 or (vol, z, label) not in near:
                 assert set(got) in eroded[1:]
                 kinds["eroded"] += 1
