@@ -85,8 +85,7 @@ def test_stencils_equal_whole_arrays(rows, volumes, arrays, tile):
             assert (got[v] == np.where(keep, a, 0)).all()
 
 
-@pytest.mark.parametrize("tile", TILES)
-@pytest.mark.parametrize("most", [0, 1 << 20])
+@pytest.mark.parametrize(("tile", "most"), [(TILES[0], 0), *((t, 1 << 20) for t in TILES[:3])])
 def test_components_equal_whole_arrays(rows, volumes, arrays, tile, most):
     found = blocks.components(tiled(rows, volumes, tile), (8, 40, 16), most)
     got = gathered(blocks.from_blocks(found, {"c": ("component", "int32", "int")}), "c", arrays)

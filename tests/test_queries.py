@@ -55,12 +55,21 @@ def run(spark, name):
     return registry.queries()[name](spark, DATA)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+#: Queries of many steps: ``test_episodes`` holds what they are made of, and runs it twice.
+LONG = {"prm_correction", "prm_episode", "prm_episode_map", "prm_episode_plus", "prm_episode_plus_state", "prm_export_points", "prm_initial", "prm_next_click", "sink_prompt_export"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - LONG))
 def test_seeded_queries_agree_on_reruns(spark, name):
     first, again = (Counter(map(str, run(spark, name).collect())) for _ in range(2))
     assert first and first == again
 
 
+@pytest.mark.parametrize("name", ["prm_correction", "prm_episode_map", "prm_episode_plus_state", "prm_next_click"])
+def test_long_queries_have_rows(spark, name):
+    assert not run(spark, name).isEmpty()
+
+
 def test_points_lie_in_their_instances(spark):
     voxels = fx.voxels(spark, DATA)
     for name in ("prm_target_points", "prm_initial"):
@@ -200,7 +209,8 @@ def test_one_window_for_every_slice(spark):
     every = {tuple(r) for r in run(spark, "prm_instance_crop").select("vol", "z", "label", "y0", "x0").collect()}
     for r in rows:
         if (r.vol, r.z) in labels:
-            assert tuple(r) in every
+            # Erosion inside the window may leave nothing of the instance: then its id goes, its window stays.
+            assert tuple(r) in every if r.label is not None else (r.vol, r.z, r.y0, r.x0) in {(e[0], e[1], e[3], e[4]) for e in every}
             assert all(0 <= y - r.y0 < 20 and 0 <= x - r.x0 < 20 for y, x in labels[r.vol, r.z][r.label]) or max(max(c) - min(c) for c in zip(*labels[r.vol, r.z][r.label], strict=True)) >= 20
         else:
             assert (r.label, r.y0, r.x0) == (None, 6, 6)
