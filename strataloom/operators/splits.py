@@ -58,7 +58,8 @@ def union_pool(rows: DataFrame, wanted: list[int], group: list[str], order: list
 
     A source without rows is an error if ``strict``, else it is skipped; a pool without rows is an error.
     """
-    pool = rows.filter(F.col("source").isin(wanted))
+    # Read for its sources, for the sample of its ranges, and to be dealt.
+    pool = staged(rows.filter(F.col("source").isin(wanted)), "pool")
     # One row for each source of the list at most.
     found = {r.source for r in pool.select("source").distinct().collect()}
     if strict and len(found) < len(wanted):
@@ -102,6 +103,8 @@ def balanced_draw(rows: DataFrame, order: list[str], draws: int | None, seed: in
     As many as there are rows where ``draws`` is None. Places in a source are
     numbered by sampled ranges, so that no task sorts a whole source.
     """
+    # Read for the sample of its ranges, to be dealt, and to be counted.
+    rows = staged(rows, "rows")
     placed = ranked(rows, order, ["source"])
     sizes = placed.groupBy("source").agg(F.count("*").alias("_n"))
     sizes = staged(ranked(staged(sizes, "sources"), ["source"], place="_s"), "sources")
