@@ -26,6 +26,7 @@ empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,8 +41,8 @@ CALL = ["conv_id", "call_id"]
 
 
 def firsts(rows: DataFrame) -> DataFrame:
-    """Of equal identifiers in a conversation the row of the first turn, others dropped."""
-    others = [c for c in rows.columns if c not in (*CALL, "turn")]
+    """Of equal identifiers in a conversation the row of the first turn (the least ``tie`` in one), others dropped."""
+    others = ["tie", *(c for c in rows.columns if c not in (*CALL, "turn", "tie"))]
     best = rows.filter("call_id is not null").groupBy(*CALL).agg(F.min(F.struct("turn", *others)).alias("x"))
     return best.select(*CALL, "x.*")
 
@@ -148,17 +149,20 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return held.withColumn("problems", found).select(*calls.columns, "problems")
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool = True, messages: DataFrame | None = None) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool = True, messages: DataFrame | None = None, line: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row for each call, each result and each message in topological order.
 
     ``calls``: conv_id, turn, call_id, tool, arguments (JSON), depends_on;
     ``results``: conv_id, turn, call_id, content; ``messages``: conv_id, turn,
     role, content. Returns conv_id, place (from 0), kind, call_id, turn,
-    level, linked, problems (joined by ``; ``), json.
+    level, linked, problems (joined by ``; ``), json. Of rows of one turn with
+    equal identifiers the first by ``tie``, a column that calls and results may have, counts;
+    rows alike in all but their JSON are in its order, or in that of ``line`` of it.
     """
+    calls, results = (rows if "tie" in rows.columns else rows.withColumn("tie", F.lit(None).cast("string")) for rows in (calls, results))
     number = F.monotonically_increasing_id().alias("_id")
-    all_calls = tables.staged(calls.select(*CALL, "turn", "tool", "arguments", "depends_on", number), "all_calls")
-    all_results = tables.staged(results.select(*CALL, "turn", "content", number), "all_results")
+    all_calls = tables.staged(calls.select(*CALL, "turn", "tool", "arguments", "depends_on", "tie", number), "all_calls")
+    all_results = tables.staged(results.select(*CALL, "turn", "content", "tie", number), "all_results")
     first = tables.staged(firsts(all_calls), "calls")
     replies = tables.staged(firsts(all_results), "results")
     judged = met(validated(first, schemas), levels(first), CALL, "left")
@@ -192,14 +196,14 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, every: bool
         rows = rows.drop("tool", "arguments", "content").unionByName(
             messages.select("conv_id", none.alias("call_id"), "turn", F.lit("message").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit("").alias("problems"), said.alias("json"))
         )
-    return placed(rows).select("conv_id", "place", "kind", "call_id", "turn", "level", "linked", "problems", "json")
+    return placed(rows, line).select("conv_id", "place", "kind", "call_id", "turn", "level", "linked", "problems", "json")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place`` in their conversation by (level, turn, kind, call_id, json), counted by blocks."""
+def placed(rows: DataFrame, line: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``rows`` with ``place`` in their conversation by (level, turn, kind, call_id, json, or ``line`` of it), counted by blocks."""
     rank = F.coalesce("level", F.when(F.col("kind") == "message", -1), F.lit(2**31 - 1))
     held = tables.staged(rows.withColumn("_rank", rank).withColumn("_block", F.expr(f"turn div {BLOCK}")), "placed")
-    own = Window.partitionBy("conv_id", "_rank", "_block").orderBy("turn", "kind", "call_id", "json")
+    own = Window.partitionBy("conv_id", "_rank", "_block").orderBy("turn", "kind", "call_id", *([line(F.col("json"))] if line else []), "json")
     counts = held.groupBy("conv_id", "_rank", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("_rank", "_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -212,30 +216,44 @@ def placed(rows: DataFrame) -> DataFrame:
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, messages) that stand for turns: a user's turn calls, the assistant's next one answers, all others are messages.
 
-    Call ``c<turn>`` asks for a search of the turn's text (``lookup`` in every
-    third); it depends on the call two turns before, four calls to a chain.
+    Call ``c<turn>`` asks for a search of the turn's whole text (``lookup`` in every
+    third), and results and messages say theirs; it depends on the call two turns before, four calls to a chain.
     """
     text = F.coalesce("text", F.lit(""))
     user = turns.filter("role = 'user'")
     step = F.expr("turn div 2")
     tool = F.when(step % 3 == 2, "lookup").otherwise("search")
     where = F.struct(F.col("turn"), step.alias("step"), (step % 2 == 0).alias("even"))
-    arguments = F.to_json(F.struct(F.substring(F.md5(text), 1, 8).alias("query"), F.length(text).alias("limit"), where.alias("at")))
+    arguments = F.to_json(F.struct(text.alias("query"), F.length(text).alias("limit"), where.alias("at")))
     depends = F.when(step % 4 > 0, F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")))).otherwise(F.array().cast("array<string>"))
-    calls = user.select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), depends.alias("depends_on"))
+    calls = user.select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), depends.alias("depends_on"), F.concat_ws(" ", F.substring(F.md5(text), 1, 8), F.length(text)).alias("tie"))
     replies = turns.filter("role = 'assistant'")
-    results = replies.select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.md5(text).alias("content"))
+    results = replies.select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), text.alias("content"), F.md5(text).alias("tie"))
     others = turns.filter(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
-    return calls, results, others.select("conv_id", "turn", "role", F.md5(text).alias("content"))
+    return calls, results, others.select("conv_id", "turn", "role", text.alias("content"))
 
 
 SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("search", "at", "object", False), ("lookup", "query", "string", True), ("lookup", "key", "string", True)]
 
 
-def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls, results and messages that stand for the turns of all conversations, linked and in order."""
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, results and messages that stand for the turns of all conversations, linked and in order, with their whole texts."""
     calls, results, messages = from_conversations(tables.table(spark, sf_dir, "conversations"))
-    return linked(calls, results, spark.createDataFrame(SCHEMAS, SCHEMA_TYPE), messages=messages)
+    return linked(calls, results, spark.createDataFrame(SCHEMAS, SCHEMA_TYPE), messages=messages, line=digested)
+
+
+def digested(json: Column) -> Column:
+    """A canonical line with a digest in the place of each whole text: of ``content``, and of ``query`` among the arguments."""
+    said = F.parse_json(json)
+    part = lambda path, kind="string": F.variant_get(said, path, kind)
+    given = F.struct(F.variant_get(said, "$.arguments.at", "variant").alias("at"), part("$.arguments.limit", "long").alias("limit"), F.substring(F.md5(part("$.arguments.query")), 1, 8).alias("query"))
+    arguments = F.when(part("$.arguments", "variant").isNotNull(), given)
+    return F.to_json(F.struct(arguments.alias("arguments"), F.md5(part("$.content")).alias("content"), *(part(f"$.{k}").alias(k) for k in ("id", "role", "tool"))))
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``conversations``, with digests for the texts of their lines."""
+    return conversations(spark, sf_dir).withColumn("json", digested(F.col("json")))
 
 
 OP9_SQL = r"""

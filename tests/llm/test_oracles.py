@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import glob
+import hashlib
+import json
 import math
 import os
 import random
@@ -13,7 +15,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from strataloom.llm import registry, toxicity
+from strataloom.llm import registry, tool_calls, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -111,3 +113,15 @@ def test_tool_calls_of_odd_turns_equal_their_sql(spark, tmp_path):
         names = [d[0] for d in found.description]
         assert Counter(tuple(r[c] for c in names) for r in frame.collect()) == Counter(map(tuple, found.fetchall()))
         assert frame.count() == (len(rows) if where == "true" else 0)
+
+
+def test_tool_call_lines_hold_whole_texts(spark, tmp_path):
+    """The operator's lines carry the texts; only the query puts digests in their place."""
+    texts = [("user", 'say "x"\n\u00e9\t\\'), ("assistant", "yes, " * 50), ("system", "be brief"), ("user", None)]
+    spark.createDataFrame([("a", i, r, t) for i, (r, t) in enumerate(texts)], "conv_id string, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.turn: json.loads(r.json) for r in tool_calls.conversations(spark, str(tmp_path)).collect()}
+    assert found[0]["arguments"]["query"] == texts[0][1] and found[3]["arguments"]["query"] == ""
+    assert found[1]["content"] == texts[1][1] and found[2]["content"] == texts[2][1]
+    short = {r.turn: json.loads(r.json) for r in tool_calls.op9_tool_calls(spark, str(tmp_path)).collect()}
+    assert short[1]["content"] == hashlib.md5(texts[1][1].encode()).hexdigest()
+    assert short[0]["arguments"] == found[0]["arguments"] | {"query": hashlib.md5(texts[0][1].encode()).hexdigest()[:8]}
