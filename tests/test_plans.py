@@ -71,3 +71,10 @@ def test_a_source_is_written_by_several_tasks(spark, tmp_path):
     assert len(list(tmp_path.glob("slice/source=0/*.csv"))) > 1
     back = spark.read.csv(str(tmp_path / "slice"), header=True)
     assert back.select(F.count_distinct("layer")).first()[0] == 2000
+
+
+@pytest.mark.parametrize("name", ["lsd_instance_3d", "lsd_slice_2d"])
+def test_descriptors_are_made_where_their_volume_is(spark, name):
+    found = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\), (\w+)", found)
+    assert dealt and all(kind == "REPARTITION_BY_NUM" for _, kind in dealt)
