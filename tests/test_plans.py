@@ -80,7 +80,7 @@ def test_descriptors_are_made_where_their_volume_is(spark, name):
     assert dealt and all(kind == "REPARTITION_BY_NUM" for _, kind in dealt)
 
 
-@pytest.mark.parametrize("name", ["prj_minmax", "prj_raw_uint8"])
+@pytest.mark.parametrize("name", ["prj_minmax", "prj_raw_uint8", "prj_offset_align"])
 def test_rows_of_volumes_meet_without_a_join(spark, name):
     """Ranges, shifted places and padding are found where the volume is, by windows or one aggregation."""
     found = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
