@@ -147,7 +147,8 @@ from (select distinct vol from seeds) p cross join range(9) a(i) cross join rang
 def prj_pad_voxels(spark, sf):
     """Volumes padded at the end to sides that 3 divides."""
     sides = {k: op.padded_size(F.col(f"n{k}"), 3) for k in "zyx"}
-    return op.padded(fx.voxels(spark, sf), fx.volumes(spark, sf), ["vol"], sides).select("vol", "z", "y", "x", "label")
+    volumes = fx.dealt(fx.volumes(spark, sf), spark, sf)
+    return op.padded(fx.voxels(spark, sf), volumes, ["vol"], sides).select("vol", "z", "y", "x", "label")
 
 
 @query("prj_random_crop")

@@ -80,10 +80,17 @@ def test_descriptors_are_made_where_their_volume_is(spark, name):
     assert dealt and all(kind == "REPARTITION_BY_NUM" for _, kind in dealt)
 
 
-@pytest.mark.parametrize("name", ["prj_minmax", "prj_raw_uint8", "prj_offset_align"])
+@pytest.mark.parametrize("name", ["prj_minmax", "prj_raw_uint8", "prj_offset_align", "prj_pad_crop"])
 def test_rows_of_volumes_meet_without_a_join(spark, name):
     """Ranges, shifted places and padding are found where the volume is, by windows or one aggregation."""
     found = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\), (\w+)", found)
     assert "Join" not in found.replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
     assert dealt and all(kind == "REPARTITION_BY_NUM" for _, kind in dealt)
+
+
+def test_padding_keeps_to_volumes(spark):
+    """Rows of volumes are dealt once made distinct; the padded places are not."""
+    found = registry.queries()["prj_pad_voxels"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in found
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*, [zyx]#[^)]*\)", found)
