@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom import registry
-from strataloom.operators import catalog, prompts, stencil
+from strataloom.operators import blocks, catalog, prompts, stencil
+from strataloom.plans.stencil import tiles
 from strataloom.sources import fixture as fx
 
 DATA = "/root/testdata/sf0.01"
@@ -94,3 +95,16 @@ def test_padding_keeps_to_volumes(spark):
     found = registry.queries()["prj_pad_voxels"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in found
     assert not re.findall(r"Exchange hashpartitioning\([^)]*, [zyx]#[^)]*\)", found)
+
+
+def test_blocks_are_packed_once_where_their_volume_is(spark, monkeypatch):
+    """Cells of volumes that are dealt alike are neither joined nor sent, and an erosion that reads blocks twice packs them once."""
+    executed = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    eroded = executed(registry.queries()["nbr_erode_once"](spark, DATA))
+    assert "collect_list(_cell#" not in eroded
+    kept = []
+    monkeypatch.setattr(blocks, "staged", lambda frame, name: kept.append(frame) or frame)
+    held = tiles(fx.voxels(spark, DATA), spark, DATA)
+    found = executed(kept[0] if kept else held)
+    assert "SortMergeJoin" not in found
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*, b[zyx]#[^)]*\)", found)
