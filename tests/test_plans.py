@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom import registry
-from strataloom.operators import blocks, catalog, prompts, stencil
+from strataloom.operators import blocks, catalog, prompts, samples, stencil
 from strataloom.plans.stencil import tiles
 from strataloom.sources import fixture as fx
 
@@ -108,3 +108,12 @@ def test_blocks_are_packed_once_where_their_volume_is(spark, monkeypatch):
     found = executed(kept[0] if kept else held)
     assert "SortMergeJoin" not in found
     assert not re.findall(r"Exchange hashpartitioning\([^)]*, b[zyx]#[^)]*\)", found)
+
+
+def test_missed_samples_are_described_by_many_tasks(spark, monkeypatch):
+    """Their tasks follow the number of samples, whatever their bytes."""
+    monkeypatch.setattr(samples, "MISSED", 1, raising=False)
+    found = registry.queries()["lsd_cache_miss"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\), (\w+)", found.partition("FlatMapGroupsInArrow")[2])
+    keys, tasks, kind = below[0]
+    assert re.fullmatch(r"vol#\d+L?", keys) and kind == "REPARTITION_BY_NUM" and int(tasks) > spark.sparkContext.defaultParallelism
