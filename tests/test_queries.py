@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strataloom import registry
 from strataloom.functions import kernels
-from strataloom.operators import descriptors, prompts, splits, stencil
+from strataloom.operators import blocks, descriptors, prompts, splits, stencil
 from strataloom.sources import fixture as fx
 from tests import plain as plain_forms
 
@@ -319,3 +319,21 @@ def test_random_neighbours_of_a_crop(spark):
     own = boxes.filter("label = 5").select("vol", "z", "label")
     wide, narrow = (prompts.instance_crops(boxes, pairs, 130, (130, 130), 3, halo=0, chosen=own, most=n).first().overlap for n in (11, 1))
     assert wide == 115 * 5 and narrow < wide
+
+
+def test_prompts_reach_as_far_as_the_references_rounds(spark):
+    """64 rounds of the positive spread and 32 of the negative, over whole planes."""
+    shape = (fx.DEPTH, fx.HEIGHT, fx.WIDTH)
+    label = np.zeros((40, *shape), int)
+    for r in fx.dense(spark, DATA).filter("label > 0").collect():
+        label[r.vol, r.z, r.y, r.x] = r.label
+    z, y, x = np.indices(shape)
+    soft = np.where(label > 0, (label * 7 + x + 2 * y + z) % 11 / 10, 0)
+    prompt = (label * 3 + x * 5 + y * 7 + z) % 21 / 10 - 1
+    weights = blocks.reach_weights(label, soft)
+    good = kernels.spread(np.clip((prompt - 0.7) / 0.3, 0, 1), *weights, 64)
+    bad = kernels.spread(np.clip((-prompt - 0.2) / 0.8, 0, 1), *weights, 32)
+    want = np.clip(good - 0.85 * bad, 0, 1) * (label > 0)
+    found = run(spark, "nbr_prompt_reach").collect()
+    got = np.array([r.prior for r in found])
+    assert np.abs(got - want[tuple(np.array([(r.vol, r.z, r.y, r.x) for r in found]).T)]).max() < 1e-5
