@@ -6,6 +6,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from strataloom import registry
 from strataloom.operators import blocks, catalog, prompts, samples, stencil
@@ -117,3 +118,13 @@ def test_missed_samples_are_described_by_many_tasks(spark, monkeypatch):
     below = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\), (\w+)", found.partition("FlatMapGroupsInArrow")[2])
     keys, tasks, kind = below[0]
     assert re.fullmatch(r"vol#\d+L?", keys) and kind == "REPARTITION_BY_NUM" and int(tasks) > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["prm_correction", "prm_episode", "prm_episode_map", "prm_episode_plus", "prm_episode_plus_state", "prm_initial", "prm_next_click", "prm_simulate_pred_mask"])
+def test_episodes_broadcast_no_rows(spark, monkeypatch, name):
+    """Places and instances that are staged are few bytes and many rows: no step of an episode may broadcast any."""
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args, **kwargs: plans.append(self._df._jdf.queryExecution().sparkPlan().toString()) or write(self, *args, **kwargs))
+    plans.append(plan(registry.queries()[name](spark, "/root/testdata/sf0.001")))
+    lines = [line for p in plans for line in p.splitlines()]
+    assert [line.strip() for line in lines if "BroadcastHashJoin" in line or ("BroadcastNestedLoopJoin" in line and "Cross" not in line)] == []
