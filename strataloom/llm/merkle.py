@@ -32,6 +32,8 @@ from strataloom.llm import tables
 from strataloom.operators.numbering import ranked
 
 FAN, HEIGHT = 3, 4
+#: Blocks whose nodes, with their whole paths, are held by a task at once.
+AT_ONCE = 32
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -63,6 +65,12 @@ def grown(nodes: list[str], n: int) -> list[list[str]]:
     return levels
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``AT_ONCE`` blocks at most: a batch of Spark's may have thousands, each with 81 paths of 1.5 KB and more."""
+    for batch in batches:
+        yield from (batch.slice(at, AT_ONCE) for at in range(0, batch.num_rows, AT_ONCE))
+
+
 def siblings(levels: list[list[str]], at: int) -> Iterator[tuple[str, str]]:
     """Level by level, the digests left and right of a node's own in its run."""
     for level in levels[:-1]:
@@ -90,7 +98,7 @@ def roots(held: DataFrame) -> DataFrame:
     """(tree, place, n, digest): every block's root as a node of the next tier."""
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found = [grown(nodes, n)[-1][0] for nodes, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string())], names=["tree", "place", "n", "digest"])
 
@@ -114,7 +122,7 @@ def paths(held: DataFrame, above: DataFrame) -> DataFrame:
     """(tree, place, top, lefts, rights) of the nodes of a tier; above: the same columns of the tier over it."""
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             out: list[tuple] = []
             for tree, block, n, nodes, top, lefts, rights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 levels = grown(nodes, n)
@@ -154,7 +162,7 @@ def manifest(documents: DataFrame) -> DataFrame:
         above = tables.staged(paths(held, above), "paths")
 
     def versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             out: list[tuple] = []
             for tree, block, n, nodes, docs, tampered, top, lefts, rights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 levels, upper = grown(nodes, n), list(zip(lefts, rights, strict=True))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from strataloom.llm import merkle
@@ -75,3 +76,11 @@ def test_versions_share_what_they_do_not_copy(spark):
     depth = {r.doc_id: len(r.copies) for r in changed.values()}
     assert max(depth.values()) <= 8
     assert all(Counter(x.level for x in nodes if x.doc_id == d)[depth[d]] >= 1 for d in depth)
+
+
+def test_no_task_holds_the_paths_of_many_blocks():
+    """However many blocks Spark gives at once, a task works on few: the paths of a block's nodes are some hundred KB."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["block"])
+    pieces = list(merkle.in_pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in pieces) <= merkle.AT_ONCE == 32
+    assert [x for p in pieces for x in p.column(0).to_pylist()] == list(range(1000))
