@@ -99,7 +99,7 @@ def relation(documents: DataFrame, longest: int, limit: int = BLOCK_BYTES) -> Da
                 before = (before + data)[starts[-longest + 1 :][0] :] if more and longest > 1 and len(starts) else b""
             pa.default_memory_pool().release_unused()
 
-    return tables.staged(documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(read, RELATION), "occurrences")
+    return tables.staged_arrays(documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(read, RELATION), "occurrences", 10_000)
 
 
 def row(lang: str, words: pa.Array, steps: np.ndarray, ids: np.ndarray, context: int) -> pa.RecordBatch:
@@ -201,7 +201,7 @@ def extended(occurring: DataFrame, frequent: DataFrame, length: int) -> DataFram
                     ahead = np.where(np.diff(left, prepend=-9) == 1, 1, 2).astype(np.uint8)
                     yield row(lang, words.take(pa.array(used)), ahead, numbers.reshape(joined.shape).astype(np.int32), fresh)
 
-    return tables.staged(occurring.mapInArrow(extend, RELATION), "occurrences")
+    return tables.staged_arrays(occurring.mapInArrow(extend, RELATION), "occurrences", 10_000)
 
 
 def mined(documents: DataFrame, longest: int = 3, least: int = 10, limit: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +209,7 @@ def mined(documents: DataFrame, longest: int = 3, least: int = 10, limit: int =
     occurring, found = relation(documents, longest, limit), None
     sizes = occurring.groupBy("lang").agg(F.sum(F.expr("octet_length(ids) div 4 - context")).alias("n"))
     for length in range(1, longest + 1):
-        frequent = tables.staged(counted(occurring, length).filter(F.col("f") >= least), "frequent")
+        frequent = tables.staged_arrays(counted(occurring, length).filter(F.col("f") >= least), "frequent", 10_000)
         some = frequent.withColumn("length", F.lit(length))
         found = some if found is None else found.unionByName(some)
         if length < longest:

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from strataloom.llm import collocations, tables
 
@@ -93,3 +94,15 @@ def test_groups_of_many_words():
     ids = np.random.default_rng(1).integers(0, 3, (500, 5)).astype(np.int32)
     first, n = collocations.groups(ids, 1 << 20)
     assert Counter({tuple(ids[i]): k for i, k in zip(first, n.tolist(), strict=True)}) == Counter(map(tuple, ids))
+
+
+def test_blocks_go_to_python_a_few_at_once(spark, monkeypatch):
+    """A block is megabytes: of many blocks in a task only some 16 MB go to Python at once, and the session's own limits stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, **kwargs: seen.append((path.split("/")[-1].split("-")[0], int(spark.conf.get(key).rstrip("b")))) or write(self, path, *args, **kwargs))
+    documents = spark.createDataFrame([("a b a b", "en")] * 20, "text string, lang string")
+    collocations.mined(documents, longest=2)
+    assert {n for name, n in seen if name in ("occurrences", "frequent")} == {1 << 24}
+    assert spark.conf.get(key) == before
