@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from strataloom import registry
 from strataloom.operators import blocks, catalog, prompts, samples, stencil
+from strataloom.plans import samples as plans_samples
 from strataloom.plans.stencil import tiles
 from strataloom.sources import fixture as fx
+from strataloom.sources import stage
 
 DATA = "/root/testdata/sf0.01"
 
@@ -128,3 +132,22 @@ def test_episodes_broadcast_no_rows(spark, monkeypatch, name):
     plans.append(plan(registry.queries()[name](spark, "/root/testdata/sf0.001")))
     lines = [line for p in plans for line in p.splitlines()]
     assert [line.strip() for line in lines if "BroadcastHashJoin" in line or ("BroadcastNestedLoopJoin" in line and "Cross" not in line)] == []
+
+
+def test_few_rows_of_arrays_are_unpacked_together(spark, tmp_path):
+    """Arrays that pack to nothing still lie in row groups of few rows, and Python gets few at once; the session's limits stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    count = F.arrow_udf(lambda a: pa.array([len(a)] * len(a)), "int")
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "cast(repeat('a', 4000) as binary) as held").withColumn("n", count("id"))
+    found = stage.staged_arrays(rows, "held")
+    assert found.agg(F.max("n")).first()[0] <= stage.FEW and spark.conf.get(key) == before
+    held = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in found.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in held for i in range(m.num_row_groups)) <= stage.FEW
+
+
+def test_cached_blocks_are_staged_a_few_at_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(plans_samples, "staged_arrays", lambda frame, name: kept.append(name) or frame)
+    plans_samples.cache(spark, "/root/testdata/sf0.001")
+    assert kept == ["cache"]
